@@ -31,6 +31,15 @@ def local_session(name: str = "quern", cores: int | None = None, **settings: str
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this library from where the driver has it, unless it is installed there anyway."""
+    home, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([home, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data directory, by whatever file system the path names."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
