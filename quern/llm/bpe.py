@@ -187,3 +187,19 @@ def round_trip(docs: DataFrame, path: str | None = None, text: str = "text", id_
 
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return _mapped(narrow, f"doc_id {narrow.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+
+
+def encoded_rows(docs: DataFrame, path: str | None = None, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
+    """``doc_id, source, n_tokens, ids`` for every row of a corpus."""
+    path = path or vocabulary_path()
+    narrow = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in ((id_col, "doc_id"), (source, "source"), (text, "text"))])
+
+    def make(batch):
+        import pyarrow as pa
+
+        c = codec(path)
+        ids = [c.encode(t) for t in batch.column(2).to_pylist()]
+        return {"doc_id": batch.column(0), "source": batch.column(1), "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))}
+
+    of = {f.name: f.dataType.simpleString() for f in narrow.schema}
+    return _mapped(narrow, f"doc_id {of['doc_id']}, source {of['source']}, n_tokens long, ids array<int>", make)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, mixing, quality_rules, sharding, url_filter
+from quern.llm import bpe, mixing, quality_rules, sharding, simhash, substring_dedup, url_filter
 from quern.session import table
 
 
@@ -22,6 +22,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_table(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
@@ -30,12 +34,25 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_table(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
+    "op10_simhash": op10_simhash,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}

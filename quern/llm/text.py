@@ -36,3 +36,26 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def arrow_schema(ddl: str):
+    """The Arrow schema of a DDL string; made on the driver, since workers have no session to parse it."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def map_rows(df: DataFrame, ddl: str, make, rows: int = 256) -> DataFrame:
+    """``make(one list for each column) -> one list for each column of ddl``, over slices of Arrow batches."""
+    kinds = arrow_schema(ddl)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                out = make(*[c.to_pylist() for c in batch.slice(start, rows).columns])
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, kinds, strict=True)], schema=kinds)
+
+    return df.mapInArrow(run, ddl)
