@@ -207,9 +207,14 @@ def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", o
 
 
 def quality_filter(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text no rule rejects, with the columns of ``docs``."""
-    (flag,) = fresh(docs, "kept")
-    return judged(docs, rules, text, kept=flag).where(F.col(flag)).drop(flag)
+    """The rows of ``docs`` whose text no rule rejects, with the columns of ``docs``.
+
+    Catalyst would move the filter below the cascade's projections and inline their arrays into its condition, where each
+    element computes them anew. A column that isn't deterministic keeps the filter above them.
+    """
+    flag, stay = fresh(docs, "kept", "stay")
+    kept = judged(docs, rules, text, kept=flag).withColumn(stay, F.col(flag) & (F.monotonically_increasing_id() >= 0))
+    return kept.where(F.col(stay)).drop(flag, stay)
 
 
 def quality_table(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", id_col: str = "doc_id") -> DataFrame:
