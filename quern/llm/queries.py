@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, mixing, quality_rules, sharding, simhash, substring_dedup, url_filter
+from quern.llm import ann, bpe, language_id, mixing, quality_cnn, quality_rules, sharding, simhash, substring_dedup, url_filter
 from quern.session import table
 
 
@@ -22,6 +22,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_table(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_table(table(spark, sf_dir, "documents"))
 
@@ -48,6 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
+    "op4_quality_cnn": op4_quality_cnn,
+    "op5_ann": op5_ann,
+    "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
