@@ -112,6 +112,7 @@ FOLLOW_UP = "^(?:그|당시|그때|이때|이전|그 사람|참여자|담당|결
 RECENCY = "최근|최신"
 RECENCY_DETAIL = r"갔다\s*온|다녀\s*온|참여(?:자|인원)|담당\s*업무|누가|누구|사람"
 LIST_FOLDER = r"폴더.{0,20}(뭐가\s*있|무엇이\s*있|뭐\s*있|파일\s*목록|문서\s*목록)"
+CREATED_WORD, MODIFIED_WORD = "작성|생성|만든|올린", "수정|업데이트|갱신"
 
 # --- location
 _ARTIFACTS = "파일|자료|서류|문서|폴더|엑셀|보고서|논문|교재|양식|서식|매뉴얼|사진|영상|목록|리스트|시트|표|가이드|영수증|기록|노트|계획서|보고자료"
