@@ -108,6 +108,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", id_
     null_too = (F.col("nulls") > 0) & F.col("last_doc").isNotNull()
     shared = shared.where((F.col("first_doc") != F.col("last_doc")) | null_too)
     shared = shared.select(F.col("digest").alias("of"), F.when(~null_too, F.col("first_doc")).alias("first_doc"))
+    # as a table of its own the side has no partitioning that the join would reuse, so Spark may split the hot digests
+    shared = written(shared, "shared-chunks")
     later = every.join(shared, F.col("digest") == F.col("of")).where(~F.col("doc").eqNullSafe(F.col("first_doc")))
     later = later.groupBy("doc", "version", "start").agg(F.first("size").alias("size"), F.first("words").alias("words"), F.min("first_doc").alias("first_doc"))
     along = Window.partitionBy("doc", "version").orderBy("start")
