@@ -25,7 +25,7 @@ DEFAULT_FILE = "byte_bpe_50k.json"
 #: Fixed value: the pre-tokenizer's pattern of byte-level files of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids a worker keeps. Beyond it the kept pieces are dropped and collected anew.
-MOST_PIECES = 400_000
+MOST_PIECES = 200_000
 #: Piece lengths (characters) that are kept.
 MOST_PIECE_CHARS = 32
 
