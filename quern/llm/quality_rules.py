@@ -186,6 +186,15 @@ def estimate_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "
     return out
 
 
+def fenced(verdict: Column) -> Column:
+    """The verdict, such that filters on the result stay above it.
+
+    Catalyst would move them below the cascade's projections and inline the arrays into the condition, where each element
+    computes them anew; it moves none past a projection that isn't deterministic.
+    """
+    return verdict & (F.monotonically_increasing_id() >= 0)
+
+
 def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", order: Sequence[str] | None = None, kept: str = "kept") -> DataFrame:
     """``docs`` with a boolean ``kept``: no rule rejects the text. A column of that name is replaced.
 
@@ -203,18 +212,13 @@ def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", o
         df = df.withColumn(flag, passes if alive is None else F.when(alive, passes).otherwise(F.lit(False)))
         alive = F.col(flag)
     out = [F.col(f"`{c}`") for c in docs.columns if c.lower() != kept.lower()]
-    return df.select(*out, (alive if alive is not None else F.lit(True)).alias(kept))
+    return df.select(*out, fenced(alive if alive is not None else F.lit(True)).alias(kept))
 
 
 def quality_filter(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text no rule rejects, with the columns of ``docs``.
-
-    Catalyst would move the filter below the cascade's projections and inline their arrays into its condition, where each
-    element computes them anew. A column that isn't deterministic keeps the filter above them.
-    """
-    flag, stay = fresh(docs, "kept", "stay")
-    kept = judged(docs, rules, text, kept=flag).withColumn(stay, F.col(flag) & (F.monotonically_increasing_id() >= 0))
-    return kept.where(F.col(stay)).drop(flag, stay)
+    """The rows of ``docs`` whose text no rule rejects, with the columns of ``docs``."""
+    (flag,) = fresh(docs, "kept")
+    return judged(docs, rules, text, kept=flag).where(F.col(flag)).drop(flag)
 
 
 def quality_table(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -240,4 +244,4 @@ def quality_table(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "t
         df = df.withColumn(flag, F.when(alive, ~F.coalesce(rule.rejects({k: F.col(v) for k, v in names.items()}), F.lit(True))).otherwise(F.lit(False)))
         alive = F.col(flag)
     stats = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return df.select(id_col, *[F.col(names[k]).cast("long").alias(k) for k in stats], F.col(failed).alias("base_failed"), alive.alias("kept"))
+    return df.select(id_col, *[F.col(names[k]).cast("long").alias(k) for k in stats], F.col(failed).alias("base_failed"), fenced(alive).alias("kept"))
