@@ -4,7 +4,8 @@ Every row has a hash; a source takes the rows below a threshold. To find it, siz
 (4,096 buckets), a running sum over the buckets finds the one where the budget ends, and only that boundary bucket is
 split into 4,096 again, twice, which leaves single rows. Rows are then filtered by comparing hashes: nothing is sorted.
 Budgets are nested: whole passes over a source first, then the rest of its target by threshold. What a long row at the
-boundary leaves over is filled by the same search among the rows that still fit, ``ROUNDS`` times in all.
+boundary leaves over is filled by the same search among the rows that still fit, ``ROUNDS`` times in all. Where a source gives more than half of its words,
+the search is for the rows to leave out.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last; a source without words has target 0.
 Rows that are equal in id, source and size share a hash and are taken together or not at all. An empty table gives an
@@ -25,7 +26,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_PASSES = 2
 #: Bits of one level of buckets, levels, and rounds of filling.
-BITS, LEVELS, ROUNDS = 12, 3, 3
+BITS, LEVELS, ROUNDS = 12, 3, 5
 #: Sources up to which their few numbers go to all tasks by broadcast.
 MOST_BROADCAST = 50_000
 
@@ -104,7 +105,10 @@ def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     hint = F.broadcast if small else (lambda df: df)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     state = per.select("__key", "source_size", "target", whole.alias("__whole"))
-    state = state.withColumn("__left", F.col("target") - F.col("__whole") * F.col("source_size"))
+    extra = F.col("target") - F.col("__whole") * F.col("source_size")
+    # of more than half of a source, the rows to leave out are searched: the smaller budget is met more closely
+    state = state.withColumn("__flip", extra * 2 > F.col("source_size"))
+    state = state.withColumn("__left", F.when(F.col("__flip"), F.col("source_size") - extra).otherwise(extra))
     narrow = rows.select("__key", "__h", "size").where(F.col("size") > 0)
     prefix, taken = _bucket(LEVELS - 1), F.lit(False)
     for k in range(ROUNDS):
@@ -117,8 +121,8 @@ def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
         # a row is taken in this round if it fitted when the round began and lies below the round's threshold
         below = prefix < F.col(f"__upto{k}")
         taken = taken | (below if k == 0 else below & (F.col("size") <= F.col(f"__fit{k}")))
-    extra = F.when(taken & (F.col("size") > 0) & (F.col("__whole") < passes), 1).otherwise(0)
-    return written(state.drop("__left"), "mix-plan"), (F.col("__whole") + extra).cast("int"), small
+    once_more = F.when((taken != F.col("__flip")) & (F.col("size") > 0) & (F.col("__whole") < passes), 1).otherwise(0)
+    return written(state.drop("__left"), "mix-plan"), (F.col("__whole") + once_more).cast("int"), small
 
 
 def _rows(docs: DataFrame, text: str, source: str, id_col: str) -> DataFrame:
