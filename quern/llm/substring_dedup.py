@@ -27,6 +27,8 @@ from quern.scratch import written
 
 SPAN = 16
 MIN_WORDS = 16
+#: Chunks of fewer words are often equal by chance: at least half of ``MIN_WORDS`` must lie in chunks of so many.
+ANCHOR_WORDS = 4
 WINDOW_BYTES = 16
 GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -115,10 +117,17 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", id_
     along = Window.partitionBy("doc", "version").orderBy("start")
     fresh = F.coalesce((F.lag(F.col("start") + F.col("size")).over(along) != F.col("start")).cast("int"), F.lit(1))
     runs = later.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along))
-    spans = runs.groupBy("doc", "version", "run").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"), F.min_by("first_doc", "start").alias("first_doc")
+    # a run is named after the document that its largest share comes from; short chunks of common words come from anywhere
+    each = runs.groupBy("doc", "version", "run", "first_doc").agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"),
+        F.sum(F.when(F.col("words") >= ANCHOR_WORDS, F.col("words")).otherwise(0)).alias("anchored"),
     )
-    return spans.where(F.col("words") >= min_words).drop("run")
+    spans = each.groupBy("doc", "version", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.sum("anchored").alias("anchored"),
+        F.max(F.struct("words", "first_doc")).alias("most"),
+    )
+    found = spans.where((F.col("words") >= min_words) & (2 * F.col("anchored") >= min_words))
+    return found.select("doc", "version", "start", "end", "words", F.col("most.first_doc").alias("first_doc"))
 
 
 def repeat_table(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
