@@ -70,4 +70,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"'[^\x20\x09-\x0D]+'"
+
+QUALITY_SQL = rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 6, 1))) AS i FROM w)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM dup, (SELECT unnest(range(0, 8)) AS o) GROUP BY 1),
+s AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {WORDS})) AS lines, coalesce(rep.n, 0) AS n_repeat_words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks
+ FROM w LEFT JOIN rep USING (doc_id)),
+t AS (SELECT *, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT (base_failed OR 10 * n_symbols > n_words OR 4 * n_upper > word_chars OR 10 * n_marks > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * n_dup_lines > len(lines)) AS kept FROM t"""
+
+URL_SQL = r"""WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+f AS (SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/de/8%' THEN 'example.net/de/8' WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/en/7%' THEN 'example.com/en/7'
+ WHEN ('.' || host) LIKE '%.com' AND path LIKE '/en/%' THEN 'com/en/' WHEN ('.' || host) LIKE '%.net' AND path LIKE '/de/%' THEN 'net/de/' WHEN ('.' || host) LIKE '%.org' AND path LIKE '/es/%' THEN 'org/es/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+ WHEN len(list_intersect(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])) > 0 THEN 'block' ELSE 'allow' END AS verdict FROM f"""
+
+#: The other operators use hashes, merges, models or graphs that SQL doesn't have; their tests use brute force.
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op9_url_filter": URL_SQL}
