@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from conftest import prose, row  # noqa: F401
+from samples import prose
 
 from quern.llm import graph, simhash, substring_dedup
 
