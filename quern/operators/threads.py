@@ -103,3 +103,27 @@ def new_messages(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 def high_water(messages: DataFrame) -> DataFrame:
     """Per channel the largest time stamp as text, '0' if there is none."""
     return messages.groupBy("channel_id").agg(F.coalesce(F.max("ts"), F.lit("0")).alias("oldest"))
+
+
+def thread_chunks(messages: DataFrame, size: int = fixed.CHUNK_SIZE) -> DataFrame:
+    """``channel_id, thread_ts, idx, text``: a thread's header (channel and first message) and body as one piece, or as
+    pieces of the body, each below the header, if they don't fit."""
+    from quern.operators.chunking import split
+
+    whole = assemble(messages)
+    first = messages.where(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy("channel_id", "thread_ts").agg(F.min_by(F.struct("text"), F.struct("ts", "idx")).alias("f"))
+    joined = whole.join(first, ["channel_id", "thread_ts"]).select(
+        "channel_id", "thread_ts", F.concat(F.lit("[#"), "channel_name", F.lit("] "), F.left(F.regexp_replace("f.text", r"\s+", " "), F.lit(120))).alias("header"), "body"
+    )
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for c, t, header, body in frame.itertuples(index=False):
+                pieces = [body] if len(header) + 1 + len(body) <= size else split(body, size - len(header) - 1)
+                rows += [(c, t, i, f"{header}\n{p}") for i, p in enumerate(pieces)]
+            yield pd.DataFrame(rows, columns=["channel_id", "thread_ts", "idx", "text"])
+
+    return joined.mapInPandas(run, "channel_id string, thread_ts string, idx long, text string")

@@ -79,3 +79,18 @@ def test_period_retrieval(spark, data):
     hits = retrieve.retrieve(stores(spark, data), QUESTION, query_vector(spark, data), period=("2026-03-01", "2026-04-01"), expand=0)
     for r in hits.collect():
         assert 58 <= int(r.file_id) % 240 <= 90
+
+
+def test_thread_pieces(spark, data):
+    from quern.operators import threads
+    from quern.plans.base import messages
+
+    bodies = {(r.channel_id, r.thread_ts): r.body for r in threads.assemble(messages(spark, data)).collect()}
+    pieces = {}
+    for r in threads.thread_chunks(messages(spark, data)).orderBy("channel_id", "thread_ts", "idx").collect():
+        header, _, body = r.text.partition("\n")
+        assert header.startswith("[#team-") and len(r.text) <= fixed.CHUNK_SIZE
+        pieces.setdefault((r.channel_id, r.thread_ts), []).append(body)
+    assert set(pieces) == set(bodies)
+    for k, body in bodies.items():
+        assert {w for p in pieces[k] for w in p.split()} == set(body.split())
