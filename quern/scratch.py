@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.session import importable
+from quern.session import prepared
 
 _OWN: dict[str, str] = {}
 
@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table of the shared folder. The files go when the driver's JVM ends."""
     spark = df.sparkSession
-    importable(spark)
+    prepared(spark)
     path = f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

@@ -31,8 +31,17 @@ def local_session(name: str = "quern", cores: int | None = None, **settings: str
     return spark
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this library from where the driver has it, unless it is installed there anyway."""
+#: Rows of one Arrow batch, where the session has Spark's default of 10,000: texts are long, and several batches are in
+#: flight between an executor and its Python workers.
+ARROW_ROWS = 1_000
+
+
+def prepared(spark: SparkSession) -> None:
+    """Let Python workers import this library from where the driver has it, unless it is installed there anyway, and keep
+    Arrow batches small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
     home, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if home not in paths:
@@ -41,5 +50,5 @@ def importable(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data directory, by whatever file system the path names."""
-    importable(spark)
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
