@@ -118,11 +118,12 @@ def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
         got = thresholds(fits, state.select("__key", F.col("__left").alias("__budget")), small)
         got = got.select("__key", F.col("__upto").alias(f"__upto{k}"), F.col("__left").alias("__next"))
         state = state.withColumnRenamed("__left", f"__fit{k}").join(got, "__key").withColumnRenamed("__next", "__left")
+        state = written(state, "mix-round")  # a row for each source; without it every later plan would hold all earlier ones
         # a row is taken in this round if it fitted when the round began and lies below the round's threshold
         below = prefix < F.col(f"__upto{k}")
         taken = taken | (below if k == 0 else below & (F.col("size") <= F.col(f"__fit{k}")))
     once_more = F.when((taken != F.col("__flip")) & (F.col("size") > 0) & (F.col("__whole") < passes), 1).otherwise(0)
-    return written(state.drop("__left"), "mix-plan"), (F.col("__whole") + once_more).cast("int"), small
+    return state.drop("__left"), (F.col("__whole") + once_more).cast("int"), small
 
 
 def _rows(docs: DataFrame, text: str, source: str, id_col: str) -> DataFrame:
