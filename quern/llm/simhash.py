@@ -9,9 +9,10 @@ the driver, which would have to hold all fingerprints. A shard of more than ``TR
 of that size, and each is searched by every part of the shard, pair by pair. Each search feeds a union-find, so a shard
 gives one link per fingerprint, not one per pair; components of these links come from :mod:`quern.llm.graph`.
 
-With ``min_similarity`` the operator also holds texts together that SimHash alone would miss or confuse: shards then come
-from min-hash bands, trees are searched with a wide radius, and a link needs a Jaccard similarity of the shingle sets of
-``min_similarity`` or more, computed exactly.
+:func:`near_duplicate_groups` also holds texts together that SimHash alone would miss or confuse: shards then come from
+min-hash bands, and a link needs a Jaccard similarity of the shingle sets of ``least`` or more, computed exactly. Its trees
+hold one bit of each of 64 min-hashes rather than SimHash bits: two of these differ with probability (1 - J) / 2 whatever
+the texts' lengths and repeats, so the radius has a miss rate that doesn't depend on the texts (:func:`miss_rate`).
 
 Defined cases: a null text counts as empty; a text without words has fingerprint 0; one with fewer words than a shingle
 is one shingle. Equal texts always share a group. Repeated ids and rows are fine; an empty table gives an empty result;
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,7 +40,7 @@ BLOCKS = 4
 TREE_SIZE = 2048
 TREE_BYTES = 16 * 1024 * 1024
 #: For links by similarity: bands and rows of min-hashes (0.9992 of the pairs at similarity 0.8 meet), and the radius of
-#: the trees, beyond which fingerprints of texts that similar don't come to lie.
+#: the trees: bits of two texts at 0.8 differ with probability 0.1, so 7e-10 of such pairs lie beyond it, and fewer above.
 BANDS, ROWS, WIDE_RADIUS = 18, 5, 24
 MASK = (1 << 64) - 1
 
@@ -262,33 +264,51 @@ def _multipliers(k: int) -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
-    """A number for each band of ``rows`` min-hashes. Equal sets have equal keys; so have two empty ones."""
-    import xxhash
-
-    least = np.full(bands * rows, MASK, np.uint64)
-    mult = _multipliers(bands * rows)
+def min_hashes(hashes: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
+    """The least value of the hashes under each of ``k`` mixes; all bits set without hashes."""
+    least = np.full(k, MASK, np.uint64)
+    mult = _multipliers(k)
     with np.errstate(over="ignore"):
         for start in range(0, len(hashes), 4096):
             part = hashes[start : start + 4096, None] * mult[None, :]
             part ^= part >> np.uint64(29)
             part *= np.uint64(0xBF58476D1CE4E5B9)
             least = np.minimum(least, part.min(axis=0))
+    return least
+
+
+def band_keys(least: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
+    """A number for each band of ``rows`` min-hashes. Equal sets have equal keys; so have two empty ones."""
+    import xxhash
+
     keys = least.reshape(bands, rows)
     return [signed(xxhash.xxh64_intdigest(keys[b].tobytes(), b)) for b in range(bands)]
 
 
+def min_hash_bits(least: np.ndarray) -> int:
+    """A mixed bit of each of the first 64 min-hashes. Equal min-hashes have equal bits, others in half of all cases."""
+    with np.errstate(over="ignore"):
+        mixed = (least[:64] ^ (least[:64] >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return int(np.packbits((mixed >> np.uint64(63)).astype(bool), bitorder="little").view("<u8")[0])
+
+
+def miss_rate(similarity: float, radius: int = WIDE_RADIUS) -> float:
+    """The share of pairs of that Jaccard similarity whose :func:`min_hash_bits` differ in more than ``radius`` bits."""
+    p = (1 - similarity) / 2
+    return sum(comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(radius + 1, 65))
+
+
 def sketches(docs: DataFrame, n: int = 5, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``digest, doc_id, fp, bands, n``: the distinct texts of each id, with their fingerprints and band keys."""
+    """``digest, doc_id, fp, bands, n``: the distinct texts of each id, with their min-hash bits and band keys."""
     t = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(bytearray(b"")))
     narrow = docs.select(_digest(t).alias("digest"), F.col(f"`{id_col}`").alias("doc_id"), t.alias("text"))
 
     def sketch(digests, ids, bodies):
         fps, bands = [], []
         for x in bodies:
-            h = shingle_hashes(x, n)
-            fps.append(signed(fingerprint(h)))
-            bands.append(band_keys(np.unique(h)))
+            least = min_hashes(np.unique(shingle_hashes(x, n)))
+            fps.append(signed(min_hash_bits(least)))
+            bands.append(band_keys(least))
         return digests, ids, fps, bands
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
@@ -304,7 +324,7 @@ def near_duplicate_groups(docs: DataFrame, n: int = 5, least: float = 0.8, text:
     """The distinct texts (``digest, doc_id, n``: its smallest id and the rows that have both) and ``vertex, root`` of those
     that have a similar other one.
 
-    First, fingerprints and band keys of each text; trees over a band's shard link texts within the wide radius; the
+    First, min-hash bits and band keys of each text; trees over a band's shard link texts within the wide radius; the
     components of these links are the candidates. Then the shingle sets of candidates alone, each in one component, are
     compared exactly where the trees bring them together.
     """
@@ -313,20 +333,15 @@ def near_duplicate_groups(docs: DataFrame, n: int = 5, least: float = 0.8, text:
     first = written(first, "distinct-texts")
     keyed = first.select(F.explode("bands").alias("shard"), F.col("digest").alias("vertex"), "fp")
     rough = written(components(written(linked(keyed, WIDE_RADIUS), "rough-links")), "rough-groups")
-    shard = rough.join(first.select("digest", "doc_id"), F.col("vertex") == F.col("digest")).select(
-        F.xxhash64("root").alias("shard"), F.col("digest").alias("of"), F.col("doc_id").alias("of_id")
+    shard = rough.join(first.select("digest", "doc_id", "fp"), F.col("vertex") == F.col("digest")).select(
+        F.xxhash64("root").alias("shard"), F.col("digest").alias("of"), F.col("doc_id").alias("of_id"), "fp"
     )
     t = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(bytearray(b"")))
     bodies = docs.select(_digest(t).alias("digest"), F.col(f"`{id_col}`").alias("id"), t.alias("text"))
-    members = bodies.join(shard, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("of_id"))).select("shard", "digest", "text")
+    members = bodies.join(shard, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("of_id"))).select("shard", "digest", "fp", "text")
 
-    def sets(shards, digests, bodies):
-        fps, hashes = [], []
-        for x in bodies:
-            h = shingle_hashes(x, n)
-            fps.append(signed(fingerprint(h)))
-            hashes.append(np.unique(h).astype("<u8").tobytes())
-        return shards, digests, fps, hashes
+    def sets(shards, digests, fps, bodies):
+        return shards, digests, fps, [np.unique(shingle_hashes(x, n)).astype("<u8").tobytes() for x in bodies]
 
     with_sets = written(map_rows(members, "shard long, vertex binary, fp long, hashes binary", sets), "shingle-sets")
     return first.select("digest", "doc_id", "n"), components(written(linked(with_sets, WIDE_RADIUS, least), "links"))

@@ -122,6 +122,28 @@ def test_similar_groups(request, which):
     assert {(r.doc_id is not None, r.doc_id or 0) for r in kept.collect()} == set(smallest.values())
 
 
+def test_repeated_lines_dont_hide_similarity(spark):
+    """The same words with a line 30 times and once: similarity 0.996, whatever the repeats do to a fingerprint."""
+    rows = []
+    for k in range(40):
+        body, line = prose(k, 1000), prose(9000 + k, 8)
+        rows += [(2 * k, body + ("\n" + line) * 30), (2 * k + 1, body + "\n" + line)]
+    kept = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [2 * k for k in range(40)]
+
+
+@pytest.mark.parametrize("shared, left, right", [(4, 0, 1), (8, 1, 1), (80, 20, 0), (80, 10, 10), (800, 100, 100)])
+def test_min_hash_bits_at_the_limit(shared, left, right):
+    """Bits of pairs at similarity 0.8 differ as often as the binomial law says, for small sets and one-sided ones too."""
+    assert simhash.miss_rate(0.8) < 1e-9
+    r, far = np.random.default_rng(shared + left), []
+    for _ in range(300):
+        h = r.integers(0, 1 << 64, shared + left + right, dtype=np.uint64)
+        a, b = simhash.min_hashes(h[: shared + left]), simhash.min_hashes(np.concatenate((h[:shared], h[shared + left :])))
+        far.append((simhash.min_hash_bits(a) ^ simhash.min_hash_bits(b)).bit_count())
+    assert abs(np.mean(far) - 6.4) < 0.8 and max(far) <= 20
+
+
 def test_empty(nothing):
     assert simhash.near_duplicate_table(nothing).count() == 0
     assert simhash.without_near_duplicates(nothing).count() == 0
