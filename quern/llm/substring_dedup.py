@@ -5,8 +5,10 @@ depends on the last 16 bytes alone. A word may begin a chunk if the hash before
 row; of equal ones the last is taken. Chunks thus end where the content says, an insertion moves no cut that is further
 away than ``SPAN`` words, and in any ``SPAN`` words there is a cut. Chunks are compared by digest. A digest that occurs in
 several documents belongs to the first one by id; in the others, neighbouring chunks of that kind form a run, and a run
-of ``MIN_WORDS`` words or more is a repeat. Of a passage of ``2 * SPAN + MIN_WORDS + 2`` words all but its ends lies in
-whole chunks, so each such passage (over 50 words) is found wherever it stands.
+of ``MIN_WORDS`` words or more is a repeat, unless it consists of short chunks that may be equal by chance. Of a passage
+of ``2 * SPAN + MIN_WORDS + 2`` words all but its ends lies in whole chunks, so each such passage (over 50 words) is found
+wherever it stands. Where it repeats a unit of few words, all of its chunks are short; so ``MIN_WORDS`` words in a row that
+have few words in longer chunks get a digest of their own, and a run that shares one with an earlier document is a repeat.
 
 Only narrow rows are shuffled: digest, document, place and length. Minima are aggregated before the shuffle, and the join
 that follows is an equi-join whose large partitions Spark can split, so a passage in very many documents gathers nowhere.
@@ -27,9 +29,11 @@ from quern.scratch import written
 
 SPAN = 16
 MIN_WORDS = 16
-#: Chunks of fewer words are often equal by chance: at least half of ``MIN_WORDS`` must lie in chunks of so many.
+#: Chunks of fewer words are often equal by chance: at least half of ``MIN_WORDS`` must lie in chunks of so many, or
+#: ``MIN_WORDS`` words must follow one another in an earlier document too.
 ANCHOR_WORDS = 4
 WINDOW_BYTES = 16
+STRETCH_SEED = 1
 GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -72,12 +76,26 @@ def chunk_places(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends - starts, np.diff(np.concatenate((first_word, [len(begins)])))
 
 
-def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``digest, doc, version, start, size, words`` for every chunk; ``version`` tells texts of equal id apart."""
+def short_stretches(words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First chunks and ends (the chunk after the last) of the least stretches of ``min_words`` words, of those with less
+    than half of them in chunks of ``ANCHOR_WORDS`` or more."""
+    upto = np.concatenate(([0], np.cumsum(words)))
+    anchored = np.concatenate(([0], np.cumsum(np.where(words >= ANCHOR_WORDS, words, 0))))
+    first = np.arange(len(words))
+    end = np.searchsorted(upto, upto[:-1] + min_words)
+    inside = end <= len(words)
+    first, end = first[inside], end[inside]
+    few = 2 * (anchored[end] - anchored[first]) < min_words
+    return first[few], end[few]
+
+
+def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+    """``digest, doc, version, start, size, words, stretch`` for every chunk and, marked, every stretch of short chunks;
+    ``version`` tells texts of equal id apart."""
     t = F.col(f"`{text}`")
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc"), F.hash(t).alias("version"), t.cast("binary").alias("text")).where(t.isNotNull())
     kind = narrow.schema["doc"].dataType.simpleString()
-    ddl = f"digest long, doc {kind}, version int, start int, size int, words int"
+    ddl = f"digest long, doc {kind}, version int, start int, size int, words int, stretch boolean"
     kinds = arrow_schema(ddl)
 
     def run(batches):
@@ -88,16 +106,22 @@ def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                digests, rows, places = [], [], []
+                digests, rows, places, marks = [], [], [], []
                 for i, body in enumerate(part.column(2).to_pylist()):
                     s, n, w = chunk_places(body)
                     view = memoryview(body)
                     digests += [digest_of(view[a : a + k]) for a, k in zip(s.tolist(), n.tolist(), strict=True)]
+                    first, end = short_stretches(w, min_words)
+                    if len(first):
+                        size, count = np.concatenate((s, [len(body)]))[end] - s[first], np.concatenate(([0], np.cumsum(w)))
+                        digests += [digest_of(view[a : a + k], STRETCH_SEED) for a, k in zip(s[first].tolist(), size.tolist(), strict=True)]
+                        s, n, w = np.concatenate((s, s[first])), np.concatenate((n, size)), np.concatenate((w, count[end] - count[first]))
                     rows.append(np.full(len(s), i, np.int64))
                     places.append(np.stack((s, n, w)))
+                    marks.append(np.arange(len(s)) >= len(s) - len(first))
                 row, place = np.concatenate(rows), np.concatenate(places, axis=1).astype(np.int32)
                 take = pa.array(row)
-                columns = [pa.array(np.array(digests, np.uint64).view(np.int64)), part.column(0).take(take), part.column(1).take(take), *map(pa.array, place)]
+                columns = [pa.array(np.array(digests, np.uint64).view(np.int64)), part.column(0).take(take), part.column(1).take(take), *map(pa.array, place), pa.array(np.concatenate(marks))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     return narrow.mapInArrow(run, ddl)
@@ -105,7 +129,7 @@ def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc, version, start, end, words, first_doc``: each repeat, by byte places, and a document that has it first."""
-    every = written(chunks(docs, text, id_col), "chunks")
+    every = written(chunks(docs, text, id_col, min_words), "chunks")
     shared = every.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.count_if(F.col("doc").isNull()).alias("nulls"))
     null_too = (F.col("nulls") > 0) & F.col("last_doc").isNotNull()
     shared = shared.where((F.col("first_doc") != F.col("last_doc")) | null_too)
@@ -113,20 +137,23 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", id_
     # as a table of its own the side has no partitioning that the join would reuse, so Spark may split the hot digests
     shared = written(shared, "shared-chunks")
     later = every.join(shared, F.col("digest") == F.col("of")).where(~F.col("doc").eqNullSafe(F.col("first_doc")))
-    later = later.groupBy("doc", "version", "start").agg(F.first("size").alias("size"), F.first("words").alias("words"), F.min("first_doc").alias("first_doc"))
+    # all chunks of a shared stretch are shared; its first one is named after the document that has the stretch
+    later = later.groupBy("doc", "version", "start").agg(
+        F.min("size").alias("size"), F.min("words").alias("words"), F.max_by("first_doc", "words").alias("first_doc"), F.max("stretch").alias("stretch")
+    )
     along = Window.partitionBy("doc", "version").orderBy("start")
     fresh = F.coalesce((F.lag(F.col("start") + F.col("size")).over(along) != F.col("start")).cast("int"), F.lit(1))
     runs = later.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along))
     # a run is named after the document that its largest share comes from; short chunks of common words come from anywhere
     each = runs.groupBy("doc", "version", "run", "first_doc").agg(
         F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"),
-        F.sum(F.when(F.col("words") >= ANCHOR_WORDS, F.col("words")).otherwise(0)).alias("anchored"),
+        F.sum(F.when(F.col("words") >= ANCHOR_WORDS, F.col("words")).otherwise(0)).alias("anchored"), F.max("stretch").alias("stretch"),
     )
     spans = each.groupBy("doc", "version", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.sum("anchored").alias("anchored"),
-        F.max(F.struct("words", "first_doc")).alias("most"),
+        F.max("stretch").alias("stretch"), F.max(F.struct("words", "first_doc")).alias("most"),
     )
-    found = spans.where((F.col("words") >= min_words) & (2 * F.col("anchored") >= min_words))
+    found = spans.where((F.col("words") >= min_words) & (F.col("stretch") | (2 * F.col("anchored") >= min_words)))
     return found.select("doc", "version", "start", "end", "words", F.col("most.first_doc").alias("first_doc"))
 
 

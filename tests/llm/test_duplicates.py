@@ -209,6 +209,23 @@ def test_every_long_passage_is_found(spark):
     assert got == {(2 * k + 1, 2 * k) for k in range(150)}
 
 
+def test_repeated_units_are_found(spark):
+    """A passage of one to three words again and again, whose chunks are all short, and one of 51 words."""
+    rows, key = [], 0
+    for period in (1, 2, 3, 4):
+        for length in (51, 200):
+            for k in range(30):
+                unit = prose(50_000 + 100 * period + 1000 * length + k, period).split()
+                passage = " ".join((unit * length)[:length])
+                rows.append((key, prose(2 * key, 80) + " " + passage + " " + prose(2 * key + 1, 80)))
+                rows.append((key + 1, prose(90_000 + key, 60) + " " + passage + " " + prose(95_000 + key, 60)))
+                key += 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert shared_runs(rows, 51) <= {r.doc_id for r in substring_dedup.repeat_table(df).collect()} <= shared_runs(rows, 8)
+    cut = {r.doc_id: len(r.text.split()) for r in substring_dedup.without_repeats(df).collect()}
+    assert all(cut[i] < len(t.split()) for i, t in rows if i % 2)
+
+
 @pytest.mark.parametrize("which", ["docs", "edge"])
 def test_without_repeats(request, which):
     df = request.getfixturevalue(which)
