@@ -6,7 +6,7 @@ Rectified answers are max-pooled over the chunk. A text is described by the larg
 each filter over its chunks and by the logarithm of its length, and a hidden layer turns these into one probability.
 
 Training takes a bounded sample of labelled rows (``MOST_ROWS``, chosen by hash) to the driver and runs Adam over
-mini-batches from a fixed seed; of long training texts up to ``MOST_TRAIN_CHUNKS`` chunks, spread over the text, are used.
+mini-batches from a fixed seed, over all chunks of each text and pooled as in scoring.
 Scoring reads every byte of every text. The network is of fixed size (some 60 KB) and goes to the tasks in the closure.
 
 Defined cases: null and empty texts have one chunk of zero bytes and get a score like any other; equal texts get equal
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from quern.llm.text import map_rows
 
 CHUNK, STEP, WIDTH, FILTERS, HIDDEN = 512, 256, 6, 24, 16
-#: Labelled rows the driver trains on, at most, and chunks of each.
-MOST_ROWS, MOST_TRAIN_CHUNKS = 3_000, 6
+COLUMNS = np.arange(FILTERS)
+#: Labelled rows the driver trains on, at most.
+MOST_ROWS = 3_000
 EPOCHS, BATCH, RATE = 12, 32, 4e-3
 THRESHOLD = 0.3
 
@@ -55,13 +56,6 @@ class Network:
         return [self.table, self.bias, self.w1, self.b1, self.w2, self.b2]
 
 
-def chunk_starts(n: int) -> list[int]:
-    """Starts of chunks that cover ``n`` bytes; the last one ends with the text."""
-    if n <= CHUNK:
-        return [0]
-    return [*range(0, n - CHUNK, STEP), n - CHUNK]
-
-
 def answers(net: Network, data: np.ndarray) -> np.ndarray:
     """Each filter's answer at each place of the bytes, before the rectifier."""
     n = len(data) - WIDTH + 1
@@ -99,6 +93,30 @@ def pooled(net: Network, data: np.ndarray) -> np.ndarray:
     return np.maximum(halves + net.bias, 0)
 
 
+def pooled_from(net: Network, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of :func:`pooled` and the places that their answers come from."""
+    best, places = [], []
+    for start in range(0, len(data) - WIDTH + 1, 64 * STEP):
+        part = answers(net, data[start : start + 64 * STEP + WIDTH - 1])
+        for at in range(0, len(part), STEP):
+            half = part[at : at + STEP]
+            peak = half.argmax(axis=0)
+            best.append(half[peak, COLUMNS])
+            places.append(start + at + peak)
+    halves, peaks = np.stack(best), np.stack(places)
+
+    def join(i, j):
+        first = halves[i] >= halves[j]
+        return np.where(first, halves[i], halves[j]), np.where(first, peaks[i], peaks[j])
+
+    if len(halves) > 1:
+        if (len(data) - WIDTH + 1) % STEP and len(halves) > 2:
+            halves[-2], peaks[-2] = join(-2, -1)
+            halves, peaks = halves[:-1], peaks[:-1]
+        halves, peaks = join(slice(None, -1), slice(1, None))
+    return np.maximum(halves + net.bias, 0), peaks
+
+
 def features(rows: np.ndarray, n_bytes: int) -> np.ndarray:
     return np.concatenate((rows.max(axis=0), rows.min(axis=0), rows.mean(axis=0), [np.log1p(n_bytes) / 10])).astype(np.float32)
 
@@ -116,17 +134,11 @@ def train(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, se
     if not texts:
         net.w2[:] = 0
         return net
-    places = []
-    for t in texts:
-        data = _bytes(t)
-        at = chunk_starts(len(data))
-        if len(at) > MOST_TRAIN_CHUNKS:
-            at = [at[i] for i in np.linspace(0, len(at) - 1, MOST_TRAIN_CHUNKS).astype(int)]
-        places.append((data, at))
+    bodies = [_bytes(t) for t in texts]
     y = np.array(labels, np.float32)
     weights = net.trained()
     m1, m2 = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    first = np.stack([features(np.concatenate([_chunk(net, d, a)[0] for a in at]), len(t or b"")) for t, (d, at) in zip(texts[:256], places[:256], strict=True)])
+    first = np.stack([features(pooled(net, d), len(t or b"")) for t, d in zip(texts[:256], bodies[:256], strict=True)])
     net.mean, net.scale = first.mean(axis=0), first.std(axis=0) + np.float32(0.1)
     step = 0
     for epoch in range(epochs):
@@ -136,9 +148,8 @@ def train(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, se
             grads = [np.zeros_like(w) for w in weights]
             batch = order[b : b + BATCH]
             for i in batch:
-                data, at = places[i]
-                parts = [_chunk(net, data, a) for a in at]
-                rows = np.concatenate([p[0] for p in parts])
+                data = bodies[i]
+                rows, peaks = pooled_from(net, data)
                 x = (features(rows, len(texts[i] or b"")) - net.mean) / net.scale
                 h = x @ net.w1 + net.b1
                 hidden = np.maximum(h, 0)
@@ -152,14 +163,13 @@ def train(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, se
                 dx = (net.w1 @ dh) / net.scale
                 top, low, mean = dx[:FILTERS], dx[FILTERS : 2 * FILTERS], dx[2 * FILTERS : 3 * FILTERS]
                 drow = np.tile(mean / len(rows), (len(rows), 1))
-                cols = np.arange(FILTERS)
-                drow[rows.argmax(axis=0), cols] += top
-                drow[rows.argmin(axis=0), cols] += low
+                drow[rows.argmax(axis=0), COLUMNS] += top
+                drow[rows.argmin(axis=0), COLUMNS] += low
                 drow *= rows > 0
                 grads[1] += drow.sum(axis=0)
-                for d, (_, peak), a in zip(drow, parts, at, strict=True):
-                    for k in range(WIDTH):
-                        np.add.at(grads[0], (k, data[a + peak + k], cols), d)
+                for k in range(WIDTH):
+                    cells = data[peaks + k].astype(np.int64) * FILTERS + COLUMNS
+                    grads[0][k] += np.bincount(cells.ravel(), drow.ravel(), 256 * FILTERS).reshape(256, FILTERS)
             step += 1
             for w, g, u, v in zip(weights, grads, m1, m2, strict=True):
                 u += 0.1 * (g - u)
@@ -168,13 +178,6 @@ def train(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, se
     return net
 
 
-def _chunk(net: Network, data: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pooled answers of one chunk and the places they come from."""
-    out = answers(net, data[start : start + CHUNK + WIDTH - 1])
-    peak = out.argmax(axis=0)
-    return np.maximum(out[peak, np.arange(FILTERS)] + net.bias, 0)[None, :], peak
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, allowed, text: str = "text", id_col: str = "doc_id", label: str = "quality", most: int = MOST_ROWS) -> tuple[list, list]:
     """Texts and labels of at most ``most`` labelled rows whose id is ``allowed``, those with the smallest hashes."""
     marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("y").isNotNull() & allowed(F.col("id")))

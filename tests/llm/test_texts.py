@@ -113,6 +113,27 @@ def test_network_covers_text():
     assert not np.allclose(quality_cnn.pooled(net, changed)[-1], whole[-1])
 
 
+def test_training_sees_whole_texts():
+    """A signal that stands in the middle of long texts alone is learnt."""
+    r, texts, labels = np.random.default_rng(3), [], []
+    for k in range(80):
+        body = b" ".join(r.choice([b"plain", b"words", b"of", b"some", b"text"], 5_000).tolist())[:20_000]
+        texts.append(body[:6000] + b"#$%&" * 25 + body[6100:] if k % 2 else body)
+        labels.append(1 - k % 2)
+    net = quality_cnn.train(texts[:60], labels[:60], epochs=20)
+    assert np.mean([(quality_cnn.score(net, t) > 0.5) == y for t, y in zip(texts[60:], labels[60:], strict=True)]) > 0.9
+
+
+@pytest.mark.parametrize("n", [6, 100, 261, 262, 517, 518, 800, 5000, 16_389, 16_390, 40_000])
+def test_training_pools_as_scoring(n):
+    net = quality_cnn.Network.fresh()
+    data = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8)
+    rows, places = quality_cnn.pooled_from(net, data)
+    assert np.allclose(rows, quality_cnn.pooled(net, data), atol=1e-5)
+    every = quality_cnn.answers(net, data)
+    assert np.allclose(rows, np.maximum(every[places, np.arange(quality_cnn.FILTERS)] + net.bias, 0), atol=1e-5)
+
+
 def test_quality_table(spark, docs, edge, nothing):
     labels = table(spark, "/root/testdata/sf0.01", "labels")
     big = table(spark, "/root/testdata/sf0.01", "documents")
