@@ -39,9 +39,9 @@ BLOCKS = 4
 #: Fingerprints of one tree, and bytes of the shingle sets beside them.
 TREE_SIZE = 2048
 TREE_BYTES = 16 * 1024 * 1024
-#: For links by similarity: bands and rows of min-hashes (0.9992 of the pairs at similarity 0.8 meet), and the radius of
+#: For links by similarity: bands and rows of min-hashes (5e-10 of the pairs at similarity 0.8 don't meet), and the radius of
 #: the trees: bits of two texts at 0.8 differ with probability 0.1, so 7e-10 of such pairs lie beyond it, and fewer above.
-BANDS, ROWS, WIDE_RADIUS = 18, 5, 24
+BANDS, ROWS, WIDE_RADIUS = 54, 5, 24
 MASK = (1 << 64) - 1
 
 
@@ -269,8 +269,8 @@ def min_hashes(hashes: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
     least = np.full(k, MASK, np.uint64)
     mult = _multipliers(k)
     with np.errstate(over="ignore"):
-        for start in range(0, len(hashes), 4096):
-            part = hashes[start : start + 4096, None] * mult[None, :]
+        for start in range(0, len(hashes), 128):
+            part = hashes[start : start + 128, None] * mult[None, :]
             part ^= part >> np.uint64(29)
             part *= np.uint64(0xBF58476D1CE4E5B9)
             least = np.minimum(least, part.min(axis=0))

@@ -144,6 +144,15 @@ def test_min_hash_bits_at_the_limit(shared, left, right):
     assert abs(np.mean(far) - 6.4) < 0.8 and max(far) <= 20
 
 
+def test_pairs_at_the_limit_meet():
+    """At similarity 0.8 the bands lose less than one link in a thousand million; all of 4,000 pairs share one."""
+    assert (1 - 0.8**simhash.ROWS) ** simhash.BANDS < 1e-9
+    r = np.random.default_rng(8)
+    for _ in range(4000):
+        h = r.integers(0, 1 << 64, 45, dtype=np.uint64)
+        assert set(simhash.band_keys(simhash.min_hashes(h[:40]))) & set(simhash.band_keys(simhash.min_hashes(h[[*range(36), *range(40, 45)]])))
+
+
 def test_empty(nothing):
     assert simhash.near_duplicate_table(nothing).count() == 0
     assert simhash.without_near_duplicates(nothing).count() == 0
