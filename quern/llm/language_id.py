@@ -30,7 +30,8 @@ from quern.llm.text import map_rows
 DEFAULT_FILE = "piece_bpe_32k.model"
 #: Training rows of each language and languages, at most.
 MOST_ROWS, MOST_LANGUAGES = 300, 200
-MOST_PIECE, ROUNDS, SMOOTH = 8, 3, 0.02
+#: Characters of the longest piece of letters in the vocabulary, with the mark; a longer one is an error.
+MOST_PIECE, ROUNDS, SMOOTH = 16, 3, 0.02
 #: Words a worker keeps before it begins anew.
 MOST_WORDS = 300_000
 MARK = "▁"
@@ -47,7 +48,9 @@ def pieces(path: str) -> dict[str, int]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = {p for i in range(model.get_piece_size()) if (p := model.id_to_piece(i)) and p.lower() == p and 0 < len(p) <= MOST_PIECE and p.removeprefix(MARK).isalpha()}
+    found = {p for i in range(model.get_piece_size()) if (p := model.id_to_piece(i)) and p.lower() == p and p.removeprefix(MARK).isalpha()}
+    if any(len(p) > MOST_PIECE for p in found):
+        raise ValueError(f"{path} has pieces of over {MOST_PIECE} characters")
     return {p: i for i, p in enumerate(sorted(found | {MARK}))}
 
 

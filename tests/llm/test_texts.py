@@ -78,6 +78,13 @@ def test_language_segmentations():
     assert np.isfinite(long).all()
 
 
+def test_all_pieces_take_part():
+    """The longest pieces of letters are in the vocabulary and in the segmentations."""
+    known = language_id.pieces(language_id.vocabulary_path())
+    assert {"▁function", "▁business", "translation"} <= set(known) and max(map(len, known)) == language_id.MOST_PIECE
+    assert known["▁function"] in language_id.lattices(["▁function"], known) and known["translation"] in language_id.lattices(["▁translation"], known)
+
+
 def test_language_table(docs, edge, nothing):
     rows = language_id.language_table(docs).collect()
     truth = {r.doc_id: r.lang for r in docs.collect()}
