@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quern.llm.text import map_rows
 
 DEFAULT_FILE = "piece_bpe_32k.model"
-#: Training rows of each language and languages, at most.
+#: Training rows of each language, and languages up to which each has so many; with more, each has fewer, one at least.
 MOST_ROWS, MOST_LANGUAGES = 300, 200
 #: Characters of the longest piece of letters in the vocabulary, with the mark; a longer one is an error.
 MOST_PIECE, ROUNDS, SMOOTH = 16, 3, 0.02
@@ -101,15 +101,19 @@ def log_likelihoods(batch: list[str], known: dict[str, int], prob: np.ndarray) -
 
 
 def estimate(counts: dict[str, int], known: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities of one language from the counts of its words. Words over 40 characters don't take part."""
+    """Piece probabilities of one language from the counts of its words. Words over 40 characters are learnt in parts."""
     size = len(known) + 2
     prob = np.full(size, 1 / size)
     prob[-1] = 0
     by_length: dict[int, list[str]] = {}
-    for w in sorted(counts):
-        if len(w) <= 40:
-            by_length.setdefault(len(w), []).append(w)
-    grids = [(lattices([MARK + w for w in ws[a : a + 4096]], known), np.array([counts[w] for w in ws[a : a + 4096]], float)) for ws in by_length.values() for a in range(0, len(ws), 4096)]
+    parts: dict[str, int] = {}
+    for w, c in counts.items():
+        line = MARK + w
+        for a in range(0, len(line), 41):
+            parts[line[a : a + 41]] = parts.get(line[a : a + 41], 0) + c
+    for w in sorted(parts):
+        by_length.setdefault(len(w), []).append(w)
+    grids = [(lattices(ws[a : a + 4096], known), np.array([parts[w] for w in ws[a : a + 4096]], float)) for ws in by_length.values() for a in range(0, len(ws), 4096)]
     for _ in range(rounds):
         expected = np.zeros(size)
         for ids, weight in grids:
@@ -184,9 +188,10 @@ def training_words(docs: DataFrame, allowed, text: str = "text", lang: str = "la
     """
     i, x = F.col(f"`{id_col}`"), F.col(f"`{lang}`")
     narrow = docs.select(i.alias("id"), x.alias("lang")).where(x.isNotNull() & allowed(i)).withColumn("h", F.xxhash64("id"))
+    languages = narrow.select("lang").distinct().count()
+    most = max(1, min(most, most * MOST_LANGUAGES // max(1, languages)))
     few = narrow.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= most)
-    few = few.groupBy("lang", "id").count().orderBy("lang", F.xxhash64("id"), "id").limit(most * MOST_LANGUAGES)
-    few = few.select(F.col("lang").alias("of_lang"), F.col("id").alias("of_id"))
+    few = few.groupBy("lang", "id").count().select(F.col("lang").alias("of_lang"), F.col("id").alias("of_id"))
     rows = docs.select(i.alias("id"), x.alias("lang"), F.col(f"`{text}`").alias("text")).join(F.broadcast(few), (F.col("id") == F.col("of_id")) & (F.col("lang") == F.col("of_lang")))
     out: dict[str, dict[str, int]] = {}
     for r in rows.select("lang", "text").collect():

@@ -85,6 +85,18 @@ def test_all_pieces_take_part():
     assert known["▁function"] in language_id.lattices(["▁function"], known) and known["translation"] in language_id.lattices(["▁translation"], known)
 
 
+def test_every_language_is_learnt(spark, monkeypatch):
+    """With more languages than fit at the full number of rows, each has fewer rows; long runs of letters are learnt too."""
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    df = spark.createDataFrame([(10 * k + i, f"l{k}", f"word{'abcde'[k]}") for k in range(5) for i in range(10)], "doc_id long, lang string, text string")
+    got = language_id.training_words(df, lambda i: i.isNotNull(), most=5)
+    assert {x: sum(c.values()) for x, c in got.items()} == {f"l{k}": 2 for k in range(5)}
+    model = language_id.learn({"aa": {"the" * 30: 9}, "bb": {"der" * 30: 9}})
+    assert language_id.predict(model, ["thethe", "derder"])[0] == ["aa", "bb"]
+    known = language_id.pieces(model.path)
+    assert not np.allclose(model.prob[:-1, 0], model.prob[0, 0]) and model.prob[known["the"], 0] > model.prob[known["the"], 1]
+
+
 def test_language_table(docs, edge, nothing):
     rows = language_id.language_table(docs).collect()
     truth = {r.doc_id: r.lang for r in docs.collect()}
