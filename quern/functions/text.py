@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import fixed
+from quern.session import prepared
 
 
 def array_of(values: Sequence[str]) -> Column:
@@ -27,6 +28,7 @@ def normalize(c: Column, compatibility: bool = False) -> Column:
 
 def nfkc(c: Column) -> Column:
     """NFKC in Arrow batches; text without characters outside Latin-1 and Hangul syllables could skip it."""
+    prepared(SparkSession.active())
     return F.pandas_udf(_nfkc, "string", F.PandasUDFType.SCALAR)(c)
 
 

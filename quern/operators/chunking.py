@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import fixed
 from quern.functions import text as X
+from quern.session import prepared
 
 #: Where a long text may be cut, best first; the empty one cuts anywhere.
 SEPARATORS = ("\n\n", "\n", "다. ", "요. ", ". ", " ", "")
@@ -117,6 +118,7 @@ def chunk_files(files: DataFrame) -> DataFrame:
                 rows += [(file_id, i, c.text, c.page, c.section, c.label) for i, c in enumerate(chunked(items))]
             yield pd.DataFrame(rows, columns=["file_id", "idx", "text", "page", "section", "label"]).astype({"page": "Int32"})
 
+    prepared(files.sparkSession)
     return files.select("file_id", "blocks").mapInPandas(run, ddl)
 
 

@@ -11,10 +11,11 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
+from quern.session import prepared
 
 DIM = 64
 
@@ -51,6 +52,7 @@ def _column(f: Callable[[list], list], kind: str) -> Callable[[Column], Column]:
         for s in batches:
             yield pd.Series(f(list(s)), dtype=object)
 
+    prepared(SparkSession.active())
     return F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import fixed
 from quern.functions import text as X
+from quern.session import prepared
 
 
 def assemble(messages: DataFrame, most: int = 7000) -> DataFrame:
@@ -126,4 +127,5 @@ def thread_chunks(messages: DataFrame, size: int = fixed.CHUNK_SIZE) -> DataFram
                 rows += [(c, t, i, f"{header}\n{p}") for i, p in enumerate(pieces)]
             yield pd.DataFrame(rows, columns=["channel_id", "thread_ts", "idx", "text"])
 
+    prepared(joined.sparkSession)
     return joined.mapInPandas(run, "channel_id string, thread_ts string, idx long, text string")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.operators.chunking import Block
+from quern.session import prepared
 
 MOST_TEXT_BYTES, MOST_LINES, MOST_SHEET_ROWS = 20 * 1024 * 1024, 50_000, 2000
 
@@ -220,4 +221,5 @@ def parse_files(files: DataFrame) -> DataFrame:
             done = [parse(n, k, bytes(c or b"")) for n, k, c in zip(frame["name"], frame["kind"], frame["content"], strict=True)]
             yield pd.DataFrame({"file_id": frame["file_id"], "blocks": [[vars(b) for b in x] for x, _ in done], "error": [e for _, e in done]})
 
+    prepared(files.sparkSession)
     return with_kind.mapInPandas(run, ddl)
