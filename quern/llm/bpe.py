@@ -21,6 +21,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import prepared
+
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: Fixed value: the pre-tokenizer's pattern of byte-level files of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -138,6 +140,7 @@ def _mapped(df: DataFrame, schema: str, make) -> DataFrame:
             for start in range(0, batch.num_rows, 512):
                 yield pa.RecordBatch.from_pydict(make(batch.slice(start, 512)))
 
+    prepared(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import prepared
+
 #: White space of every contract: the space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -58,4 +60,5 @@ def map_rows(df: DataFrame, ddl: str, make, rows: int = 256) -> DataFrame:
                 out = make(*[c.to_pylist() for c in batch.slice(start, rows).columns])
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, kinds, strict=True)], schema=kinds)
 
+    prepared(df.sparkSession)
     return df.mapInArrow(run, ddl)

@@ -170,14 +170,23 @@ def test_gear_hash():
 
 
 def test_chunks_cover_and_resist_shifts():
-    text = prose(20, 800).encode()
-    starts, sizes, words = substring_dedup.chunk_places(text)
-    assert starts[0] == 0 and (starts[1:] == (starts + sizes)[:-1]).all() and starts[-1] + sizes[-1] == len(text) and words.sum() == 800
-    assert words[1:-1].max() <= substring_dedup.SPAN
-    pieces = lambda t: {t[a : a + n] for a, n, _ in zip(*substring_dedup.chunk_places(t))}
+    text = ("  " + prose(20, 400) + "\n\t " + prose(22, 400) + " \n").encode()
+    line, starts, words = substring_dedup.chunk_places(text)
+    assert line == b" ".join(text.split()) + b" " and starts[0] == 0 and starts[-1] == len(line) and words[-1] == 800
+    assert np.diff(words)[1:-1].max() <= substring_dedup.SPAN and (np.diff(words) > 0).all()
+    real = substring_dedup.byte_places(text, words)
+    assert real[0] == 0 and real[-1] == len(text)
+    assert [text[a:b].split() for a, b in zip(real, real[1:])] == [line[a:b].split() for a, b in zip(starts, starts[1:])]
+
+    def pieces(t):
+        line, at, _ = substring_dedup.chunk_places(t)
+        return {line[a:b] for a, b in zip(at, at[1:])}
+
     changed = prose(21, 3).encode() + b" " + text[:2000] + b" inserted words " + text[2000:]
     assert len(pieces(text) & pieces(changed)) > 0.85 * len(pieces(text))
-    assert [len(x) for x in substring_dedup.chunk_places(b"  \n ")] == [0, 0, 0]
+    assert pieces(text) == pieces(b"\n".join(text.split()))
+    for none in (b"  \n ", b""):
+        assert [len(x) for x in substring_dedup.chunk_places(none)] == [0, 1, 1]
 
 
 def shared_runs(texts, n):
@@ -219,22 +228,38 @@ def test_every_long_passage_is_found(spark):
 
 
 def test_repeated_units_are_found(spark):
-    """A passage of one to three words again and again, whose chunks are all short, and one of 51 words."""
+    """A passage of one to eight words again and again, also where line breaks stand elsewhere than in the first document."""
     rows, key = [], 0
-    for period in (1, 2, 3, 4):
-        for length in (51, 200):
-            for k in range(30):
+    for period in range(1, 9):
+        for length in (51, 60, 200):
+            for k in range(20):
                 unit = prose(50_000 + 100 * period + 1000 * length + k, period).split()
-                passage = " ".join((unit * length)[:length])
-                rows.append((key, prose(2 * key, 80) + " " + passage + " " + prose(2 * key + 1, 80)))
-                rows.append((key + 1, prose(90_000 + key, 60) + " " + passage + " " + prose(95_000 + key, 60)))
+                passage = (unit * length)[:length]
+                wrapped = "\n".join(" ".join(passage[i : i + 10]) for i in range(0, length, 10)) if k % 2 else " ".join(passage)
+                rows.append((key, prose(2_000_000 + key, 80) + " " + " ".join(passage) + " " + prose(3_000_000 + key, 80)))
+                rows.append((key + 1, prose(4_000_000 + key, 60) + "\t" + wrapped + "  " + prose(5_000_000 + key, 60)))
                 key += 2
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert shared_runs(rows, 51) <= {r.doc_id for r in substring_dedup.repeat_table(df).collect()} <= shared_runs(rows, 8)
+    found = {r.doc_id for r in substring_dedup.repeat_table(df).collect()}
+    assert {i for i, _ in rows if i % 2} <= shared_runs(rows, 51) <= found <= shared_runs(rows, 8)
     cut = {r.doc_id: len(r.text.split()) for r in substring_dedup.without_repeats(df).collect()}
     assert all(cut[i] < len(t.split()) for i, t in rows if i % 2)
 
 
+def test_rows_without_an_id(spark):
+    """Each text without an id is a document of its own: repeats among them and with others are found, and cut where they are."""
+    passage = prose(1, 80)
+    rows = [(None, prose(10 + k, 50) + " " + passage + " " + prose(20 + k, 50)) for k in range(3)] + [(5, prose(30, 40) + "\n" + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.repeat_table(df).collect()
+    assert sorted(str(r.doc_id) for r in found) == ["5", "None", "None"] and all(r.first_doc_id is None for r in found)
+    texts = {r.text for r in substring_dedup.without_repeats(df).collect()}
+    before = {t for _, t in rows}
+    assert len(texts & before) == 1 and all(len(t) < len(max(before, key=len)) - 200 for t in texts - before)
+    one = spark.createDataFrame([(None, rows[0][1])] * 2, "doc_id long, text string")
+    assert substring_dedup.repeat_table(one).count() == 0  # rows of equal id and text are one document
+
+
 @pytest.mark.parametrize("which", ["docs", "edge"])
 def test_without_repeats(request, which):
     df = request.getfixturevalue(which)
