@@ -4,8 +4,8 @@ Each rule rejects a text. On a sample the cascade measures what each rule costs
 it rejects, then orders the rules greedily by the rejections that are still new per second. On the full input a rule
 reads only texts that every earlier rule let pass; what it needs is computed under that guard.
 
-Defined cases: a null text counts as empty and fails ``short``; rows are judged one by one, so repeated rows and ties get
-equal verdicts; an empty table gives an empty result; columns of the input pass through, whatever their names. The order
+Defined cases: a null text counts as empty and fails ``short``; a text of any length is judged whole, with arrays of its
+words; rows are judged one by one, so repeated rows and ties get equal verdicts; an empty table gives an empty result; columns of the input pass through, whatever their names. The order
 of the rules depends on measured times; verdicts don't, since a text is kept only if no rule rejects it.
 """
 
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.text import SPACES, fresh, trimmed, words
 
-#: Rows that the estimate looks at, about; the sample is drawn by hash over the whole table.
+#: Rows that the estimate looks at, about, drawn from the whole table.
 SAMPLE_ROWS = 1_000
+SEED = 7
 WINDOW = 8
 
 
@@ -47,12 +48,15 @@ def repeat_steps() -> list[tuple[str, Callable[[dict[str, Column]], Column]]]:
     keeps it as one column and doesn't compute it anew for each element.
     """
 
-    def windows(c):
-        h = c["hashes"]
-        return F.when(
-            F.size(h) >= WINDOW,
-            F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[h[i + k] for k in range(WINDOW)])),
-        )
+    def joined(of: str, apart: int):
+        """Hashes of an item and of the one ``apart`` places on: of pairs, of four, of eight words."""
+
+        def make(c):
+            h = c[of]
+            n = F.greatest(F.size(h) - apart, F.lit(0))
+            return F.zip_with(F.slice(h, 1, n), F.slice(h, apart + 1, n), lambda a, b: F.xxhash64(a, b))
+
+        return make
 
     def ordered(c):
         w = c["windows"]
@@ -76,7 +80,9 @@ def repeat_steps() -> list[tuple[str, Callable[[dict[str, Column]], Column]]]:
     return [
         ("words", lambda c: words(c["text"])),
         ("hashes", lambda c: F.transform(c["words"], lambda w: F.xxhash64(w))),
-        ("windows", windows),
+        ("pairs", joined("hashes", 1)),
+        ("fours", joined("pairs", 2)),
+        ("windows", joined("fours", 4)),
         ("ordered", ordered),
         ("places", places),
         ("n_repeat_words", repeated),
@@ -153,13 +159,14 @@ def _seconds(df: DataFrame) -> float:
 def estimate_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
     """The rules in the order of the cascade, with what the sample shows of each.
 
-    The sample has about ``sample_rows`` rows of the whole table, chosen by the hash of the text. Each rule runs alone over
-    it for its cost; one more job counts each combination of verdicts, from which rejections among the rows still alive
-    follow. Rules that cost nothing measurable come by their rejections; ties keep the given order.
+    The sample has about ``sample_rows`` rows of the whole table, each drawn on its own, so that copies of one text, however
+    many, come in by their share. Each rule runs alone over it for its cost; one more job counts each combination of
+    verdicts, from which rejections among the rows still alive follow. A cost below a millisecond counts as one: the order
+    of rules that cheap follows their rejections; ties keep the given order.
     """
     n = docs.count()
-    step = max(1, n // sample_rows)
-    only = docs.select(F.col(f"`{text}`").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).persist()
+    only = docs.select(F.col(f"`{text}`").alias("text"))
+    only = (only.sample(min(1.0, sample_rows / n), SEED) if n > sample_rows else only).persist()
     try:
         rows = only.count()
         base, names = _with_base(only, "text")

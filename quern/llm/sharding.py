@@ -8,9 +8,10 @@ grow with the input, and rows find their shard by two small broadcast tables of
 Differencing: every item starts as a partial partition (its bytes and zeros). The two partial partitions with the largest
 spread are combined again and again, the largest shard of one with the smallest of the other.
 
-Defined cases: a null text has no bytes and CRC 0 and is a group of its own; a row's size is its bytes plus ``PER_ROW``.
-Equal texts share a shard, even where one group outweighs a fair share. Repeated rows get slots of their own. An empty
-table gives an empty result.
+Defined cases: a null text has no bytes and CRC 0 and is a group of its own; a row's size is its bytes plus ``PER_ROW``,
+and a text of any length is read once, for its bytes, CRC and digest. Equal texts share a shard, even where one group
+outweighs a fair share; items of equal bytes are differenced in the order of their digests. Repeated rows get slots of their
+own. An empty table gives an empty result. Only the id and the text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from quern.scratch import written
 PER_ROW = 8
 FINE = 32
 BUNDLES = 4096
-#: Rows that one task numbers, about.
-RUN_ROWS = 50_000
 
 
 def differenced(sizes: list[int], parts: int) -> list[int]:
@@ -90,19 +89,18 @@ def with_shard(rows: DataFrame, size: str, group: str, shards: int, out: str = "
     )
 
 
-def with_slot(rows: DataFrame, shard: str, order: list[str], n_rows: int, out: str = "slot") -> DataFrame:
+def with_slot(rows: DataFrame, shard: str, order: list[str], out: str = "slot") -> DataFrame:
     """``rows`` with a gapless number from 0 in each shard.
 
-    Rows of a shard are dealt into runs by hash; runs are numbered on their own and start where the earlier ones end, so
-    no task holds a whole shard.
+    Rows are numbered within the partitions they lie in and start where the partitions before end, so no task holds a whole
+    shard, nor all rows that are equal.
     """
-    runs = max(1, n_rows // RUN_ROWS)
-    rows = rows.withColumn("__run", F.pmod(F.xxhash64(*order), F.lit(runs)).cast("int"))
-    counts = rows.groupBy(shard, "__run").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(shard).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    placed = written(rows.withColumn("__run", F.spark_partition_id()), "shard-runs")
+    counts = placed.groupBy(shard, "__run").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(shard).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     starts = counts.select(F.col(shard).alias("__s"), F.col("__run").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     at = Window.partitionBy(shard, "__run").orderBy(*order)
-    numbered = rows.withColumn("__k", F.row_number().over(at) - 1)
+    numbered = placed.withColumn("__k", F.row_number().over(at) - 1)
     joined = numbered.join(starts, (F.col(shard) == F.col("__s")) & (F.col("__run") == F.col("__r")))
     return joined.withColumn(out, (F.col("__start") + F.col("__k")).cast("long")).drop("__run", "__k", "__s", "__r", "__start")
 
@@ -115,7 +113,6 @@ def sharded(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text: str
         F.coalesce(F.unhex(F.md5(t.cast("binary"))), F.lit(bytearray(b"null"))).alias("__group"),
     )
     narrow = written(narrow, "shard-rows")
-    n = narrow.count()
-    placed = written(with_shard(narrow, "size", "__group", shards).drop("__group"), "shard-placed")
-    out = with_slot(placed, "shard", ["doc_id", "text_crc32", "size"], n)
+    placed = with_shard(narrow, "size", "__group", shards).drop("__group")
+    out = with_slot(placed, "shard", ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
