@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,12 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table of the shared folder. The files go when the driver's JVM ends."""
+def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` as a table of the shared folder, in folders by the columns ``by``. The files go when the driver's JVM ends."""
     spark = df.sparkSession
     prepared(spark)
     path = f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
