@@ -245,28 +245,48 @@ URLS = [
 ]
 
 
-def test_urls(spark, data):
-    pages = spark.createDataFrame([(i, u, "h", "r", True) for i, u in enumerate(URLS)] + [(None, None, None, None, None)], "page_id long, url string, host string, rule string, __hit boolean")
-    listed = {h for u in URLS for h, _ in [parts(u)] if set(h.split(".")) & set(url_filter.LISTED_LABELS)}
-    want = sorted(str((i, *judged(u, listed))) for i, u in [*enumerate(URLS), (None, None)])
-    for most in (url_filter.MAX_BYTES, 0):
-        got = url_filter.judged_urls(pages, max_bytes=most)
-        assert sorted(str(tuple(r)) for r in got.select("page_id", "host", "path", "rule", "verdict").collect()) == want
+def test_urls(spark):
+    junk = "<p>%%% *** ### $$$</p>"
+    html = [junk if i % 3 == 1 else "<p>%%% ***</p>" if i % 3 else None for i in range(len(URLS))]
+    rows = [(i, u, "h", "r", True, h) for i, (u, h) in enumerate(zip(URLS, html, strict=True))] + [(None,) * 6]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string, __hit boolean, html string")
+    hosts = {h for u in URLS for h, _ in [parts(u)] if set(h.split(".")) & set(url_filter.LISTED_LABELS)}
+    addresses = {"".join(parts(u)) for u, h in zip(URLS, html, strict=True) if h == junk}
+
+    def want(hosts, addresses):
+        out = []
+        for i, u in [*enumerate(URLS), (None, None)]:
+            host, path = parts(u)
+            out.append(str((i, *judged(u, {host} if host in hosts or host + path in addresses else set()))))
+        return sorted(out)
+
+    text = lambda df: sorted(str(tuple(r)) for r in df.select("page_id", "host", "path", "rule", "verdict").collect())
+    for most in (url_filter.MAX_BYTES, 20):
+        assert text(url_filter.judged_urls(pages, max_bytes=most)) == want(hosts, addresses)
+    assert text(url_filter.judged_urls(pages.drop("html"))) == want(hosts, set())
+    assert text(url_filter.judged_urls(pages, hosts=spark.createDataFrame([("notnet",)], "k string"))) == want({"notnet"}, addresses)
     assert url_filter.judged_urls(pages.limit(0)).count() == 0
 
 
-def test_cascade_is_exact(spark):
+def test_cascade_is_exact(spark, monkeypatch):
     """Also where the first level is far too small: more levels repair it."""
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = keys.where(F.crc32(F.col("key").cast("binary")) % 5 == 0)
     for first in (url_filter.FIRST_RATE, 1 / 2):
-        old, url_filter.FIRST_RATE = url_filter.FIRST_RATE, first
-        try:
-            cascade = url_filter.build_cascade(listed, keys)
-        finally:
-            url_filter.FIRST_RATE = old
+        monkeypatch.setattr(url_filter, "FIRST_RATE", first)
+        cascade = url_filter.build_cascade(url_filter.known_keys(listed, keys))
         assert len(cascade.levels) > 2
         hits = {r.key for r in keys.where(cascade.listed(F.col("key"))).collect()}
         assert hits == {r.key for r in listed.collect()}
-    assert url_filter.build_cascade(keys.limit(0), keys).listed(F.lit("x")) is not None
-    assert url_filter.build_cascade(keys, keys.limit(0), max_bytes=64) is None
+        assert abs(cascade.n_bytes - url_filter.expected_bytes(len(hits), 3000 - len(hits))) < 0.1 * cascade.n_bytes + 64
+    assert url_filter.build_cascade(url_filter.known_keys(keys.limit(0), keys)).listed(F.lit("x")) is not None
+
+
+def test_more_than_a_million_listed_keys(spark):
+    """Keys for several cascades: every verdict is right, null keys and unlisted ones included, and each cascade is bounded."""
+    rows = spark.range(1_600_000).select(F.when(F.col("id") % 100_000 != 7, F.concat(F.lit("host"), "id")).alias("k"), F.col("id").alias("of"))
+    listed = spark.range(1_100_000).select(F.concat(F.lit("host"), "id").alias("key"))
+    out = url_filter.with_listed(rows, "k", listed, "hit")
+    wrong = out.where(F.col("hit") != (F.col("k").isNotNull() & (F.col("of") < 1_100_000)))
+    assert out.columns == ["k", "of", "hit"] and out.count() == 1_600_000 and wrong.count() == 0
+    assert url_filter.expected_bytes(1_100_000, 500_000) > url_filter.MAX_BYTES
