@@ -9,11 +9,14 @@ candidates ends it before.
 
 At distance ``R`` a direction collides with probability 0.82 and 47 of 64 are needed, so a neighbour at the very edge of
 the final radius is missed about once in thirty and hardly ever further in. All vectors are indexed.
-Parts hold ``PART_ROWS`` vectors; every query visits every part, and the best of all parts are merged per query.
+Parts hold ``PART_ROWS`` vectors; every query visits every part, and the best of all parts are merged per query. The work is
+thus queries times rows, as it is for any method where windows of most directions hold a fixed share of the vectors.
 
 Defined cases: vectors that are null, zero or hold null or non-finite numbers take no part, as queries neither; only
-vectors of a query's length are its candidates; rows with the query's id are not. Repeated ids count as rows of their own
-on the candidates' side, a repeated query is asked once. Ties go to the smaller id. An empty table gives an empty result.
+vectors of a query's length are its candidates; rows with the query's id are not. Numbers are searched and measured as
+doubles; a distance beyond their range is infinite and comes last. Repeated ids count as rows of their own on the
+candidates' side, a repeated query is asked once, with the first of its vectors in order. Ties go to the smaller id. An empty
+table gives an empty result. Other columns take no part, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.text import arrow_schema
+from quern.session import prepared
 
 PROJECTIONS, WIDTH, NEEDED, GROW = 64, 2.719, 47, 1.1
 PART_ROWS = 16_384
@@ -43,9 +47,13 @@ class Part:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
-        self.squares = (self.vectors**2).sum(axis=1)
+        with np.errstate(over="ignore"):
+            self.squares = (self.vectors**2).sum(axis=1)
         self.axes = directions(vectors.shape[1])
-        values = self.axes @ self.vectors.T
+        # projections of numbers near the end of the range would overflow; a power of two scales them without loss
+        largest = float(np.abs(self.vectors).max())
+        self.scale = 2.0**-512 if largest > 1e150 else 1.0
+        values = self.axes @ (self.vectors * self.scale).T
         rows = np.argsort(values, axis=1, kind="stable")
         n, self.most = len(ids), float(np.abs(values).max()) + 1
         self.shift = np.arange(PROJECTIONS) * 4 * self.most
@@ -67,7 +75,7 @@ class Part:
         """
         n = len(self.ids)
         query = query.astype(np.float64)
-        center = np.clip(self.axes @ query, -self.most + 1e-9, self.most - 1e-9)
+        center = np.clip(self.axes @ (query * self.scale), -self.most + 1e-9, self.most - 1e-9)
         seen = self.ids == own
         left = n - int(seen.sum())
         radius = self.radius / GROW
@@ -88,7 +96,7 @@ class Part:
                 seen[new] = True
                 left -= len(new)
                 best = self.verified(new, query, best, k)
-            if len(best) == k and best[-1][0] <= radius:
+            if len(best) == k and best[-1][0] * self.scale <= radius:
                 break
             if a[0] == self.begin[0] and (b - a == n).all():
                 rest = np.flatnonzero(~seen)
@@ -101,12 +109,14 @@ class Part:
         """The best so far with these rows. A matrix product bounds the distances; those that can count are computed exactly."""
         if not len(rows):
             return best
-        rough = self.squares[rows] - 2 * (self.vectors[rows] @ query) + float(query @ query)
-        if len(rows) > k:
-            limit = np.partition(rough, k - 1)[k - 1]
-            rows = rows[rough <= limit + 1e-6 * (1 + abs(limit))]
-        gap = self.vectors[rows] - query
-        dist = np.sqrt((gap * gap).sum(axis=1))
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = self.squares[rows] - 2 * (self.vectors[rows] @ query) + float(query @ query)
+            if len(rows) > k and np.isfinite(rough).all():
+                limit = np.partition(rough, k - 1)[k - 1]
+                # what rounding can do to a rough value grows with the squares that it is the difference of
+                rows = rows[rough <= limit + 1e-9 * (float(self.squares[rows].max()) + float(query @ query))]
+            gap = self.vectors[rows] - query
+            dist = np.sqrt((gap * gap).sum(axis=1))
         return sorted([*best, *zip(dist.tolist(), self.ids[rows].tolist(), strict=True)])[:k]
 
 
@@ -119,7 +129,7 @@ def usable(vector: Column) -> Column:
 def neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each row for which ``is_query`` of its id holds."""
     v = F.col(f"`{vector}`")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.cast("array<float>").alias("vector")).where(usable(v) & F.col(f"`{id_col}`").isNotNull())
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.cast("array<double>").alias("vector")).where(usable(v) & F.col(f"`{id_col}`").isNotNull())
     n = vectors.count()
     parts = max(1, -(-n // PART_ROWS))
     index = rows.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "vector")
@@ -158,6 +168,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id"
                 out[2].extend(a for a, _ in found)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kinds, strict=True)], schema=kinds)
 
+    prepared(vectors.sparkSession)
     found = dealt.mapInArrow(run, ddl)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,13 +5,15 @@ into pieces, of the products of their probabilities; the forward algorithm gives
 text's likelihood is the product over its words (runs of letters in lower case, each with the mark of a word's
 beginning), and its score is the winner's share with all languages equally likely beforehand.
 
-Training takes a bounded sample (``MOST_ROWS`` rows of each language, chosen by hash) to the driver and estimates the
-pieces' probabilities there by expectation maximisation over the same lattices. The model is a table of pieces by
+Training takes a bounded sample (``MOST_ROWS`` rows of each language, chosen by hash; fewer with over ``MOST_LANGUAGES``)
+and counts its words on the executors; the driver gets the words and estimates the pieces' probabilities by expectation
+maximisation over the same lattices. The model is a table of pieces by
 languages, some 32,000 rows. Scoring reads whole texts; a worker keeps what it has computed of words.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, and so is every text if there is nothing to
-learn from; equal likelihoods go to the first language by code point; equal texts get equal results; an empty table gives
-an empty result.
+learn from; equal likelihoods go to the first language by code point; equal texts get equal results; a text of any length
+is scored whole, from its distinct words; of training rows that have one id and language, one is chosen; an empty table gives
+an empty result. Other columns take no part, whatever they are called.
 """
 
 from __future__ import annotations
@@ -191,13 +193,22 @@ def training_words(docs: DataFrame, allowed, text: str = "text", lang: str = "la
     languages = narrow.select("lang").distinct().count()
     most = max(1, min(most, most * MOST_LANGUAGES // max(1, languages)))
     few = narrow.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= most)
-    few = few.groupBy("lang", "id").count().select(F.col("lang").alias("of_lang"), F.col("id").alias("of_id"))
+    few = few.select(F.col("lang").alias("of_lang"), F.col("id").alias("of_id")).distinct()
     rows = docs.select(i.alias("id"), x.alias("lang"), F.col(f"`{text}`").alias("text")).join(F.broadcast(few), (F.col("id") == F.col("of_id")) & (F.col("lang") == F.col("of_lang")))
-    out: dict[str, dict[str, int]] = {}
-    for r in rows.select("lang", "text").collect():
-        counts = out.setdefault(r["lang"], {})
-        for w in words(r["text"] or ""):
-            counts[w] = counts.get(w, 0) + 1
+    # one row of each id and language, whatever the table has of them
+    rows = rows.groupBy("id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
+
+    def count(langs, bodies):
+        per: dict[tuple[str, str], int] = {}
+        for a, body in zip(langs, bodies, strict=True):
+            for w in words(body or ""):
+                per[a, w] = per.get((a, w), 0) + 1
+        return [a for a, _ in per], [w for _, w in per], list(per.values())
+
+    counted = map_rows(rows, "lang string, word string, n long", count).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    out: dict[str, dict[str, int]] = {a: {} for (a,) in rows.select("lang").distinct().collect()}
+    for r in counted.orderBy("lang", "word").collect():
+        out[r["lang"]][r["word"]] = r["n"]
     return out
 
 

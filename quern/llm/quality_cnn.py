@@ -5,12 +5,15 @@ chunk; a filter's answer to a byte at a place is a learned number, so a filter i
 Rectified answers are max-pooled over the chunk. A text is described by the largest, smallest and mean pooled answer of
 each filter over its chunks and by the logarithm of its length, and a hidden layer turns these into one probability.
 
-Training takes a bounded sample of labelled rows (``MOST_ROWS``, chosen by hash) to the driver and runs Adam over
-mini-batches from a fixed seed, over all chunks of each text and pooled as in scoring.
+Training takes a bounded sample of labelled rows to the driver (``MOST_ROWS`` of those whose id the table has, by hash, as
+long as their texts have ``MOST_BYTES`` together; each text is taken whole) and runs Adam over mini-batches from a fixed
+seed, over all chunks of each text and pooled as in scoring.
 Scoring reads every byte of every text. The network is of fixed size (some 60 KB) and goes to the tasks in the closure.
 
 Defined cases: null and empty texts have one chunk of zero bytes and get a score like any other; equal texts get equal
-scores; without any labelled rows every score is 0.5; an empty table gives an empty result.
+scores; without any labelled rows every score is 0.5; an id that has several texts or labels trains with each; a text of any
+length is scored whole, 16 KB at a time; an empty table gives an empty result. Other columns take no part, whatever they
+are called.
 """
 
 from __future__ import annotations
@@ -18,15 +21,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.text import map_rows
 
 CHUNK, STEP, WIDTH, FILTERS, HIDDEN = 512, 256, 6, 24, 16
 COLUMNS = np.arange(FILTERS)
-#: Labelled rows the driver trains on, at most.
-MOST_ROWS = 3_000
+#: Labelled rows the driver trains on, and bytes of their texts together, at most.
+MOST_ROWS, MOST_BYTES = 3_000, 64 * 1024 * 1024
 EPOCHS, BATCH, RATE = 12, 32, 4e-3
 THRESHOLD = 0.3
 
@@ -138,7 +141,7 @@ def train(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, se
     y = np.array(labels, np.float32)
     weights = net.trained()
     m1, m2 = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    first = np.stack([features(pooled(net, d), len(t or b"")) for t, d in zip(texts[:256], bodies[:256], strict=True)])
+    first = np.stack([features(pooled(net, d), len(t or b"")) for t, d in zip(texts, bodies, strict=True)])
     net.mean, net.scale = first.mean(axis=0), first.std(axis=0) + np.float32(0.1)
     step = 0
     for epoch in range(epochs):
@@ -178,12 +181,21 @@ def train(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, se
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, allowed, text: str = "text", id_col: str = "doc_id", label: str = "quality", most: int = MOST_ROWS) -> tuple[list, list]:
-    """Texts and labels of at most ``most`` labelled rows whose id is ``allowed``, those with the smallest hashes."""
-    marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("y").isNotNull() & allowed(F.col("id")))
-    few = marked.orderBy(F.xxhash64("id"), "id", "y").limit(most)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id2"), F.col(f"`{text}`").cast("binary").alias("text")).join(F.broadcast(few), F.col("id2") == F.col("id"))
-    got = rows.select("id", "y", "text").orderBy("id", "y", F.md5(F.coalesce("text", F.lit(bytearray(b""))))).limit(most).collect()
+def training_rows(
+    docs: DataFrame, labels: DataFrame, allowed, text: str = "text", id_col: str = "doc_id", label: str = "quality", most: int = MOST_ROWS, most_bytes: int = MOST_BYTES
+) -> tuple[list, list]:
+    """Texts and labels of at most ``most`` labelled rows whose id is ``allowed`` and in ``docs``: those with the smallest
+    hashes, up to the row where their texts have more than ``most_bytes`` together. Rows are chosen on ids and lengths; texts
+    then come by a join with that choice."""
+    i, body = F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("binary")
+    marked = labels.select(i.alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("y").isNotNull() & allowed(F.col("id"))).distinct()
+    known = docs.select(i.alias("id"), F.coalesce(F.octet_length(body), F.lit(0)).alias("n"), F.coalesce(F.md5(body), F.lit("")).alias("m")).where(F.col("id").isNotNull())
+    few = known.join(marked, "id").distinct().orderBy(F.xxhash64("id"), "id", "y", "m").limit(most)
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id", "y", "m").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    few = few.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select(F.col("id").alias("of"), "y", F.col("m").alias("of_m"))
+    rows = docs.select(i.alias("id"), body.alias("text")).withColumn("m", F.coalesce(F.md5("text"), F.lit("")))
+    rows = rows.join(F.broadcast(few), (F.col("id") == F.col("of")) & (F.col("m") == F.col("of_m"))).groupBy("id", "y", "m").agg(F.first("text").alias("text"))
+    got = rows.orderBy("id", "y", "m").collect()
     return [None if x["text"] is None else bytes(x["text"]) for x in got], [x["y"] for x in got]
 
 

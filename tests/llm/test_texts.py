@@ -168,7 +168,7 @@ def test_quality_table(spark, docs, edge, nothing):
 
 
 def brute(rows, k):
-    usable = [(i, np.array(v, np.float32)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    usable = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}
     for i, v in usable:
         if i % 100 == 0:
@@ -188,7 +188,7 @@ def test_neighbours(spark, monkeypatch, part_rows):
     assert set(got) == set(want)
     assert np.mean([len({j for _, j in got[i]} & {j for _, j in want[i]}) / 10 for i in want]) >= 0.9
     exact = {i: {j: d for d, j in brute_row} for i, brute_row in want.items()}
-    assert all(abs(d - exact[i][j]) < 1e-12 for i, x in got.items() for d, j in x if j in exact[i])
+    assert all(d == exact[i][j] for i, x in got.items() for d, j in x if j in exact[i])
 
 
 def test_neighbour_cases(spark):
@@ -198,3 +198,30 @@ def test_neighbour_cases(spark):
     got = [tuple(r) for r in ann.neighbours(df, lambda i: i % 100 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 0.0), (0, 2, 8, 0.0), (0, 3, 8, 0.0), (0, 4, 2, 2.0**0.5)]
     assert ann.neighbours(df.limit(0), lambda i: i % 100 == 0).count() == 0
+
+
+def test_neighbours_of_doubles(spark):
+    """Scores are those of the original doubles, bit for bit, whatever their size; what overflows comes last."""
+    r = np.random.default_rng(5)
+    for scale in (1.0, 1e-200, 1e160):
+        rows = [(i, (scale * r.normal(size=8)).tolist()) for i in range(300)]
+        got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 100 == 0).orderBy("query_id", "rank").collect()
+        want = brute(rows, 10)
+        assert len(got) == 30
+        for q, expected in want.items():
+            mine = [(x.score, x.vec_id) for x in got if x.query_id == q]
+            assert scale == 1e160 or len(set(mine) & set(expected)) >= 9, (scale, q)
+            assert all(d == float(np.sqrt(((np.array(rows[j][1]) - np.array(rows[q][1])) ** 2).sum())) for d, j in mine)
+    near = [(0, [0.1, 0.2]), (1, [0.3, 0.2]), (2, [1e300, 0.0]), (3, [5e-324, 0.0])]
+    got = ann.neighbours(spark.createDataFrame(near, "vec_id long, embedding array<double>"), lambda i: i == 0).orderBy("rank").collect()
+    assert [(x.vec_id, x.score) for x in got] == [(1, 0.19999999999999998), (3, float(np.hypot(0.1, 0.2))), (2, float("inf"))]
+
+
+def test_training_rows(spark):
+    """Labels of ids that the table doesn't have take no places, and long texts end the sample rather than lose their ends."""
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(None, "y"), (7, "other")], "doc_id long, text string")
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    texts, y = quality_cnn.training_rows(docs, labels, lambda i: i.isNotNull(), most=40)
+    assert len(texts) == len(y) == 40
+    texts, _ = quality_cnn.training_rows(docs, labels, lambda i: i.isNotNull(), most_bytes=1234)
+    assert 1000 < sum(map(len, texts)) <= 1234 and {len(t) for t in texts} <= {100, 5}
