@@ -137,6 +137,37 @@ LOCATE_SEEK_WEAK = "찾아|찾을|보여|알려"
 ROLE_TEMPLATE = r"(?i)양식|서식|template|form|작성용|빈\s?파일|제출서류|샘플|예시"
 ROLE_ARCHIVE = "(?i)제출본|완료|최종|복사본|backup|백업|draft|초안|_구|이전|old"
 
+LOCATE_YEAR = r"\b(20[0-9]{2})년?"
+LOCATE_MONTH = r"(?:20[0-9]{2})[년\-./ ]+\s*(1[0-2]|0?[1-9])월?"
+LOCATE_RECENT, LOCATE_FOLDER = "최신|최근|가장\\s*최근", r"폴더|디렉터리|모아\s*둔"
+LOCATE_QUOTED, LOCATE_FILE = r"""['"]([^'"]+\.[A-Za-z0-9]+)['"]""", r"(\S+\.[A-Za-z0-9]+)"
+FOLDER_MIME = "application/vnd.google-apps.folder"
+LIVE_FALLBACK = "실시간 Google Drive 검색을 사용할 수 없어 로컬 색인 결과를 사용했어."
+AMBIGUOUS_NOTE = '위치를 먼저 찾았어. 내용이나 방법·절차를 알고 싶은 질문이었으면 "~어떻게 해", "~내용 알려줘" 처럼 다시 물어봐.'
+
+# --- layout of answers
+ANSWER_BOTH = (
+    "[답변 구성]\n본문을 아래 세 제목 순서로 나눠 작성해.\n### Google Drive에서 확인된 내용\n### Slack에서 확인된 내용\n### 두 출처를 종합하면\n"
+    "각 사실에는 기존 자료 번호로 인용하고, 종합 섹션에서는 두 출처가 함께 뒷받침하는 내용만 설명해. 억지로 공통점을 만들지 마."
+)
+ANSWER_DRIVE = "[답변 구성]\n본문 제목을 `### Google Drive에서 확인된 내용`으로 작성하고 각 사실에 기존 자료 번호로 인용해."
+ANSWER_SLACK = "[답변 구성]\n본문 제목을 `### Slack에서 확인된 내용`으로 작성하고 각 사실에 기존 자료 번호로 인용해."
+ANSWER_FORMATS = (
+    ("chronological", "결과를 날짜순으로 정리해."),
+    ("by_person", "결과를 담당자별로 정리해."),
+    ("table", "결과를 Markdown 표로 정리해."),
+    ("table_by_person", "결과를 담당자별 Markdown 표로 정리해."),
+)
+
+# --- enrichment
+SYNOPSIS_SAMPLE, SYNOPSIS_LEAST, SYNOPSIS_SHORT = 1500, 200, 10
+THREAD_SAMPLE, THREAD_LEAST, THREAD_MOST = 6000, 100, 500
+THREAD_STATUS = ("참여했다", "참여했습니다", "채널에 들어", "상태 변경")
+FILE_NAME_BYTES, FILE_ENDING_BYTES = 200, 20
+PDF_PAGES, PDF_TEXT_RATIO = 10, 0.2
+SPLIT_DEPTH = 4
+CHANNEL_TTL_S, ANCESTRY_TTL_S = 300, 86_400
+
 # --- chat
 SYSTEM_EVENT = r"(?i)채널에 참여(?:함|했습니다)|채널에 .*추가했습니다|채널을 떠남|채널에서 자신을 제거했습니다|joined the channel"
 CREDENTIAL = r"(?i)(비밀번호|비번|password|passwd|pwd|pass|pw)(\s*(?:(?:은|는|:|=)\s*|is\s+)|\s+)([^\s,;]+)"
@@ -165,6 +196,9 @@ BARE_HEADINGS = (
 AUDIT_CREDENTIAL = r"(?i)\b(?:client_secret|access_token|refresh_token|password|passwd|api_key)\b[\"']?\s*[:=]\s*([^#]+)"
 AUDIT_PRIVATE_IP = r"\b(?:10(?:\.[0-9]{1,3}){3}|192\.168(?:\.[0-9]{1,3}){2}|172\.(?:1[6-9]|2[0-9]|3[01])(?:\.[0-9]{1,3}){2})\b"
 
+AUDIT_FORWARDED = r"^(settings\.|section\.|self\.|os\.|config\.|token\.|data\[|str\(|getenv\(|None|\{\}|\[\])"
+AUDIT_EXAMPLE = "^(your-|your_|example-|example_|changeme)"
+
 # --- tabular data
 NUMBER = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
 DATE_OR_TIME = r"^[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?$|^[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?$"

@@ -36,6 +36,32 @@ def _nfkc(s):
     return s.str.normalize("NFKC")
 
 
+def normal_text(s: str) -> str:
+    """What :func:`normalize` with ``compatibility`` gives, of one string in the driver."""
+    import re
+    import unicodedata
+
+    return re.sub(r"\s+", " ", re.sub(r"[\\/_\-.()\[\]{}／·]", " ", unicodedata.normalize("NFKC", s).lower())).strip()
+
+
+def safe_name(name: str, most: int = fixed.FILE_NAME_BYTES) -> str:
+    """A file name that a local file can have: NFC, no separators, ``most`` bytes at most with its ending kept."""
+    import unicodedata
+
+    def cut(s: str, size: int) -> str:
+        return s.encode()[: max(0, size)].decode(errors="ignore")
+
+    out = unicodedata.normalize("NFC", name).replace("/", "／").replace("\\", "＼")
+    out = "_" + out if out in (".", "..", "") else out
+    if len(out.encode()) <= most:
+        return out
+    stem, dot, ending = out.rpartition(".")
+    if not dot:
+        return cut(out, most)
+    ending = cut(ending, fixed.FILE_ENDING_BYTES)
+    return cut(stem, most - len((dot + ending).encode())) + dot + ending
+
+
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(fixed.TOKEN), F.lit(0))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import fixed
 from quern.functions import text as X
+from quern.operators import vector
 
 
 def score_documents(
@@ -18,14 +21,19 @@ def score_documents(
 
     The phrase of all terms in the name counts 60, a term in the name 20 or else in the path 5, a hint in the name 30, a
     preferred folder 30. ``allowed`` folders and ``statuses`` are hard filters. One pass over narrow columns.
+
+    A manifest of :mod:`quern.operators.indexing` has ``name_key`` and ``path_key``, names in their NFKC form, which are then
+    read; other tables are normalised here, without NFKC, so that no Python runs over the whole manifest.
     """
+    terms = [unicodedata.normalize("NFKC", t) for t in terms]
     f = files.where(F.col("status").isin(*statuses))
     if allowed:
         keep = F.lit(False)
         for folder in dict.fromkeys(allowed):
             keep = keep | X.within(F.col("root"), folder)
         f = f.where(keep)
-    f = f.withColumns({"__name": X.normalize(F.col("name")), "__path": X.normalize(F.col("path"))})
+    key = lambda c: F.coalesce(f"{c}_key", X.normalize(F.col(c))) if f"{c}_key" in files.columns else X.normalize(F.col(c))
+    f = f.withColumns({"__name": key("name"), "__path": key("path")})
     name, path = F.col("__name"), F.col("__path")
     parts: list[tuple[Column, int, str]] = []
     if terms:
@@ -70,7 +78,45 @@ def canonical_intents(queries: DataFrame, records: DataFrame) -> DataFrame:
     return q.join(small(records), fits, "left").groupBy("id").agg(F.min_by("key", "ord").alias("record"))
 
 
-def lexical_candidates(files: DataFrame, chunks: DataFrame, terms: Sequence[str], max_files: int = fixed.LEXICAL_FILES, per_file: int = fixed.LEXICAL_CHUNKS, **how) -> DataFrame:
-    """The first chunks of the best files by name: a join with five files at most."""
-    best = search_documents(files, terms, limit=max_files, **how).select("file_id", F.col("score").alias("name_score"))
-    return chunks.where(F.col("idx") < per_file).join(F.broadcast(best), "file_id")
+def nearest_of_files(best: DataFrame, points: DataFrame, query: Sequence[float], per_file: int) -> DataFrame:
+    """``file_id, idx, score`` and the columns of ``best``: of each of its files the chunks nearest to the query.
+
+    ``best`` has a few files, so the vectors of no other file are read beyond the join, and at most ``per_file`` rows of a
+    file leave a task.
+    """
+    hits = vector.scored(points.join(F.broadcast(best), "file_id"), query)
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy(F.col("score").desc(), "idx"))
+    return hits.withColumn("__k", place).where(F.col("__k") <= per_file).select("idx", "score", *best.columns)
+
+
+def lexical_candidates(
+    files: DataFrame, chunks: DataFrame, points: DataFrame, query: Sequence[float], terms: Sequence[str], max_files: int = fixed.LEXICAL_FILES, per_file: int = fixed.LEXICAL_CHUNKS, **how
+) -> DataFrame:
+    """The chunks nearest to the query of the best files by name, with ``name_score``, ``seq`` and ``score``."""
+    best = search_documents(files, terms, limit=max_files, **how).select("file_id", F.col("score").alias("name_score"), "seq")
+    near = nearest_of_files(best, points, query, per_file)
+    return chunks.drop("seq").join(F.broadcast(near), ["file_id", "idx"])  # max_files * per_file rows at most
+
+
+def synopsis_candidates(
+    synopses: DataFrame, chunks: DataFrame, points: DataFrame, query: Sequence[float], roots: Sequence[str] | None = None,
+    max_files: int = fixed.SYNOPSIS_FILES, per_file: int = fixed.SYNOPSIS_CHUNKS,
+) -> DataFrame:
+    """The chunks nearest to the query of the files whose synopsis is nearest, with ``synopsis``, ``file_score`` and ``score``.
+    ``synopses``: ``file_id, root, synopsis, vector``."""
+    top = vector.search(synopses, query, max_files, roots=roots, ties=("file_id",))
+    top = top.select("file_id", "synopsis", F.col("score").alias("file_score"))
+    near = nearest_of_files(top, points.where(F.col("root").isin(list(roots))) if roots else points, query, per_file)
+    return chunks.drop("seq").join(F.broadcast(near), ["file_id", "idx"])
+
+
+def load_records(spark, path: str) -> DataFrame:
+    """Canonical records of a JSON file ``{"records": {key: {...}}}`` as a table; an error if it has another form. Records
+    keep the order of the file."""
+    text = spark.read.text(path, wholetext=True).first()
+    value = json.loads(text[0]) if text else None
+    if not isinstance(value, dict) or not isinstance(value.get("records"), dict):
+        raise ValueError(f"{path} is not an object with an object of records")
+    lists = ("intent_terms", "context_terms", "exclude_if_present", "preferred_roots", "filename_hints")
+    rows = [(i, k, *[list(r.get(x) or []) for x in lists], r.get("operation", "canonical_record")) for i, (k, r) in enumerate(value["records"].items())]
+    return spark.createDataFrame(rows, "ord int, key string, " + ", ".join(f"{x} array<string>" for x in lists) + ", operation string")

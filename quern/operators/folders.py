@@ -29,6 +29,13 @@ def latest_file(files: DataFrame) -> DataFrame:
     return files.groupBy("root").agg(best.alias("b")).select("root", "b.mod_time", "b.file_id", "b.name")
 
 
+def most_recent(hits: DataFrame, files: DataFrame, chunks: DataFrame, most: int = 6) -> DataFrame:
+    """The first chunks of the latest file of the hits' dominant root; none if the hits name no root."""
+    root = F.broadcast(dominant_root(hits).select("root"))  # one row
+    best = latest_file(files.join(root, "root", "left_semi")).select("file_id")
+    return chunks.where(F.col("idx") < most).join(F.broadcast(best), "file_id", "left_semi")
+
+
 def status_summary(files: DataFrame) -> DataFrame:
     return files.groupBy("status").agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"))
 

@@ -72,26 +72,51 @@ def merge_live(indexed: DataFrame, live: DataFrame) -> DataFrame:
     usable = live.withColumn("live_rank", rank).where(~F.col("trashed") & F.col("inside_root"))
     a, b = indexed.alias("a"), usable.alias("b")
     pick = lambda c: F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c)
+    more = [pick(c) if c in indexed.columns and c in live.columns else F.col(c) for c in ("created", "mime_type") if c in indexed.columns or c in live.columns]
     return a.join(b, F.col("a.file_id") == F.col("b.file_id"), "full_outer").select(
-        F.coalesce("a.file_id", "b.file_id").alias("file_id"), pick("name"), pick("path"), pick("modified"),
+        F.coalesce("a.file_id", "b.file_id").alias("file_id"), pick("name"), pick("path"), pick("modified"), *more,
         (F.coalesce("a.rrf", F.lit(0.0)) + rrf([F.col("b.live_rank")])).alias("rrf"),
         F.when(F.col("a.file_id").isNull(), "live").when(F.col("b.file_id").isNull(), "indexed").otherwise("both").alias("provenance"),
     )
 
 
-def order_locations(files: DataFrame, wanted_name: str = "", year: str = "", most: int = fixed.TOP_FILES) -> DataFrame:
-    """By exact name, by stem, by the year in the name, by being in both lists, by fused rank, then name: all descending."""
+def by_recency(hits: DataFrame, stamp: str) -> DataFrame:
+    """``hits`` ranked anew: the latest first, a missing time last, equal times as before."""
+    newest = F.struct(F.coalesce(stamp, F.lit("")).alias("t"), (-F.col("rank")).alias("r")).desc()
+    return hits.withColumn("__new", F.row_number().over(Window.orderBy(newest))).drop("rank").withColumnRenamed("__new", "rank")
+
+
+def order_locations(files: DataFrame, wanted_name: str = "", year: str = "", most: int | None = fixed.TOP_FILES, folder: bool = False) -> DataFrame:
+    """By exact name, by stem, by being a folder if one was asked for, by the year in the name, by being in both lists, by
+    fused rank, then name: all descending. A table without ``mime_type`` has no folders."""
     name = X.normalize(F.col("name"))
     stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
     wanted = F.lit(wanted_name)
     keys = {
         "exact": (name == X.normalize(wanted)) if wanted_name else F.lit(False),
         "same_stem": (X.normalize(stem(F.col("name"))) == X.normalize(stem(wanted))) if wanted_name else F.lit(False),
+        "is_folder": F.coalesce(F.col("mime_type") == fixed.FOLDER_MIME, F.lit(False)) if folder and "mime_type" in files.columns else F.lit(False),
         "year_name": F.col("name").contains(year) if year else F.lit(False),
         "in_both": F.col("provenance") == "both",
     }
-    ordered = files.withColumns(keys).orderBy(*[F.col(k).desc() for k in keys], F.col("rrf").desc(), name.desc(), "file_id").limit(most)
-    return ordered.drop(*keys)
+    ordered = files.withColumns(keys).orderBy(*[F.col(k).desc() for k in keys], F.col("rrf").desc(), name.desc(), "file_id")
+    return (ordered.limit(most) if most is not None else ordered).drop(*keys)
+
+
+def order_locations_by_time(files: DataFrame, mode: str = "modified", year: str = "", month: str = "", most: int = fixed.TOP_FILES) -> DataFrame:
+    """Only files of the year (and month), by their time or their name, or all if there are none; then by the year in the
+    name and the fused rank if a year was asked for, by the asked time, the other one, and the name: all descending."""
+    from quern.functions import dates
+
+    first, second = ("created", "modified") if mode == "created" else ("modified", "created")
+    stamp = lambda c: F.coalesce(F.col(c), F.lit("")) if c in files.columns else F.lit("")
+    name = X.normalize(F.col("name"))
+    if year:
+        at = stamp(first)
+        there = at.startswith(year) & ((F.substring(at, 6, 2) == month) if month else F.lit(True))
+        files = keep_or_all(files, there | dates.name_has_year(name, year, month))
+    keys = [F.coalesce(dates.name_has_year(name, year), F.lit(False)).desc(), F.col("rrf").desc()] if year else []
+    return files.orderBy(*keys, stamp(first).desc(), stamp(second).desc(), name.desc(), "file_id").limit(most)
 
 
 def expand_neighbours(hits: DataFrame, chunks: DataFrame, top: int = 1, radius: int = 1) -> DataFrame:

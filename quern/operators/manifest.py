@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,19 +51,55 @@ def replace_files(chunks: DataFrame, outcome: DataFrame, new_chunks: DataFrame)
     return without(chunks, outcome).unionByName(new_chunks)
 
 
+def lookup(manifest: DataFrame, ids: list[str]) -> DataFrame:
+    """The rows of some ids; the filter reaches the scan."""
+    return manifest.where(F.col("file_id").isin(ids))
+
+
+def all_ids(manifest: DataFrame, root: str | None = None) -> DataFrame:
+    return (manifest if root is None else manifest.where(F.col("root") == root)).select("file_id").distinct()
+
+
+def known_roots(files: DataFrame, listings: DataFrame) -> DataFrame:
+    """Roots that have files or a listing."""
+    return files.select("root").unionByName(listings.select("root")).distinct()
+
+
+def has_listing(listings: DataFrame, root: str) -> bool:
+    return listings.where(F.col("root") == root).limit(1).count() > 0
+
+
+def listing_stats(listings: DataFrame) -> DataFrame:
+    """Listings by their number of files, the largest first."""
+    return listings.select("root", "n_files", "total_bytes").orderBy(F.col("n_files").desc(), "root")
+
+
 def run_counts(outcomes: DataFrame) -> DataFrame:
-    """One row: files by outcome, chunks, and a map of reasons."""
+    """One row: files by outcome, chunks, and a map of reasons. ``change``, if there, is null for files that weren't touched:
+    they count as unchanged, or as still failed, or as skipped as before."""
+    touched = F.col("change").isNotNull() if "change" in outcomes.columns else F.lit(True)
     reasons = outcomes.where(F.col("error").isNotNull()).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
     reasons = reasons.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("error", "n")))).alias("reasons"))
-    counts = outcomes.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("indexed", "skipped", "failed")], F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks"))
+    is_ = lambda s: F.col("status") == s
+    counts = outcomes.agg(
+        F.count_if(touched & is_("indexed")).alias("indexed"), F.count_if(is_("skipped")).alias("skipped"), F.count_if(touched & is_("failed")).alias("failed"),
+        F.count_if(~touched & is_("indexed")).alias("unchanged"), F.count_if(~touched & is_("failed")).alias("still_failed"),
+        F.coalesce(F.sum(F.when(touched, F.col("n_chunks"))), F.lit(0)).alias("chunks"),
+    )
     return counts.crossJoin(F.broadcast(reasons))
 
 
-def scope_roots(scope: DataFrame) -> DataFrame:
-    """Included roots without disabled ones; an error if a root is both included and excluded. ``root, included, excluded, enabled``."""
+def scope_roots(scope: DataFrame, mode: str = "folders") -> DataFrame:
+    """Included roots without disabled ones; an error if a root is both included and excluded. ``root, included, excluded, enabled``.
+
+    ``mode``: ``off`` takes no root, ``all`` every one that isn't excluded or disabled, ``folders`` those that are included.
+    """
+    if mode not in ("off", "all", "folders"):
+        raise ValueError(f"unknown mode: {mode}")
     bad = F.max(F.when(F.col("included") & F.col("excluded"), F.col("root"))).over(Window.partitionBy(F.lit(0)))
     checked = scope.withColumn("__ok", F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("included and excluded: "), bad)).cast("boolean")).otherwise(True))
-    return checked.where(F.col("__ok") & F.col("included") & F.col("enabled")).select("root")
+    wanted = {"off": F.lit(False), "all": ~F.col("excluded"), "folders": F.col("included")}[mode]
+    return checked.where(F.col("__ok") & wanted & F.col("enabled")).select("root")
 
 
 def fingerprint_changes(synopses: DataFrame, manifest: DataFrame, version: str) -> DataFrame:
@@ -77,37 +115,83 @@ def audit(lines: DataFrame) -> DataFrame:
     quoted = raw.rlike("^[\"']")
     value = F.when(quoted, F.regexp_extract(raw, "^([\"'])(.*?)(?:\\1|$)", 2)).otherwise(F.regexp_extract(raw, "^([^\\s\"',)}\\]]*)", 1))
     low = F.lower(value)
-    forwarded = value.rlike(r"^(settings\.|section\.|self\.|os\.|config\.|token\.|data\[|str\(|getenv\(|None|\{\}|\[\])")
-    placeholder = low.contains("<redacted>") | low.rlike("^(your-|your_|example-|example_|changeme)") | value.rlike("^<.*>$") | value.rlike(r"^[A-Za-z_]\w*(?:\.\w+)*(?:[),}\]]+)?$")
+    forwarded = value.rlike(fixed.AUDIT_FORWARDED)
+    placeholder = low.contains("<redacted>") | low.rlike(fixed.AUDIT_EXAMPLE) | value.rlike("^<.*>$") | value.rlike(r"^[A-Za-z_]\w*(?:\.\w+)*(?:[),}\]]+)?$")
     literal = F.col("text").rlike(fixed.AUDIT_CREDENTIAL) & ~forwarded & ~placeholder & (F.length(value) >= 8)
     rules = F.filter(F.array(F.when(literal, "credential"), F.when(F.col("text").rlike(fixed.AUDIT_PRIVATE_IP), "private_address")), lambda x: x.isNotNull())
     return lines.select("path", "line", F.explode(rules).alias("rule"))
 
 
-def versions(spark, path: str) -> list[int]:
-    """The complete versions of a keyed table, oldest first."""
+#: Buckets of a keyed table.
+BUCKETS = 64
+
+
+def _fs(spark, path: str):
     P = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = P(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(P(path)):
+    return P, P(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark, path: str) -> list[int]:
+    """The complete versions of a keyed table, oldest first. Each is a small file that names a folder for every bucket."""
+    P, fs = _fs(spark, path)
+    if not fs.exists(P(f"{path}/versions")):
         return []
-    names = [s.getPath() for s in fs.listStatus(P(path))]
+    names = [s.getPath() for s in fs.listStatus(P(f"{path}/versions"))]
     return sorted(int(n.getName()[1:]) for n in names if n.getName().startswith("v") and fs.exists(P(n, "_SUCCESS")))
 
 
+def _version(spark, path: str, v: int) -> tuple[dict[int, str], str]:
+    """The folders of a version's buckets, and the table's schema."""
+    lines = [r[0] for r in spark.read.text(f"{path}/versions/v{v}").collect()]  # a line for each bucket
+    parts = [x.split("\t", 1) for x in lines]
+    return {int(k): x for k, x in parts if k != "schema"}, next(x for k, x in parts if k == "schema")
+
+
+def _read(spark, folders: list[str], schema: str) -> DataFrame:
+    from pyspark.sql.types import StructType
+
+    kind = StructType.fromJson(json.loads(schema))
+    return spark.read.schema(kind).parquet(*folders) if folders else spark.createDataFrame([], kind)
+
+
 def read_keyed(spark, path: str) -> DataFrame:
     """The newest complete version of a keyed table."""
-    return spark.read.parquet(f"{path}/v{versions(spark, path)[-1]}")
+    had = versions(spark, path)
+    if not had:
+        raise FileNotFoundError(path)
+    folders, schema = _version(spark, path, had[-1])
+    return _read(spark, sorted(folders.values()), schema)
 
 
-def save_keyed(spark, path: str, new: DataFrame, keys: list[str], newest: Column | None = None) -> DataFrame:
-    """Upsert into a Parquet table at ``path``: the result is a new version's folder, which counts once it is complete, so
-    readers see the old or the new version whole. The version before is kept. Returns the new version."""
+def save_keyed(spark, path: str, new: DataFrame, keys: list[str], newest: Column | None = None, deleted: DataFrame | None = None) -> DataFrame:
+    """Upsert into a Parquet table at ``path``, and delete the keys of ``deleted``. Returns the new version.
+
+    Rows lie in ``BUCKETS`` folders by the hash of their key. Only buckets that new or deleted keys fall into are read and
+    written again; a version names the folder of each bucket and counts once its file is complete, so readers see the old or
+    the new version whole. The version before is kept; folders that neither names go.
+    """
+    P, fs = _fs(spark, path)
     had = versions(spark, path)
-    whole = spark.read.parquet(f"{path}/v{had[-1]}") if had else new.limit(0)
-    at = f"{path}/v{had[-1] + 1 if had else 0}"
-    upsert(whole, new, keys, newest).write.mode("overwrite").parquet(at)
-    P = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = P(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for v in had[:-1]:
-        fs.delete(P(f"{path}/v{v}"), True)
-    return spark.read.parquet(at)
+    folders, schema = _version(spark, path, had[-1]) if had else ({}, new.schema.json())
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    new = new.withColumn("__bucket", bucket)
+    gone = deleted.select(*keys).distinct().withColumn("__bucket", bucket) if deleted is not None else new.select(*keys, "__bucket").limit(0)
+    touched = [r[0] for r in new.select("__bucket").unionByName(gone.select("__bucket")).distinct().collect()]  # BUCKETS at most
+    old = _read(spark, [folders[b] for b in touched if b in folders], schema).withColumn("__bucket", bucket).join(gone.select(*keys), keys, "left_anti")
+    if deleted is not None:
+        new = new.join(gone.select(*keys), keys, "left_anti")
+    v = had[-1] + 1 if had else 0
+    at = f"{path}/data/v{v}"
+    upsert(old.select(*new.columns), new, keys, newest).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(at)
+    now = {b: x for b, x in folders.items() if b not in touched}
+    now |= {b: f"{at}/__bucket={b}" for b in touched if fs.exists(P(f"{at}/__bucket={b}"))}
+    lines = [*[f"{b}\t{x}" for b, x in sorted(now.items())], f"schema\t{schema}"]
+    spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1).write.mode("overwrite").text(f"{path}/versions/v{v}")
+    for before in had[:-1]:
+        fs.delete(P(f"{path}/versions/v{before}"), True)
+    keep = set(now.values()) | set(folders.values())
+    for version in fs.listStatus(P(f"{path}/data")):
+        for part in fs.listStatus(version.getPath()):
+            if part.getPath().getName().startswith("__bucket=") and not any(part.getPath().toString().endswith(x.split("://")[-1]) for x in keep):
+                fs.delete(part.getPath(), True)
+    return _read(spark, sorted(now.values()), schema)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import fixed
 from quern.functions import text as X
 
 
@@ -27,15 +30,28 @@ def sources_block(hits: DataFrame) -> DataFrame:
 
 def structure(kinds: Column, output_format: Column) -> Column:
     """How an answer should be laid out: by the kinds of its sources, then by the asked format."""
-    two = F.size(kinds) == 2
-    heads = F.when(two, "drive, slack, both").when(F.array_contains(kinds, "drive"), "drive").when(F.array_contains(kinds, "slack"), "slack").otherwise("")
-    form = (
-        F.when(output_format == "chronological", "by date").when(output_format == "by_person", "by person").when(output_format == "table", "as a table")
-        .when(output_format == "table_by_person", "as a table by person").otherwise("")
-    )
+    has = lambda k: F.array_contains(kinds, k)
+    heads = F.when(has("drive") & has("slack"), fixed.ANSWER_BOTH).when(has("drive"), fixed.ANSWER_DRIVE).when(has("slack"), fixed.ANSWER_SLACK).otherwise("")
+    form = F.lit("")
+    for name, text in fixed.ANSWER_FORMATS:
+        form = F.when(output_format == name, text).otherwise(form)
     return F.array_join(F.filter(F.array(heads, form), lambda x: x != ""), "\n")
 
 
+def messages(mode: str, question: str, system: str, history: Sequence[tuple[str, str]] = (), context: str = "", web: str = "", layout: str = "") -> list[dict[str, str]]:
+    """The messages of one answer: instructions, the last turns of the conversation, and the question with its material.
+
+    ``mode``: ``rag``, ``general``, ``web`` or ``rag_web``. General answers keep seven turns, others six; material that the
+    mode doesn't use is left out; turns of other roles than user and assistant, and empty ones, don't count.
+    """
+    if mode not in ("rag", "general", "web", "rag_web"):
+        raise ValueError(f"unknown mode: {mode}")
+    turns = [(r, t) for r, t in history if r in ("user", "assistant") and t and t.strip()][-(7 if mode == "general" else 6) :]
+    parts = [context if "rag" in mode else "", web if "web" in mode else "", layout if mode != "general" else ""]
+    body = "\n\n".join([*[x for x in parts if x], question])
+    return [{"role": "system", "content": system}, *[{"role": r, "content": t} for r, t in turns], {"role": "user", "content": body}]
+
+
 def histories(conversations: DataFrame, turns: int = 6) -> DataFrame:
     """Per conversation the messages before the last question, ``turns`` at most, as an array in order."""
     from pyspark.sql import Window

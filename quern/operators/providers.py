@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import fixed
 from quern.functions import text as X
 from quern.session import prepared
 
@@ -38,13 +39,49 @@ def first_sentence(texts: list[str]) -> list[str | None]:
     return [None if len(t or "") < 200 else re.split(r"(?<=[.!?])\s", (t or "")[:1500].strip())[0][:500] for t in texts]
 
 
-PROVIDERS: dict[str, Callable[[list], list]] = {"embed": hashed_embedding, "synopsis": first_sentence}
+def no_text(prompts: list[str]) -> list[str | None]:
+    """Generation without a model: nothing."""
+    return [None] * len(prompts)
 
 
-def register_provider(kind: str, f: Callable[[list], list]) -> None:
+#: ``embed`` and ``synopsis``: texts; ``rerank``: a query and texts, to scores, or None for :func:`overlap`; ``generate``:
+#: prompts to texts or None; ``tokenize``: texts to token ids.
+PROVIDERS: dict[str, Callable | None] = {
+    "embed": hashed_embedding, "synopsis": first_sentence, "rerank": None, "generate": no_text, "tokenize": lambda texts: [list((t or "").encode()) for t in texts],
+}
+
+
+def register_provider(kind: str, f: Callable | None) -> None:
+    if kind not in PROVIDERS:
+        raise ValueError(f"unknown kind of provider: {kind}")
     PROVIDERS[kind] = f
 
 
+def health() -> dict[str, str]:
+    """``ok`` for each provider that answers, else the name of what it raised."""
+    probes = {"embed": (["x"],), "synopsis": (["x"],), "rerank": ("x", ["x"]), "generate": (["x"],), "tokenize": (["x"],)}
+    out = {}
+    for kind, f in PROVIDERS.items():
+        try:
+            if f is not None:
+                f(*probes[kind])
+            out[kind] = "ok"
+        except Exception as e:  # a report on providers of any kind
+            out[kind] = type(e).__name__
+    return out
+
+
+def token_counts(texts: list[str], end: str = "<|endoftext|>") -> list[int]:
+    """Tokens of each text with the end mark: the whole is tokenised at once and cut at the mark; if that gives another
+    number of parts, each text is tokenised alone."""
+    f = PROVIDERS["tokenize"]
+    mark, (whole,) = f([end])[0], f(["".join(t + end for t in texts)])
+    ends = [i + len(mark) for i in range(len(whole) - len(mark) + 1) if whole[i : i + len(mark)] == mark] if mark else []
+    if len(ends) == len(texts):
+        return [b - a for a, b in zip([0, *ends], ends, strict=False)]
+    return [len(x) for x in f([t + end for t in texts])]
+
+
 def _column(f: Callable[[list], list], kind: str) -> Callable[[Column], Column]:
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -74,11 +111,51 @@ def overlap(query: str, text: Column) -> Column:
     return F.when(F.size(asked) == 0, 0.0).otherwise(F.size(F.array_intersect(asked, X.token_set(text))) / F.size(asked))
 
 
-def rerank(hits: DataFrame, query: str, order: str = "pos", text: str = "text") -> DataFrame:
+def rerank_score(query: str, text: Column) -> Column:
+    """The score of texts for a query by the registered reranker, else by :func:`overlap`."""
+    f = PROVIDERS["rerank"]
+    if f is None:
+        return overlap(query, text)
+    return _column(lambda texts: [float(x) for x in f(query, texts)], "double")(text)
+
+
+def rerank(hits: DataFrame, query: str, order: str = "pos", text: Column | str = "text") -> DataFrame:
     """``score`` and ``rank``: by score, ties by the order the hits came in. No threshold."""
     from quern.operators.fusion import with_rank
 
-    return with_rank(hits.withColumn("score", overlap(query, F.col(text))), "rank", F.col("score").desc(), F.col(order))
+    return with_rank(hits.withColumn("score", rerank_score(query, F.col(text) if isinstance(text, str) else text)), "rank", F.col("score").desc(), F.col(order))
+
+
+def generated(prompt: Column) -> Column:
+    return _column(PROVIDERS["generate"], "string")(prompt)
+
+
+def thread_contexts(threads: DataFrame, prompt: str = "#{channel}\n{text}") -> DataFrame:
+    """``channel_id, thread_ts, context`` of assembled threads by the generation provider: of the first characters, none of
+    short threads or notices, and only answers that can be used. Threads that have a context already are left out before."""
+    body = F.left("body", F.lit(fixed.THREAD_SAMPLE))
+    asked = threads.where((F.length(body) >= fixed.THREAD_LEAST) & ~body.contains("상태 변경됨"))
+    before, after = prompt.replace("{channel}", "\0").split("{text}")
+    filled = F.concat(F.replace(F.lit(before), F.lit("\0"), F.col("channel_name")), body, F.lit(after))
+    answer = F.trim(generated(filled))
+    usable = (F.length("context") >= 8) & ~F.upper("context").startswith("SKIP")
+    for word in fixed.THREAD_STATUS:
+        usable = usable & ~F.col("context").contains(word)
+    out = asked.select("channel_id", "thread_ts", answer.alias("context")).where(usable)
+    return out.withColumn("context", F.left("context", F.lit(fixed.THREAD_MOST)))
+
+
+def usable_synopsis(answer: Column) -> Column:
+    """A generated synopsis without quotes around it; null if it is short or says SKIP."""
+    bare = F.trim(F.btrim(F.trim(answer), F.lit('"')))
+    return F.when((F.length(bare) >= fixed.SYNOPSIS_SHORT) & ~F.upper(bare).startswith("SKIP"), bare)
+
+
+def file_synopsis(text: Column, prompt: str = "{text}") -> Column:
+    """The synopsis of a file's text by the generation provider: of its first characters, none of short texts."""
+    before, after = prompt.split("{text}")
+    sample = F.left(F.trim(text), F.lit(fixed.SYNOPSIS_SAMPLE))
+    return F.when(F.length(sample) >= fixed.SYNOPSIS_LEAST, usable_synopsis(generated(F.concat(F.lit(before), sample, F.lit(after)))))
 
 
 def rerank_text(hit: dict[str, Column]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,12 +16,13 @@ from quern.operators import catalog, fusion, providers, threads, vector
 @dataclass(frozen=True)
 class Stores:
     """``points``: ``file_id, idx, root, vector``; ``chunks``: ``file_id, idx, text, root``; ``files``: the manifest;
-    ``messages``: chat pieces, or None."""
+    ``messages``: chat pieces, or None; ``synopses``: ``file_id, root, synopsis, vector``, or None."""
 
     points: DataFrame
     chunks: DataFrame
     files: DataFrame
     messages: DataFrame | None = None
+    synopses: DataFrame | None = None
 
 
 def dense_candidates(s: Stores, query: list[float], k: int, roots: list[str] | None) -> DataFrame:
@@ -31,15 +33,21 @@ def dense_candidates(s: Stores, query: list[float], k: int, roots: list[str] | N
     return s.chunks.join(F.broadcast(top), ["file_id", "idx"]).select("file_id", "idx", "pos", "text", "root", F.lit("drive").alias("kind"))
 
 
-def name_candidates(s: Stores, terms: list[str], roots: list[str] | None) -> DataFrame:
-    found = catalog.lexical_candidates(s.files, s.chunks, terms, allowed=roots or ())
-    found = fusion.with_rank(found, "pos", F.col("name_score").desc(), F.col("file_id"), F.col("idx"))
+def name_candidates(s: Stores, query: list[float], terms: list[str], roots: list[str] | None) -> DataFrame:
+    found = catalog.lexical_candidates(s.files, s.chunks, s.points, query, terms, allowed=roots or ())
+    found = fusion.with_rank(found, "pos", F.col("name_score").desc(), F.col("seq"), F.col("score").desc(), F.col("idx"))
     return found.select("file_id", "idx", "pos", "text", "root", F.lit("drive").alias("kind"))
 
 
+def synopsis_candidates(s: Stores, query: list[float], roots: list[str] | None) -> DataFrame:
+    found = catalog.synopsis_candidates(s.synopses, s.chunks, s.points, query, roots)
+    found = fusion.with_rank(found, "pos", F.col("file_score").desc(), F.col("file_id"), F.col("score").desc(), F.col("idx"))
+    return found.select("file_id", "idx", "pos", "text", "root", F.lit("drive").alias("kind"), "synopsis")
+
+
 def chat_candidates(s: Stores, question: str, k: int) -> DataFrame:
     """The k pieces of chat that share most with the question, without system events and secrets, with their links."""
-    m = s.messages.where(threads.meaningful(F.col("text"))).withColumn("score", providers.overlap(question, F.col("text")))
+    m = s.messages.where(threads.meaningful(F.col("text"))).withColumn("score", providers.rerank_score(question, F.col("text")))
     top = m.orderBy(F.col("score").desc(), F.col("ts").desc(), "channel_id", "idx").limit(k)
     top = fusion.with_rank(top, "pos", F.col("score").desc(), F.col("ts").desc(), F.col("channel_id"), F.col("idx"))
     return top.select(
@@ -50,26 +58,44 @@ def chat_candidates(s: Stores, question: str, k: int) -> DataFrame:
 
 def retrieve(
     s: Stores, question: str, query: list[float], terms: list[str] = (), roots: list[str] | None = None, period: tuple[str, str] | None = None,
-    candidates: int = fixed.CANDIDATES, top_k: int = fixed.TOP_K, chat: bool = False, expand: int = 1,
+    candidates: int = fixed.CANDIDATES, top_k: int = fixed.TOP_K, chat: bool = False, expand: int = 1, sources: Sequence[str] = (), recent: bool = False,
 ) -> DataFrame:
-    """``file_id, idx, rank, score, is_neighbour`` (and ``kind`` with chat) of the answer's chunks."""
-    lists = [dense_candidates(s, query, candidates, roots)]
-    if terms:
-        lists.append(name_candidates(s, list(terms), roots))
-    if chat and s.messages is not None:
+    """``file_id, idx, rank, score, is_neighbour`` (and ``kind`` with chat) of the answer's chunks.
+
+    ``sources``: only ``drive`` or only ``slack``, if the question names one alone; an error if chat alone is asked for and
+    there is none. ``recent`` orders the top rows by time rather than by score.
+    """
+    only = set(sources) if len(set(sources)) == 1 else set()
+    if only == {"slack"} and s.messages is None:
+        raise LookupError("chat is not available")
+    lists = []
+    if only != {"slack"}:
+        lists.append(dense_candidates(s, query, candidates, roots))
+        if terms:
+            lists.append(name_candidates(s, query, list(terms), roots))
+        if s.synopses is not None:
+            lists.append(synopsis_candidates(s, query, roots))
+    if (chat or only == {"slack"}) and only != {"drive"} and s.messages is not None:
         lists.append(chat_candidates(s, question, candidates))
-    merged = fusion.merge_candidates(lists, notes=())
+    merged = fusion.merge_candidates(lists, notes=("synopsis",))
     if period:
         stamps = s.files.select("file_id", "mod_time", "name", "path")
         merged = merged.join(stamps, "file_id", "left")
         hit: dict[str, Column] = {"source": F.col("kind"), "thread_ts": F.col("thread_ts") if "thread_ts" in merged.columns else F.lit(None).cast("string"), **{k: F.col(k) for k in ("name", "path", "root", "mod_time")}}
         merged = merged.where(dates.in_period(hit, F.lit(period[0]).cast("date"), F.lit(period[1]).cast("date")))
     place = F.col("branch") * 1_000_000 + F.col("pos")
-    ranked = providers.rerank(merged.withColumn("place", place), question, order="place")
-    if chat:
+    said = {c: F.col(c) for c in ("synopsis", "text") if c in merged.columns}
+    ranked = providers.rerank(merged.withColumn("place", place), question, order="place", text=providers.rerank_text(said))
+    if recent:
+        when = s.files.select(F.col("file_id").alias("__of"), F.coalesce("mod_time", F.lit("")).alias("__when"))
+        when = ranked.join(when, F.col("file_id") == F.col("__of"), "left").withColumn("__when", F.coalesce("__when", F.lit("")))
+        ranked = fusion.by_recency(when, "__when").drop("__of", "__when")
+    if chat and not only:
         ranked = fusion.balance_sources(ranked, top_k)
         return ranked.select("file_id", "idx", "rank", "score", "kind")
     top = ranked.where(F.col("rank") <= top_k).select("file_id", "idx", "rank", "score")
+    if only == {"slack"}:
+        return top.withColumn("is_neighbour", F.lit(0))
     return fusion.expand_neighbours(top, s.chunks, top=expand)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,3 +90,51 @@ def summaries(profiles: DataFrame) -> DataFrame:
     """``file_id, text``: one block of text that stands for a table of numbers."""
     t = F.concat_ws(" ", F.lit("table:"), F.col("n_lines").cast("string"), F.lit("lines,"), F.format_string("%.0f%%", F.col("numeric_ratio") * 100), F.lit("numbers"))
     return profiles.where("is_table").select("file_id", t.alias("text"))
+
+
+def heading(line: str) -> str | None:
+    """What :func:`text.section` says of one line, for parsers."""
+    s = line.strip()
+    if not s or len(s) > 100:
+        return None
+    bare = re.sub("[.:]+$", "", s)
+    if bare.lower() in fixed.BARE_HEADINGS:
+        return bare
+    for p in (fixed.SECTION_CHAPTER, fixed.SECTION_ROMAN, fixed.SECTION_NUMBERED):
+        if m := re.match(p, s):
+            number, title = m[1], m[2].strip()
+            if "." in number:
+                plausible = all(int(x) <= 99 for x in number.split(".") if x)
+            else:
+                plausible = not number.isascii() or not number.isdigit() or int(number) <= 30
+            if plausible and not re.search("[.,;]$", title) and len(title.split()) <= 12:
+                return f"{number} {title}"
+            return None
+    return None
+
+
+def _numeric(token: str) -> bool:
+    t = token.strip().strip(fixed.WRAPPERS).strip()
+    fits = lambda x: bool(re.match(fixed.NUMBER, x) or re.match(fixed.DATE_OR_TIME, x))
+    if fits(t):
+        return True
+    m = re.match(fixed.LABELED_VALUE, t)
+    return bool(m) and fits(m[1].strip().strip(fixed.WRAPPERS).strip())
+
+
+def describe(source: str, shown: int = 3) -> str | None:
+    """A table of numbers as a few lines: its size, its columns, its first and last rows. None for other texts."""
+    lines = [x for x in source.split("\n") if x.strip()]
+    if len(lines) < fixed.NUMERIC_LINES:
+        return None
+    tokens = [t for x in lines[1 : fixed.NUMERIC_SAMPLE] for t in re.split(r"[,\t;|\s]+", x) if t.strip()]
+    ratio = sum(map(_numeric, tokens)) / len(tokens) if tokens else 0.0
+    if ratio < fixed.NUMERIC_RATIO:
+        return None
+    sep = delimiter("\n".join(lines))
+    first = [c.strip() for c in (lines[0].split(sep) if sep else lines[0].split())]
+    header = [] if any(map(_numeric, first)) else first
+    out = [f"table: {len(lines)} lines, {100 * ratio:.0f}% numbers"]
+    if header:
+        out.append("columns: " + ", ".join(header))
+    return "\n".join([*out, "first rows:", *lines[bool(header) : shown + bool(header)], "last rows:", *lines[-shown:]])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +13,39 @@ from quern.session import prepared
 
 
 def assemble(messages: DataFrame, most: int = 7000) -> DataFrame:
-    """One row per thread: its messages ``user: text`` by time, ``most`` characters of them. A thread's messages are
-    gathered in one row, which is what a thread is; messages without text are left out."""
+    """One row per thread: its messages ``user: text`` by time, ``most`` characters of them; messages without text are left
+    out. Only lines that begin within these characters are gathered, so a thread of any length is a row of bounded size."""
     said = messages.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    lines = F.array_sort(F.collect_list(F.struct("ts", "idx", F.concat(F.coalesce("user_name", F.lit("")), F.lit(": "), "text").alias("line"))))
-    joined = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
-    return said.groupBy("channel_id", "channel_name", "thread_ts").agg(F.left(joined, F.lit(most)).alias("body"), F.count(F.lit(1)).alias("n_messages"), F.max("ts").alias("last_ts"))
+    line = F.concat(F.coalesce("user_name", F.lit("")), F.lit(": "), "text")
+    thread = ("channel_id", "channel_name", "thread_ts")
+    before = Window.partitionBy(*thread).orderBy("ts", "idx", "line").rowsBetween(Window.unboundedPreceding, -1)
+    told = said.select(*thread, "ts", "idx", F.left(line, F.lit(most)).alias("line"), F.length(line).alias("n"))
+    told = told.withColumn("from", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)))
+    first = F.when(F.col("from") < most, F.struct("ts", "idx", "line"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(first)), lambda x: x["line"]), "\n")
+    return told.groupBy(*thread).agg(F.left(joined, F.lit(most)).alias("body"), F.count(F.lit(1)).alias("n_messages"), F.max("ts").alias("last_ts"))
+
+
+def with_context(pieces: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Pieces with their thread's context, if it has one, and ``embed_text``: the context in front of the text."""
+    c = contexts.select("channel_id", "thread_ts", F.col("context"))
+    told = F.concat(F.lit("[Slack 대화 맥락]\n"), "context", F.lit("\n\n"), "text")
+    return pieces.join(c, ["channel_id", "thread_ts"], "left").withColumn("embed_text", F.coalesce(told, "text"))
+
+
+def names_a_channel(q: Column) -> Column:
+    """Whether a question names a channel outright (``#name``), which makes it one about chat alone."""
+    return q.rlike(r"#\S+")
+
+
+def resolve_or_none(queries: DataFrame, channels: Callable[[], DataFrame]) -> DataFrame:
+    """:func:`resolve_channels`, or no channel for every question if the channels can't be listed."""
+    try:
+        known = channels()
+        known.limit(1).count()
+    except Exception:  # whatever the listing raises: questions go on without a channel
+        return queries.select("id", F.array().cast("array<string>").alias("names"), F.lit("").alias("confidence"))
+    return resolve_channels(queries, known)
 
 
 def thread_key(channel_id: Column, thread_ts: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.operators import catalog
 from quern.plans.base import CHUNKS, FILES, chunks, files, query, rows
+from quern.plans.vectors import POINTS, file_points, query_vector, synopses
 
 CATEGORY_SQL = """CASE lower(regexp_extract(name, '\\.([^.]*)$', 1)) WHEN 'txt' THEN 'text' WHEN 'md' THEN 'text' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'xlsx' THEN 'xlsx'
 WHEN 'hwp' THEN 'hwp' WHEN 'py' THEN 'code' WHEN 'png' THEN 'image' WHEN 'csv' THEN 'table' WHEN 'zip' THEN 'archive' ELSE 'other' END"""
@@ -57,12 +58,22 @@ def lexical_topk(spark, d):
     return catalog.search_documents(files(spark, d), ["src1", "42"], preferred=["lab/src1"], hints=["pdf"]).select("file_id", "name", "score")
 
 
-@query("lexical_candidates", CHUNKS + f""", f AS ({FILES} SELECT * FROM files), n AS (SELECT *, {NORMAL.format('name')} AS nn, {NORMAL.format('path')} AS pp FROM f WHERE status = 'indexed'),
+@query("lexical_candidates", CHUNKS + f""", f AS ({FILES} SELECT * FROM files), {POINTS}, n AS (SELECT *, {NORMAL.format('name')} AS nn, {NORMAL.format('path')} AS pp FROM f WHERE status = 'indexed'),
 s AS (SELECT *, 60 * CAST(contains(nn, 'src3') AS INT) + CASE WHEN contains(nn, 'src3') THEN 20 WHEN contains(pp, 'src3') THEN 5 ELSE 0 END AS score FROM n),
-best AS (SELECT file_id, CAST(score AS DOUBLE) AS name_score FROM s WHERE score > 0 ORDER BY s.score DESC, seq LIMIT 5)
-SELECT file_id, idx, name_score FROM chunks JOIN best USING (file_id) WHERE idx < 2""")
+best AS (SELECT file_id, CAST(score AS DOUBLE) AS name_score FROM s WHERE score > 0 ORDER BY s.score DESC, seq LIMIT 5),
+near AS (SELECT file_id, idx, p.score, name_score, row_number() OVER (PARTITION BY file_id ORDER BY p.score DESC, idx) AS k FROM points p JOIN best USING (file_id))
+SELECT file_id, idx, name_score, round(near.score, 4) AS score FROM near JOIN chunks USING (file_id, idx) WHERE k <= 2""")
 def lexical_candidates(spark, d):
-    return catalog.lexical_candidates(files(spark, d), chunks(spark, d), ["src3"]).select("file_id", "idx", "name_score")
+    found = catalog.lexical_candidates(files(spark, d), chunks(spark, d), file_points(spark, d), query_vector(spark, d), ["src3"])
+    return found.select("file_id", "idx", "name_score", F.round("score", 4).alias("score"))
+
+
+@query("synopsis_candidates", CHUNKS + f""", {POINTS}, top AS (SELECT file_id, synopsis, score AS file_score FROM syn ORDER BY score DESC, file_id LIMIT 5),
+near AS (SELECT file_id, idx, p.score, synopsis, file_score, row_number() OVER (PARTITION BY file_id ORDER BY p.score DESC, idx) AS k FROM points p JOIN top USING (file_id))
+SELECT file_id, idx, synopsis, round(file_score, 4) AS file_score, round(near.score, 4) AS score FROM near JOIN chunks USING (file_id, idx) WHERE k <= 2""")
+def synopsis_candidates(spark, d):
+    found = catalog.synopsis_candidates(synopses(spark, d), chunks(spark, d), file_points(spark, d), query_vector(spark, d))
+    return found.select("file_id", "idx", "synopsis", F.round("file_score", 4).alias("file_score"), F.round("score", 4).alias("score"))
 
 
 @query("unindexed_notice", FILES + f""", n AS (SELECT *, {NORMAL.format('name')} AS nn FROM files WHERE status = 'skipped' AND contains({NORMAL.format('name')}, 'src5'))

@@ -61,11 +61,12 @@ def filename_year(spark, d):
     return c.select("id", dates.name_has_year(n, "2026").alias("in_year"), dates.name_has_year(n, "2026", "04").alias("in_month"))
 
 
-@query("date_filter_fallback", FILES + """, m AS (SELECT *, mod_time LIKE '2026-03%' AND root = 'lab/src2' AS hit FROM files WHERE root IN ('lab/src2', 'lab/src4'))
-SELECT file_id FROM m WHERE hit OR NOT (SELECT bool_or(hit) FROM m)""")
+@query("date_filter_fallback", FILES + """, m AS (SELECT *, mod_time LIKE '2026-03%' AS hit, mod_time LIKE '2031%' AS never FROM files)
+SELECT file_id, 'some' AS filter FROM m WHERE hit OR NOT (SELECT bool_or(hit) FROM m) UNION ALL SELECT file_id, 'none' FROM m WHERE never OR NOT (SELECT bool_or(never) FROM m)""")
 def date_filter_fallback(spark, d):
-    """Rows that match, or all rows if none does; the emptiness is a window over the candidates, not a second action."""
+    """Rows of a month, and rows of a year that no file is of, where all stay."""
     from quern.operators.fusion import keep_or_all
 
-    f = files(spark, d).where(F.col("root").isin("lab/src2", "lab/src4"))
-    return keep_or_all(f, F.col("mod_time").startswith("2026-03") & (F.col("root") == "lab/src2")).select("file_id")
+    f = files(spark, d)
+    some = keep_or_all(f, F.col("mod_time").startswith("2026-03")).select("file_id", F.lit("some").alias("filter"))
+    return some.unionByName(keep_or_all(f, F.col("mod_time").startswith("2031")).select("file_id", F.lit("none").alias("filter")))

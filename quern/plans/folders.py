@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.operators import folders
+from quern.operators import folders, manifest
 from quern.plans.base import CHUNKS, FILES, chunks, files, query, rows
 
 
@@ -118,16 +118,43 @@ def listing_ids(spark, d):
     return f.groupBy("root").agg(F.countDistinct("point").alias("n"))
 
 
-@query("folder_names", FILES + "SELECT root, string_agg(name, ', ' ORDER BY name) AS names FROM (SELECT DISTINCT root, name FROM files) WHERE root IN ('lab/src0', 'lab/src1') GROUP BY 1")
+@query("folder_names", FILES + "SELECT root, string_agg(name, ', ' ORDER BY name) AS names FROM (SELECT root, name, row_number() OVER (PARTITION BY root ORDER BY name) AS k FROM (SELECT DISTINCT root, name FROM files)) WHERE k <= 300 GROUP BY 1")
 def folder_names(spark, d):
-    """A folder's file list as one row; 300 names are shown at most."""
-    f = folders.files_in_root(files(spark, d).where(F.col("root").isin("lab/src0", "lab/src1")))
+    """Every folder's file list as one row; 300 names are shown at most."""
     from pyspark.sql import Window
 
+    f = folders.files_in_root(files(spark, d))
     f = f.withColumn("k", F.row_number().over(Window.partitionBy("root").orderBy("name"))).where(F.col("k") <= 300)
     return f.groupBy("root").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
 
 
+@query("known_roots", FILES + "SELECT DISTINCT root FROM files UNION SELECT 'lab/empty'")
+def known_roots(spark, d):
+    return manifest.known_roots(files(spark, d), rows(spark, "root string", ("lab/empty",), ("lab/src1",)))
+
+
+@query("manifest_lookup", FILES + "SELECT file_id, name, status FROM files WHERE file_id IN ('3', '17', '99', 'gone')")
+def manifest_lookup(spark, d):
+    return manifest.lookup(files(spark, d), ["3", "17", "99", "gone"]).select("file_id", "name", "status")
+
+
+@query("listing_stats", LISTING_SQL.replace("SELECT t.root, t.directory, n_files, total_bytes, endings, samples FROM", "SELECT t.root, n_files, total_bytes FROM") + " WHERE t.directory IS NULL ORDER BY n_files DESC, t.root")
+def listing_stats(spark, d):
+    return manifest.listing_stats(folders.listing_rollup(files(spark, d)).where(F.col("directory").isNull()))
+
+
+@query("recent_in_dominant_root", CHUNKS + f""", f AS ({FILES} SELECT * FROM files), h AS (SELECT root, row_number() OVER (ORDER BY size DESC, seq) AS rank FROM f QUALIFY rank <= 15),
+r AS (SELECT root FROM h GROUP BY root ORDER BY sum(1.0::DOUBLE / rank) DESC, min(rank) LIMIT 1), best AS (SELECT arg_max(file_id, mod_time || '|' || file_id) AS file_id FROM f WHERE root IN (SELECT root FROM r))
+SELECT file_id, idx FROM chunks WHERE file_id IN (SELECT file_id FROM best) AND idx < 6""")
+def recent_in_dominant_root(spark, d):
+    """The root that most of the best hits lie in, and the first chunks of its latest file."""
+    from quern.operators.fusion import with_rank
+
+    f = files(spark, d)
+    top = with_rank(f.orderBy(F.col("size").desc(), "seq").limit(50), "rank", F.col("size").desc(), F.col("seq")).withColumn("score", F.lit(1.0) / F.col("rank"))
+    return folders.most_recent(top, f, chunks(spark, d)).select("file_id", "idx")
+
+
 FOLDERS = (("r", "root", [], False), ("a", "A", ["r"], False), ("b", "B", ["a"], False), ("x", "X", ["y"], False), ("y", "Y", ["x"], False), ("t", "T", ["r"], True), ("m", "M", ["x", "b"], False))
 ITEMS = (("i1", "one", ["r"]), ("i2", "two", ["b"]), ("i3", "three", ["o"]), ("i4", "four", ["x"]), ("i5", "five", ["t"]), ("i6", "six", ["m"]), ("i7", "seven", []))
 

@@ -55,15 +55,21 @@ def replace_on_change(spark, d):
     return manifest.replace_files(c, outcome, c.where(F.col("seq") % 10 == 0)).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("run_counts", FILES + "SELECT count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed, CAST(sum(n_chunks) AS BIGINT) AS chunks, (SELECT count(DISTINCT error) FROM files) AS n_reasons FROM files")
+@query("run_counts", FILES + """, o AS (SELECT *, seq % 3 <> 0 AS touched FROM files)
+SELECT count(*) FILTER (status = 'indexed' AND touched) AS indexed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed' AND touched) AS failed, count(*) FILTER (status = 'indexed' AND NOT touched) AS unchanged,
+ count(*) FILTER (status = 'failed' AND NOT touched) AS still_failed, CAST(sum(n_chunks) FILTER (touched) AS BIGINT) AS chunks, (SELECT count(DISTINCT error) FROM files) AS n_reasons FROM o""")
 def run_counts(spark, d):
-    r = manifest.run_counts(files(spark, d))
-    return r.select("indexed", "skipped", "failed", "chunks", F.size("reasons").cast("long").alias("n_reasons"))
+    """Outcomes of a run that left a third of the files alone."""
+    r = manifest.run_counts(files(spark, d).withColumn("change", F.when(F.col("seq") % 3 != 0, "mod_time")))
+    return r.select("indexed", "skipped", "failed", "unchanged", "still_failed", "chunks", F.size("reasons").cast("long").alias("n_reasons"))
 
 
-@query("scope_roots", "SELECT * FROM (VALUES ('a'), ('c')) t(root)")
+@query("scope_roots", "SELECT * FROM (VALUES ('folders', 'a'), ('folders', 'c'), ('all', 'a'), ('all', 'c'), ('all', 'd')) t(mode, root)")
 def scope_roots(spark, d):
-    return manifest.scope_roots(rows(spark, "root string, included boolean, excluded boolean, enabled boolean", ("a", True, False, True), ("b", True, False, False), ("c", True, False, True), ("x", False, True, True)))
+    cases = (("a", True, False, True), ("b", True, False, False), ("c", True, False, True), ("x", False, True, True), ("d", False, False, True))
+    scope = rows(spark, "root string, included boolean, excluded boolean, enabled boolean", *cases)
+    each = [manifest.scope_roots(scope, m).select(F.lit(m).alias("mode"), "root") for m in ("off", "all", "folders")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query("synopsis_fingerprints", FILES + "SELECT file_id FROM files WHERE status = 'indexed' AND (seq % 3 = 0 OR seq % 4 = 1)")
@@ -82,11 +88,21 @@ def audit_cases(spark, d):
     return manifest.audit(rows(spark, "path string, line int, text string", *cases))
 
 
-@query("audit_documents", r"""SELECT CAST(doc_id AS VARCHAR) AS path, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '\b(?:10(?:\.[0-9]{1,3}){3}|192\.168(?:\.[0-9]{1,3}){2}|172\.(?:1[6-9]|2[0-9]|3[01])(?:\.[0-9]{1,3}){2})\b') GROUP BY 1""")
+@query("audit_documents", r"""WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'host 10.0.' || (doc_id % 250) || '.7' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN chr(10) || 'api_key = "k' || doc_id || '-secret-value"' ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN chr(10) || 'password = your-password' ELSE '' END AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+r AS (SELECT doc_id, line, trim(regexp_extract(line, '(?i)\b(?:client_secret|access_token|refresh_token|password|passwd|api_key)\b["\x27]?\s*[:=]\s*([^#]+)', 1)) AS raw, regexp_matches(line, '\b(?:10(?:\.[0-9]{1,3}){3}|192\.168(?:\.[0-9]{1,3}){2}|172\.(?:1[6-9]|2[0-9]|3[01])(?:\.[0-9]{1,3}){2})\b') AS address FROM l),
+v AS (SELECT *, CASE WHEN raw LIKE '"%' THEN regexp_extract(raw, '^"(.*?)(?:"|$)', 1) WHEN starts_with(raw, chr(39)) THEN split_part(raw, chr(39), 2) ELSE regexp_extract(raw, '^([^\s"\x27,)}\]]*)', 1) END AS value FROM r),
+k AS (SELECT doc_id, 'private_address' AS rule FROM v WHERE address UNION ALL SELECT doc_id, 'credential' FROM v WHERE length(value) >= 8 AND NOT regexp_matches(value, '^(settings\.|section\.|self\.|os\.|config\.|token\.|data\[|str\(|getenv\(|None|\{\}|\[\])')
+ AND NOT contains(lower(value), '<redacted>') AND NOT regexp_matches(lower(value), '^(your-|your_|example-|example_|changeme)') AND NOT regexp_matches(value, '^<.*>$') AND NOT regexp_matches(value, '^[A-Za-z_]\w*(?:\.\w+)*(?:[),}\]]+)?$'))
+SELECT CAST(doc_id AS VARCHAR) AS path, rule, count(*) AS n FROM k GROUP BY 1, 2""")
 def audit_documents(spark, d):
-    """Lines of all documents with a private address."""
-    lines = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return manifest.audit(lines).where(F.col("rule") == "private_address").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    """Lines of all documents with a private address or a literal credential; some documents have such lines added."""
+    docs = table(spark, d, "documents")
+    number, when = F.col("doc_id").cast("string"), lambda n, *parts: F.when(F.col("doc_id") % n == 0, F.concat(F.lit("\n"), *parts)).otherwise("")
+    host = when(5, F.lit("host 10.0."), (F.col("doc_id") % 250).cast("string"), F.lit(".7"))
+    text = F.concat("text", host, when(7, F.lit('api_key = "k'), number, F.lit('-secret-value"')), when(11, F.lit("password = your-password")))
+    lines = docs.select(number.alias("path"), F.posexplode(F.split(text, "\n")).alias("line", "text"))
+    return manifest.audit(lines).groupBy("path", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("event_windows", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")

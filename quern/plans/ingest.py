@@ -35,13 +35,19 @@ def chunk_min_length(spark, d):
     return chunks(spark, d).where(F.length(F.trim("text")) >= 60).select("file_id", "idx")
 
 
-@query("running_section", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)
-SELECT CAST(doc_id AS VARCHAR) AS file_id, count(*) AS n_lines, count(DISTINCT CASE WHEN regexp_matches(line, '^[0-9]+\.? \S') THEN line END) * 0 AS n_sections FROM l GROUP BY 1""")
+@query("running_section", r"""WITH t AS (SELECT doc_id, '# ' || lang || chr(10) || text || chr(10) || (doc_id % 40) || '. ' || source || chr(10) || 'Methods' || chr(10) || 'tail' AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM t),
+p AS (SELECT *, trim(line) AS s, regexp_extract(trim(line), '^([0-9]+(?:\.[0-9]+)*)\.?\s+(\S.{0,80})$', ['n', 't']) AS g FROM l),
+h AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,6} ') THEN trim(regexp_replace(line, '^#+ ', '')) WHEN s = '' OR length(s) > 100 THEN NULL WHEN lower(regexp_replace(s, '[.:]+$', '')) IN ('methods', 'method', 'results', 'abstract', 'introduction') THEN regexp_replace(s, '[.:]+$', '')
+ WHEN g.n <> '' AND NOT contains(g.n, '.') AND TRY_CAST(g.n AS BIGINT) <= 30 AND NOT regexp_matches(trim(g.t), '[.,;]$') AND len(regexp_split_to_array(trim(g.t), '\s+')) <= 12 THEN g.n || ' ' || trim(g.t) END AS heading FROM p),
+r AS (SELECT *, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM h)
+SELECT CAST(doc_id AS VARCHAR) AS file_id, count(*) AS n_lines, count(DISTINCT section) AS n_sections, arg_max(section, line_no) AS last_section FROM r GROUP BY 1""")
 def running_section(spark, d):
-    """Lines under the last heading above them; the documents here have no headings, the cases below do."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_id"), "text")
-    lines = chunking.line_blocks(docs)
-    return lines.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("section").alias("n_sections"))
+    """Lines under the last heading above them, of documents with a marked, a numbered and a bare heading around their text."""
+    docs = table(spark, d, "documents")
+    text = F.concat(F.lit("# "), "lang", F.lit("\n"), "text", F.lit("\n"), (F.col("doc_id") % 40).cast("string"), F.lit(". "), "source", F.lit("\nMethods\ntail"))
+    lines = chunking.line_blocks(docs.select(F.col("doc_id").cast("string").alias("file_id"), text.alias("text")))
+    return lines.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("section").alias("n_sections"), F.max_by("section", "line_no").alias("last_section"))
 
 
 @query("running_section_cases", "SELECT * FROM (VALUES (0, NULL), (1, 'Top'), (2, 'Top'), (3, '2 Methods'), (4, '2 Methods')) t(line_no, section)")
@@ -62,11 +68,21 @@ def context_validation(spark, d):
     return rows(spark, "id int, c string", *cases).select("id", chunking.valid_context(F.col("c")).alias("context"))
 
 
-@query("numeric_profile", r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents) SELECT CAST(doc_id AS VARCHAR) AS file_id, CAST(len(ls) AS INTEGER) AS n_lines, false AS is_table FROM l""")
+@query("numeric_profile", r"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'id,chars,word' || repeat(chr(10) || doc_id || ',' || n_chars || ',x', CAST(145 + doc_id % 10 AS BIGINT)) WHEN 1 THEN 'a b c' || repeat(chr(10) || 'x ' || doc_id || ' y', 200) ELSE text END AS text FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM t),
+k AS (SELECT doc_id, len(ls) AS n, list_filter(flatten(list_transform(ls[2:400], lambda x: regexp_split_to_array(x, '[,\t;|\s\x0B]+'))), lambda x: trim(x) <> '') AS toks FROM l),
+m AS (SELECT *, CASE WHEN len(toks) = 0 THEN 0 ELSE len(list_filter(toks, lambda x: regexp_matches(trim(trim(trim(x), '"''`()[]{}%')), '^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$|^[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?$|^[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?$'))) / len(toks) END AS ratio FROM k)
+SELECT CAST(doc_id AS VARCHAR) AS file_id, CAST(n AS INTEGER) AS n_lines, n >= 150 AND ratio >= 0.55 AS is_table, CASE WHEN doc_id % 3 < 2 THEN round(ratio, 4) END AS ratio FROM m""")
 def numeric_profile(spark, d):
-    """No document here is a table of numbers; the cases below are."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_id"), "text")
-    return tabular.numeric_profile(docs).select("file_id", "n_lines", "is_table")
+    """A third of the documents as tables of numbers, some of them too short, a third as tables of words, the rest as they are."""
+    docs = table(spark, d, "documents")
+    number, chars = F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
+    numbers = F.concat(F.lit("id,chars,word"), F.repeat(F.concat(F.lit("\n"), number, F.lit(","), chars, F.lit(",x")), (145 + F.col("doc_id") % 10).cast("int")))
+    words = F.concat(F.lit("a b c"), F.repeat(F.concat(F.lit("\nx "), number, F.lit(" y")), F.lit(200)))
+    text = F.when(F.col("doc_id") % 3 == 0, numbers).when(F.col("doc_id") % 3 == 1, words).otherwise(F.col("text"))
+    p = tabular.numeric_profile(docs.select(number.alias("file_id"), text.alias("text")))
+    ratio = F.when(F.col("file_id").cast("long") % 3 < 2, F.round("numeric_ratio", 4))
+    return p.select("file_id", "n_lines", "is_table", ratio.alias("ratio"))
 
 
 @query("numeric_profile_cases", "SELECT * FROM (VALUES (1, 201, 1.0::DOUBLE, true, 'table: 201 lines, 100% numbers'), (2, 11, 1.0::DOUBLE, false, NULL), (3, 201, 0.3333::DOUBLE, false, NULL)) t(file_id, n_lines, ratio, is_table, summary)")

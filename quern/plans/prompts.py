@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions import fixed
 from quern.functions import intent as I
 from quern.operators import prompts, providers
 from quern.plans.base import CHUNKS, FILES, chunks, files, query, rows
@@ -30,9 +31,15 @@ def sources_block(spark, d):
     return prompts.sources_block(_hits(spark, d))
 
 
-@query("answer_structure", "SELECT * FROM (VALUES (1, 'drive, slack, both' || chr(10) || 'by date'), (2, 'drive'), (3, 'slack' || chr(10) || 'as a table'), (4, '')) t(id, layout)")
+KINDS, FORMATS = (["drive", "slack"], ["drive"], ["slack"], []), (*[x for x, _ in fixed.ANSWER_FORMATS], "summary")
+STRUCTURE_SQL = f"""SELECT k.i * 10 + f.i AS id, CASE WHEN k.heads <> '' AND f.form <> '' THEN k.heads || chr(10) || f.form ELSE k.heads || f.form END AS layout
+FROM (VALUES (0, '{fixed.ANSWER_BOTH}'), (1, '{fixed.ANSWER_DRIVE}'), (2, '{fixed.ANSWER_SLACK}'), (3, '')) k(i, heads), (VALUES {", ".join(f"({i}, '{dict(fixed.ANSWER_FORMATS).get(x, '')}')" for i, x in enumerate(FORMATS))}) f(i, form)"""
+
+
+@query("answer_structure", STRUCTURE_SQL)
 def answer_structure(spark, d):
-    cases = ((1, ["drive", "slack"], "chronological"), (2, ["drive"], "summary"), (3, ["slack"], "table"), (4, [], "summary"))
+    """Every set of kinds with every format."""
+    cases = [(10 * i + j, k, f) for i, k in enumerate(KINDS) for j, f in enumerate(FORMATS)]
     return rows(spark, "id int, k array<string>, f string", *cases).select("id", prompts.structure(F.col("k"), F.col("f")).alias("layout"))
 
 

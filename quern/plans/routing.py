@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions import fixed
 from quern.functions import intent as I
 from quern.plans.base import query, rows
 
@@ -21,6 +22,37 @@ def route_table(spark, d):
     return rows(spark, "id int, q string", *QUESTIONS).select("id", I.route(F.col("q")).alias("r")).select("id", "r.*")
 
 
+HEADS = ("", "우리 연구실 ", "슬랙에서 ", "구글 드라이브에 있는 ", "웹에서 ", "최근 ", "드라이브와 슬랙에서 ", "인터넷 자료와 ", "### Task: generate ", "요즘 ", "Create a title for ", "이번 주 ")
+SUBJECTS = ("토마토 재배", "로봇 정책", "온실 제품", "plan_2026.pdf", "회의록", "날씨", "기타 연주", "Conference 논문", "웹 크롤러", "과제 예산", "사과")
+TAILS = ("알려줘", "찾아줘", "요약해줘", "최신 동향", "추천해줘", "어디 있어?", "장단점은?", "뭐야?", "와 웹 검색 결과", "위치")
+
+
+def _has(*names: str) -> str:
+    return " AND ".join("regexp_matches(q, '" + getattr(fixed, n).replace("'", "''") + "')" for n in names)
+
+
+def _values(items) -> str:
+    return ", ".join(f"({i}, '{x}')" for i, x in enumerate(items))
+
+
+ROUTE_SQL = f"""WITH g AS (SELECT 1000 * h.i + 10 * s.i + t.i AS id, h.x || s.x || ' ' || t.x AS q FROM (VALUES {_values(HEADS)}) h(i, x), (VALUES {_values(SUBJECTS)}) s(i, x), (VALUES {_values(TAILS)}) t(i, x)),
+k AS (SELECT id, CASE WHEN {_has('TASK_HEAD')} OR {_has('TASK_GENERATE')} THEN 'general,openwebui_task'
+ WHEN {_has('DRIVE_WORD', 'SLACK_WORD', 'HINT_EXPLICIT_WEB')} THEN 'rag_web,explicit_internal_web' WHEN {_has('DRIVE_WORD', 'SLACK_WORD')} THEN 'rag,explicit_multi_source'
+ WHEN {_has('LOCATION_WORD')} THEN 'location,location_hint' WHEN {_has('HINT_INTERNAL', 'HINT_EXPLICIT_WEB')} THEN 'rag_web,explicit_internal_web' WHEN {_has('HINT_WEB_SOURCE')} THEN 'web,web_source_hint'
+ WHEN {_has('HINT_LOCATION')} THEN 'location,location_hint' WHEN {_has('HINT_CURRENT_WEB')} AND NOT {_has('HINT_LAB')} THEN 'web,web_hint' WHEN {_has('HINT_INTERNAL')} THEN 'rag,internal_hint'
+ WHEN {_has('HINT_WEB')} OR {_has('HINT_PRODUCT')} THEN 'web,web_hint' WHEN {_has('HINT_TIMELY')} THEN 'auto,ambiguous_web' WHEN {_has('HINT_GENERAL')} THEN 'general,general_hint' ELSE 'auto,ambiguous' END AS k FROM g)
+SELECT id, split_part(k, ',', 1) AS mode, split_part(k, ',', 2) AS reason, k LIKE 'auto%' AS probe FROM k"""
+
+
+@query("route_generated", ROUTE_SQL)
+def route_generated(spark, d):
+    """The rules in order over 1,320 questions, made from heads, subjects and tails."""
+    part = lambda name, items: rows(spark, f"{name}_i int, {name} string", *enumerate(items))
+    q = part("h", HEADS).crossJoin(part("s", SUBJECTS)).crossJoin(part("t", TAILS))
+    q = q.select((1000 * F.col("h_i") + 10 * F.col("s_i") + F.col("t_i")).alias("id"), F.concat("h", "s", F.lit(" "), "t").alias("q"))
+    return q.select("id", I.route(F.col("q")).alias("r")).select("id", "r.*")
+
+
 @query("route_forced", "SELECT * FROM (VALUES (1, 'web', 'forced'), (2, 'rag', 'forced')) t(id, mode, reason)")
 def route_forced(spark, d):
     q = rows(spark, "id int, q string, m string", (1, "아무거나", "web"), (2, "어디 있어", "rag"))

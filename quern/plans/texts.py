@@ -19,10 +19,12 @@ def normalize_ascii(spark, d):
     return files(spark, d).select("file_id", X.normalize(F.col("path")).alias("normal"))
 
 
-@query("normalize_nfkc")
+@query("normalize_nfkc", r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[\\/_\-.()\[\]{}／·]', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS h FROM documents""")
 def normalize_nfkc(spark, d):
-    """With NFKC, which SQL lacks; tested against Python's ``unicodedata``."""
-    return files(spark, d).select("file_id", X.normalize(F.col("path"), compatibility=True).alias("normal"))
+    """Whole texts in decomposed form, normalised. SQL has NFC, which gives the same for letters of these languages; NFKC's own
+    cases are tested against Python's ``unicodedata``."""
+    t = table(spark, d, "documents")
+    return t.select("doc_id", F.sha2(X.normalize(F.col("text"), compatibility=True), 256).alias("h"))
 
 
 TERMS = (

@@ -23,6 +23,22 @@ Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 SCORED = f"WITH hits AS (SELECT vec_id AS point_id, label AS file_id, label % 3 AS root, list_cosine_similarity(embedding::DOUBLE[], {Q}) AS score FROM embeddings)"
 
 
+def file_points(spark: SparkSession, d: str) -> DataFrame:
+    """Five vectors for each of the first files: ``point_id, file_id, idx, root, vector``."""
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("point_id"), F.floor(F.col("vec_id") / 5).cast("string").alias("file_id"), (F.col("vec_id") % 5).alias("idx"), F.lit("").alias("root"), F.col("embedding").alias("vector"))
+
+
+def synopses(spark: SparkSession, d: str) -> DataFrame:
+    """A synopsis for each of these files, with the file's third vector: ``file_id, root, synopsis, vector``."""
+    p = file_points(spark, d).where(F.col("idx") == 2)
+    return p.select("file_id", "root", F.concat(F.lit("the erst of file "), "file_id").alias("synopsis"), "vector")
+
+
+POINTS = """points AS (SELECT CAST(vec_id // 5 AS VARCHAR) AS file_id, CAST(vec_id % 5 AS BIGINT) AS idx, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings),
+syn AS (SELECT file_id, score, 'the erst of file ' || file_id AS synopsis FROM points WHERE idx = 2)"""
+
+
 @query("dense_topk", f"{SCORED} SELECT point_id, file_id, round(score, 4) AS score FROM hits ORDER BY hits.score DESC, point_id LIMIT 6")
 def dense_topk(spark, d):
     hits = vector.search(points(spark, d), query_vector(spark, d), 6)

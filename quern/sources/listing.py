@@ -2,19 +2,24 @@
 
 ``spark.dataSource.register(FolderListing)`` and ``spark.read.format("folder_listing").option("roots", "a,b")``. Options:
 ``depth`` (levels below a root), ``split`` (a root becomes itself at depth 1 and each child, by name), ``exclude`` (names
-to leave out). A root that can't be read gives no rows if ``skip_errors`` is true, else an error. The folders must be
-visible to all executors; on one machine any folder is.
+to leave out), ``timeout_s`` (a folder tree that takes longer is listed again in parts: its own files, then each child, down
+to ``fixed.SPLIT_DEPTH`` levels, where only the files directly there are listed). A root that can't be read gives no rows if
+``skip_errors`` is true, else an error. The folders must be visible to all executors; on one machine any folder is.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quern.functions import fixed
+from quern.functions import text as X
+
 SCHEMA = "file_id string, path string, name string, size long, mod_time string, root string"
 
 
@@ -32,6 +37,7 @@ class FolderReader(DataSourceReader):
         self.split = options.get("split", "false").lower() == "true"
         self.exclude = {x for x in options.get("exclude", "").split(",") if x}
         self.skip_errors = options.get("skip_errors", "false").lower() == "true"
+        self.timeout = float(options.get("timeout_s", "inf"))
 
     def partitions(self):
         out = []
@@ -49,9 +55,28 @@ class FolderReader(DataSourceReader):
         return out
 
     def read(self, partition: RootPartition) -> Iterator[tuple]:
-        stack = [(partition.start, partition.depth)]
+        yield from self._resolve(partition.root, partition.start, partition.depth, 0)
+
+    def _resolve(self, root: str, start: str, depth: int, level: int) -> Iterator[tuple]:
+        """Rows of a tree; if it takes too long, of its parts. Rows of a tree wait until it is done, so none comes twice."""
+        try:
+            rows = self._walk(root, start, depth, time.monotonic() + self.timeout)
+        except TimeoutError:
+            rows = self._walk(root, start, 1, float("inf"))
+            yield from rows
+            if level < fixed.SPLIT_DEPTH and depth > 1:
+                for e in sorted(os.scandir(start), key=lambda e: e.name):
+                    if e.is_dir() and e.name not in self.exclude:
+                        yield from self._resolve(root, e.path, depth - 1, level + 1)
+            return
+        yield from rows
+
+    def _walk(self, root: str, start: str, depth: int, deadline: float) -> list[tuple]:
+        out, stack = [], [(start, depth)]
         while stack:
-            at, depth = stack.pop()
+            at, left = stack.pop()
+            if time.monotonic() > deadline:
+                raise TimeoutError(at)
             try:
                 entries = sorted(os.scandir(at), key=lambda e: e.name)
             except OSError:
@@ -62,12 +87,44 @@ class FolderReader(DataSourceReader):
                 if e.name in self.exclude:
                     continue
                 if e.is_dir():
-                    if depth > 1:
-                        stack.append((e.path, depth - 1))
+                    if left > 1:
+                        stack.append((e.path, left - 1))
                     continue
-                info, path = e.stat(), os.path.relpath(e.path, partition.root)
+                info, path = e.stat(), os.path.relpath(e.path, root)
                 stamp = datetime.fromtimestamp(info.st_mtime, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-                yield (f"{partition.root}:{path}", path, e.name, info.st_size, stamp, partition.root)
+                out.append((f"{root}:{path}", path, e.name, info.st_size, stamp, root))
+        return out
+
+
+def default_roots(own: str, shared: str, drives: Callable[[], list[str]]) -> list[str]:
+    """One's own folder, what is shared with one, and the shared drives; without the last if they can't be listed."""
+    try:
+        return [own, shared, *drives()]
+    except OSError:
+        return [own, shared]
+
+
+def cache_path(folder: str, file_id: str, name: str) -> str:
+    """Where a file of that id is kept: below the first two characters of the id, by a name that any file system can have."""
+    return os.path.join(folder, file_id[:2], "+".join(file_id.split()), X.safe_name(name))
+
+
+def cached(folder: str, file_id: str, name: str, fetch: Callable[[str], bytes | None]) -> str | None:
+    """The path of a file's copy, fetched unless it is there. A field of several ids is a shortcut: each is tried, and if none
+    has anything behind it the file is skipped (None). A copy appears whole or not at all."""
+    at = cache_path(folder, file_id, name)
+    if os.path.exists(at):
+        return at
+    for one in file_id.split() or [file_id]:
+        data = fetch(one)
+        if data is not None:
+            os.makedirs(os.path.dirname(at), exist_ok=True)
+            part = os.path.join(os.path.dirname(at), f"{os.getpid()}.part")
+            with open(part, "wb") as f:
+                f.write(data)
+            os.replace(part, at)
+            return at
+    return None
 
 
 class FolderListing(DataSource):

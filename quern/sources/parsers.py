@@ -17,7 +17,9 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import fixed
 from quern.functions import text as X
+from quern.operators import tabular
 from quern.operators.chunking import Block
 from quern.session import prepared
 
@@ -74,7 +76,7 @@ def notebook_blocks(source: str) -> list[Block]:
 
 
 def text_blocks(source: str) -> list[Block]:
-    """Paragraphs of plain text, each under the last ``#`` heading."""
+    """Paragraphs of plain text, each under the last heading: one with ``#``, a bare one or a numbered one."""
     out, section, lines = [], None, []
 
     def close() -> None:
@@ -86,6 +88,9 @@ def text_blocks(source: str) -> list[Block]:
         if m := re.match(r"#{1,6}\s+(.+)", line):
             close()
             section = m[1].strip()
+        elif heading := tabular.heading(line):
+            close()
+            section = heading
         elif not line.strip():
             close()
         else:
@@ -94,6 +99,28 @@ def text_blocks(source: str) -> list[Block]:
     return out
 
 
+def summary_block(source: str) -> Block | None:
+    """One block that stands for a table of numbers or for records, whose rows say little by themselves; None for others."""
+    if found := tabular.json_records(source):
+        return Block(f"records: {found[0]}\nkeys: {', '.join(found[1])}", label="summary")
+    if told := tabular.describe(source):
+        return Block(told, label="summary")
+    return None
+
+
+def pdf_text_ratio(pages: list[str]) -> float:
+    """The share of the first pages that have text."""
+    few = pages[: fixed.PDF_PAGES]
+    return sum(bool(p.strip()) for p in few) / len(few) if few else 0.0
+
+
+def pdf_blocks(pages: list[str]) -> tuple[list[Block], str | None]:
+    """Blocks of the pages that a reader of PDF gave, or the reason why a scan has none."""
+    if pdf_text_ratio(pages) < fixed.PDF_TEXT_RATIO:
+        return [], "skipped: no text layer"
+    return [Block(p.strip(), page=i) for i, p in enumerate(pages, 1) if p.strip()], None
+
+
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
@@ -203,6 +230,8 @@ def parse(name: str, kind: str, data: bytes) -> tuple[list[Block], str | None]:
             if len(data) > MOST_TEXT_BYTES:
                 return [], "skipped: too large"
             source = data.decode("utf-8", "replace")
+            if not low.endswith((".html", ".htm")) and (block := summary_block(source)):
+                return [block], None
             return (html_blocks(source) if low.endswith((".html", ".htm")) else text_blocks(source)), None
         return [], f"skipped: no parser for {kind}"
     except (KeyError, ValueError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError) as e:
