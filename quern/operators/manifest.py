@@ -174,8 +174,10 @@ def save_keyed(spark, path: str, new: DataFrame, keys: list[str], newest: Column
     had = versions(spark, path)
     folders, schema = _version(spark, path, had[-1]) if had else ({}, new.schema.json())
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-    new = new.withColumn("__bucket", bucket)
-    gone = deleted.select(*keys).distinct().withColumn("__bucket", bucket) if deleted is not None else new.select(*keys, "__bucket").limit(0)
+    kinds = {f["name"]: f["type"] for f in json.loads(schema)["fields"]}
+    new = new.select(*[F.col(c).cast(k) if isinstance(k := kinds.get(c), str) else F.col(c) for c in new.columns]).withColumn("__bucket", bucket)
+    typed = [F.col(k).cast(new.schema[k].dataType).alias(k) for k in keys]  # equal keys of other types would fall into other buckets
+    gone = deleted.select(*typed).distinct().withColumn("__bucket", bucket) if deleted is not None else new.select(*keys, "__bucket").limit(0)
     touched = [r[0] for r in new.select("__bucket").unionByName(gone.select("__bucket")).distinct().collect()]  # BUCKETS at most
     old = _read(spark, [folders[b] for b in touched if b in folders], schema).withColumn("__bucket", bucket).join(gone.select(*keys), keys, "left_anti")
     if deleted is not None:

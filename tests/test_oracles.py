@@ -39,6 +39,40 @@ def test_same_rows(spark, data, duck, name):
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in cur.fetchall())
 
 
+def _planted():
+    """Queries, an operator that each calls, and a wrong one in its place."""
+    from pyspark.sql import functions as F
+
+    from quern.functions import intent
+    from quern.operators import catalog, chunking, fusion, manifest, tabular
+
+    first = lambda best, points, query, n: catalog.vector.scored(points.join(best, "file_id"), query).where(F.col("idx") < n).select("idx", "score", *best.columns)
+    sections, profile, audit, counts = chunking.line_blocks, tabular.numeric_profile, manifest.audit, manifest.run_counts
+    return [
+        ("lexical_candidates", catalog, "nearest_of_files", first),
+        ("synopsis_candidates", catalog, "nearest_of_files", first),
+        ("hybrid_retrieve", catalog, "nearest_of_files", first),
+        ("hybrid_retrieve_chat", fusion, "balance_sources", lambda hits, k: hits.where(F.col("rank") <= k)),
+        ("running_section", chunking, "line_blocks", lambda f: sections(f).withColumn("section", F.when(F.col("section") != "Methods", F.col("section")))),
+        ("numeric_profile", tabular, "numeric_profile", lambda f: profile(f).withColumn("is_table", F.lit(False))),
+        ("audit_documents", manifest, "audit", lambda f: audit(f).where(F.col("rule") != "credential")),
+        ("run_counts", manifest, "run_counts", lambda f: counts(f.drop("change"))),
+        ("route_generated", intent, "task", lambda q: F.lit("content")),
+        ("location_order", fusion, "order_locations", lambda f, **how: f.limit(5)),
+        ("locate", fusion, "trim_weak", lambda f: f.orderBy("file_id").limit(5)),
+    ]
+
+
+@pytest.mark.parametrize("name, module, attribute, wrong", _planted(), ids=lambda x: x if isinstance(x, str) else "")
+def test_sql_notices_errors(spark, data, duck, monkeypatch, name, module, attribute, wrong):
+    monkeypatch.setattr(module, attribute, wrong)
+    df = QUERIES[name](spark, data)
+    columns = sorted(df.columns)
+    cur = duck.execute(SQL[name])
+    names = [x[0] for x in cur.description]
+    assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) != sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in cur.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - LLM))
 def test_runs(spark, data, name):
     first, second = QUERIES[name](spark, data), QUERIES[name](spark, data)
