@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.session import prepared
 
 _OWN: dict[str, str] = {}
+#: Tables written inside each open :func:`scope`, innermost last.
+_SCOPES: list[dict[str, DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,13 +42,39 @@ def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1][path] = out
+    return out
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose tables go when it ends, but for those that the function it gives was called with. Whatever a block
+    returns must be built on those alone."""
+    _SCOPES.append({})
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path, df in _SCOPES.pop().items():
+            if not any(df is k for k in kept):
+                _delete(df.sparkSession, path)
+            elif _SCOPES:
+                _SCOPES[-1][path] = df
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that nothing will read again."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(conf).delete(at, True)
+        _delete(df.sparkSession, folder)
