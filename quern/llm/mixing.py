@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.text import n_words
-from quern.scratch import written
+from quern.scratch import scope, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -204,7 +204,9 @@ def _rows(docs: DataFrame, text: str, source: str, id_col: str) -> DataFrame:
 def mix_table(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", **how) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row: the words the mix takes of it, repeats counted."""
     rows = written(_rows(docs, text, source, id_col), "mix-rows")
-    plan, times, small = mix_plan(rows, **how)
+    with scope() as keep:
+        plan, times, small = mix_plan(rows, **how)
+        keep(plan)
     joined = rows.join(F.broadcast(plan) if small else plan, "__key")
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
 
@@ -214,8 +216,9 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
 
     A row's own columns and its source's thresholds decide, so texts aren't shuffled to find them.
     """
-    rows = written(_rows(docs, text, source, id_col), "mix-rows")
-    plan, times, small = mix_plan(rows, **how)
+    with scope() as keep:
+        plan, times, small = mix_plan(written(_rows(docs, text, source, id_col), "mix-rows"), **how)
+        keep(plan)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.struct(
         F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")).alias("__own"))
     size = n_words(F.col("__own.text"))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.graph import components
 from quern.llm.text import arrow_schema, fresh, map_rows
-from quern.scratch import written
+from quern.scratch import dropped, scope, written
 from quern.session import prepared
 
 SEED = 42
@@ -304,6 +304,15 @@ def linked(rows: DataFrame, radius: int, least: float | None = None) -> DataFram
 def near_duplicate_table(docs: DataFrame, n: int = 3, radius: int = RADIUS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row; a component's id is its smallest document id."""
     fps = written(fingerprints(docs, n, text, id_col), "simhash")
+    with scope() as keep:
+        named = keep(_named_fingerprints(fps, radius))
+    return fps.join(named, F.col("fp") == F.col("of")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _named_fingerprints(fps: DataFrame, radius: int) -> DataFrame:
+    """``of, component_id`` of every distinct fingerprint."""
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     distinct = written(distinct, "simhash-distinct")
     keyed = distinct.select(F.explode(shard_keys(F.col("fp"), radius, radius + 2)).alias("shard"), F.col("fp").alias("vertex"), "fp")
@@ -311,10 +320,7 @@ def near_duplicate_table(docs: DataFrame, n: int = 3, radius: int = RADIUS, text
     groups = written(components(edges), "simhash-groups")
     named = distinct.join(groups, F.col("fp") == F.col("vertex"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(named.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "simhash-named")
-    return fps.join(named, F.col("fp") == F.col("of")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return written(named.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "simhash-named")
 
 
 def _multipliers(k: int) -> np.ndarray:
@@ -393,12 +399,15 @@ def near_duplicate_groups(docs: DataFrame, n: int = 5, least: float = 0.8, text:
     several = written(each.groupBy("digest", "doc_id").count().where(F.col("count") > 1).drop("count"), "repeated-rows")
     first = each.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("s"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")])
     first = written(first.select("digest", "s.doc_id", "fp", "size", "bands"), "distinct-texts")
+    dropped(each)
     keyed = first.select(F.explode("bands").alias("shard"), F.col("digest").alias("vertex"))
     shared = written(keyed.groupBy("shard").count().where(F.col("count") > 1).select(F.col("shard").alias("of")), "shared-bands")
     meeting = written(keyed.join(shared, F.col("shard") == F.col("of")).drop("of"), "meeting")
     sketch = first.select(F.col("digest").alias("of"), "fp", "size")
-    rough = linked(meeting.join(sketch, F.col("vertex") == F.col("of")).drop("of"), WIDE_RADIUS, least)
-    rough = written(components(written(rough, "rough-links")), "rough-groups")
+    with scope() as keep:
+        rough = linked(meeting.join(sketch, F.col("vertex") == F.col("of")).drop("of"), WIDE_RADIUS, least)
+        rough = keep(written(components(written(rough, "rough-links")), "rough-groups"))
+    dropped(meeting)
     known = rough.join(first, F.col("vertex") == F.col("digest"))
     parts = written(known.groupBy("root").agg(_parts(F.count(F.lit(1)), 8 * F.sum("size")).alias("parts")).select(F.col("root").alias("of"), "parts"), "group-parts")
     where = F.when(F.col("parts") <= PARTS_BEFORE_BANDS, F.array(F.xxhash64("root"))).otherwise(F.col("bands"))
@@ -420,10 +429,12 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, least: float = 0.8, tex
 
     The row with the smallest id stays (null first; then the smallest digest); of rows equal in both, one.
     """
-    first, groups, several = near_duplicate_groups(docs, n, least, text, id_col)
-    named = first.join(groups, F.col("digest") == F.col("vertex"), "left").withColumn("root", F.coalesce("root", "digest"))
-    stays = named.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("s")).select(F.col("s.digest").alias("of"), F.col("s.doc_id").alias("of_id"))
-    stays = written(stays, "stays")
+    with scope() as keep:
+        first, groups, several = near_duplicate_groups(docs, n, least, text, id_col)
+        named = first.join(groups, F.col("digest") == F.col("vertex"), "left").withColumn("root", F.coalesce("root", "digest"))
+        stays = named.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("s")).select(F.col("s.digest").alias("of"), F.col("s.doc_id").alias("of_id"))
+        stays = keep(written(stays, "stays"))
+        keep(several)
     digest, doc, row = fresh(docs, "digest", "id", "row")
     t = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(bytearray(b"")))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), _digest(t).alias(digest), F.col(f"`{id_col}`").alias(doc))

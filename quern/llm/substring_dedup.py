@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.text import arrow_schema
-from quern.scratch import written
+from quern.scratch import scope, written
 from quern.session import prepared
 
 SPAN = 16
@@ -187,9 +187,10 @@ def repeat_table(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text"
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with every repeat cut out of the texts; all rows stay."""
-    found = repeats(docs, min_words, text, id_col)
-    spans = found.groupBy(F.col("doc").alias("__doc"), F.col("v1").alias("__f1"), F.col("v2").alias("__f2")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    spans = written(spans, "repeat-spans")
+    with scope() as keep:
+        found = repeats(docs, min_words, text, id_col)
+        spans = found.groupBy(F.col("doc").alias("__doc"), F.col("v1").alias("__f1"), F.col("v2").alias("__f2")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+        spans = keep(written(spans, "repeat-spans"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("__row"), F.col(f"`{id_col}`").alias("__id"), *[k.alias(f"__k{i}") for i, k in enumerate(_keys(F.col(f"`{text}`")), 1)])
     same = F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__k1") == F.col("__f1")) & (F.col("__k2") == F.col("__f2"))
