@@ -6,6 +6,7 @@ A result that several later jobs read, or that ends an iteration, is written onc
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -51,7 +52,8 @@ def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
 @contextmanager
 def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """A block whose tables go when it ends, but for those that the function it gives was called with. Whatever a block
-    returns must be built on those alone."""
+    returns must be built on those alone. Files of its shuffles go too, as Spark deletes them when the driver collects the
+    plans that they belong to."""
     _SCOPES.append({})
     kept: list[DataFrame] = []
 
@@ -62,11 +64,15 @@ def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        for path, df in _SCOPES.pop().items():
+        made = _SCOPES.pop()
+        for path, df in made.items():
             if not any(df is k for k in kept):
                 _delete(df.sparkSession, path)
             elif _SCOPES:
                 _SCOPES[-1][path] = df
+        if made:
+            gc.collect()
+            next(iter(made.values())).sparkSession.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
