@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import ann, bpe, language_id, mixing, quality_cnn, quality_rules, sharding, simhash, substring_dedup, url_filter
+from quern.llm import ann, bpe, centroids, language_id, mixing, quality_cnn, quality_rules, sharding, simhash, substring_dedup, url_filter, warc
 from quern.session import table
 
 
@@ -50,6 +50,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_table(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_table(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
+    "op11_centroids": op11_centroids,
+    "op12_warc": op12_warc,
     "pipeline": pipeline,
 }
 
@@ -91,5 +101,11 @@ f AS (SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/de/
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
  WHEN len(list_intersect(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])) > 0 OR host || path IN (SELECT address FROM junk) THEN 'block' ELSE 'allow' END AS verdict FROM f"""
 
+WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages), g AS (SELECT h, min(page_id) AS first FROM p GROUP BY 1)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+ array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(d, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS INTEGER) + 1, 1) FOR i IN range(0, 32)], '') AS payload_digest,
+ CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p JOIN g USING (h)"""
+
 #: The other operators use hashes, merges, models or graphs that SQL doesn't have; their tests use brute force.
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op9_url_filter": URL_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op9_url_filter": URL_SQL, "op12_warc": WARC_SQL}
