@@ -5,13 +5,15 @@ chunk; a filter's answer to a byte at a place is a learned number, so a filter i
 Rectified answers are max-pooled over the chunk. A text is described by the largest, smallest and mean pooled answer of
 each filter over its chunks and by the logarithm of its length, and a hidden layer turns these into one probability.
 
-Training takes a bounded sample of labelled rows to the driver (``MOST_ROWS`` of those whose id the table has, by hash, as
-long as their texts have ``MOST_BYTES`` together; each text is taken whole) and runs Adam over mini-batches from a fixed
-seed, over all chunks of each text and pooled as in scoring.
+Training takes a bounded sample of labelled rows to the driver: ``MOST_ROWS`` of those whose id the table has, by hash. Each
+text is taken whole; one that would bring their bytes over ``MOST_BYTES`` is passed over, and the next ones are looked at.
+Adam runs over mini-batches from a fixed seed, over all chunks of each text and pooled as in scoring. An eighth of the sample
+is kept for validation: when its loss hasn't fallen for ``PATIENCE`` epochs training ends, with the weights of the best one.
 Scoring reads every byte of every text. The network is of fixed size (some 60 KB) and goes to the tasks in the closure.
 
 Defined cases: null and empty texts have one chunk of zero bytes and get a score like any other; equal texts get equal
-scores; without any labelled rows every score is 0.5; an id that has several texts or labels trains with each; a text of any
+scores; without any labelled rows every score is 0.5 (texts over the byte bound don't make it so: the shortest of each label
+is always taken); an id that has several texts or labels trains with each; a text of any
 length is scored whole, 16 KB at a time; an empty table gives an empty result. Other columns take no part, whatever they
 are called.
 """
@@ -31,6 +33,8 @@ COLUMNS = np.arange(FILTERS)
 #: Labelled rows the driver trains on, and bytes of their texts together, at most.
 MOST_ROWS, MOST_BYTES = 3_000, 64 * 1024 * 1024
 EPOCHS, BATCH, RATE = 12, 32, 4e-3
+#: Epochs without a smaller loss on the validation rows that end training, and rows from which on some are kept for it.
+PATIENCE, LEAST_VALIDATED = 2, 200
 THRESHOLD = 0.3
 
 
@@ -131,12 +135,22 @@ def score(net: Network, text: bytes | None) -> float:
     return 1 / (1 + np.exp(-z)) if z > -50 else 0.0
 
 
+def loss(net: Network, texts: list[bytes | None], labels: list[int]) -> float:
+    """The mean logistic loss."""
+    p = np.clip([score(net, t) for t in texts], 1e-7, 1 - 1e-7)
+    return float(-np.mean(np.where(np.array(labels) == 1, np.log(p), np.log(1 - p))))
+
+
 def train(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> Network:
     """Adam on the logistic loss. Gradients pass to the place where a filter's answer is largest, per chunk."""
     net, r = Network.fresh(), np.random.default_rng(seed)
     if not texts:
         net.w2[:] = 0
         return net
+    kept = r.permutation(len(texts))[: len(texts) // 8 if len(texts) >= LEAST_VALIDATED else 0].tolist()
+    unseen = [texts[i] for i in kept], [labels[i] for i in kept]
+    texts, labels = ([x for i, x in enumerate(of) if i not in set(kept)] for of in (texts, labels))
+    least, since, best = float("inf"), 0, None
     bodies = [_bytes(t) for t in texts]
     y = np.array(labels, np.float32)
     weights = net.trained()
@@ -178,6 +192,15 @@ def train(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, se
                 u += 0.1 * (g - u)
                 v += 0.001 * (g * g - v)
                 w -= rate * (u / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        if kept:
+            now = loss(net, *unseen)
+            since = 0 if now < least else since + 1
+            if now < least:
+                least, best = now, [w.copy() for w in weights]
+            if since == PATIENCE:
+                break
+    for w, b in zip(weights, best or weights, strict=True):
+        w[:] = b
     return net
 
 
@@ -185,14 +208,20 @@ def training_rows(
     docs: DataFrame, labels: DataFrame, allowed, text: str = "text", id_col: str = "doc_id", label: str = "quality", most: int = MOST_ROWS, most_bytes: int = MOST_BYTES
 ) -> tuple[list, list]:
     """Texts and labels of at most ``most`` labelled rows whose id is ``allowed`` and in ``docs``: those with the smallest
-    hashes, up to the row where their texts have more than ``most_bytes`` together. Rows are chosen on ids and lengths; texts
-    then come by a join with that choice."""
+    hashes, without those whose texts would bring all before them over ``most_bytes``. Rows are chosen on ids and lengths;
+    texts then come by a join with that choice."""
     i, body = F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("binary")
     marked = labels.select(i.alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("y").isNotNull() & allowed(F.col("id"))).distinct()
     known = docs.select(i.alias("id"), F.coalesce(F.octet_length(body), F.lit(0)).alias("n"), F.coalesce(F.md5(body), F.lit("")).alias("m")).where(F.col("id").isNotNull())
     few = known.join(marked, "id").distinct().orderBy(F.xxhash64("id"), "id", "y", "m").limit(most)
-    upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id", "y", "m").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    few = few.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select(F.col("id").alias("of"), "y", F.col("m").alias("of_m"))
+    few = few.withColumn("nth", F.row_number().over(Window.orderBy(F.xxhash64("id"), "id", "y", "m")))
+    sizes = few.select("nth", "n", "y").orderBy("nth").collect()  # most rows of three numbers
+    chosen, total = {min(own)[1] for y in {r["y"] for r in sizes} if (own := [(r["n"], r["nth"]) for r in sizes if r["y"] == y])}, 0
+    for r in sizes:
+        if total + r["n"] <= most_bytes:
+            chosen.add(r["nth"])
+            total += r["n"]
+    few = few.where(F.col("nth").isin(sorted(chosen))).select(F.col("id").alias("of"), "y", F.col("m").alias("of_m"))
     rows = docs.select(i.alias("id"), body.alias("text")).withColumn("m", F.coalesce(F.md5("text"), F.lit("")))
     rows = rows.join(F.broadcast(few), (F.col("id") == F.col("of")) & (F.col("m") == F.col("of_m"))).groupBy("id", "y", "m").agg(F.first("text").alias("text"))
     got = rows.orderBy("id", "y", "m").collect()

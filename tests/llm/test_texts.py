@@ -1,6 +1,7 @@
 """BPE, language ID, classifier and nearest neighbours against libraries and brute force."""
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -218,10 +219,39 @@ def test_neighbours_of_doubles(spark):
 
 
 def test_training_rows(spark):
-    """Labels of ids that the table doesn't have take no places, and long texts end the sample rather than lose their ends."""
+    """Labels of ids that the table doesn't have take no places, and texts too long for the bound leave all others in."""
     docs = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(None, "y"), (7, "other")], "doc_id long, text string")
     labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
     texts, y = quality_cnn.training_rows(docs, labels, lambda i: i.isNotNull(), most=40)
     assert len(texts) == len(y) == 40
     texts, _ = quality_cnn.training_rows(docs, labels, lambda i: i.isNotNull(), most_bytes=1234)
     assert 1000 < sum(map(len, texts)) <= 1234 and {len(t) for t in texts} <= {100, 5}
+    long = docs.union(spark.createDataFrame([(i, "z" * 5000) for i in range(100, 130)], docs.schema))
+    texts, _ = quality_cnn.training_rows(long, labels, lambda i: i.isNotNull(), most_bytes=4000)
+    assert sum(len(t) == 100 for t in texts) > 35 and max(map(len, texts)) == 100
+    texts, y = quality_cnn.training_rows(long.where("doc_id >= 100"), labels, lambda i: i.isNotNull(), most_bytes=4000)
+    assert sorted(y) == [0, 1]
+
+
+def test_score_by_plain_forward_pass():
+    """The score of a text, computed place by place, chunk by chunk and layer by layer."""
+    q, r = quality_cnn, np.random.default_rng(9)
+    net = q.Network.fresh()
+    net.bias += r.normal(0, 0.3, q.FILTERS).astype(np.float32)
+    net.b1 += r.normal(0, 0.3, q.HIDDEN).astype(np.float32)
+    net.mean, net.scale = r.normal(0, 1, len(net.mean)).astype(np.float32), r.uniform(0.5, 2, len(net.mean)).astype(np.float32)
+    for n in (0, 3, 6, 300, 517, 700, 1300, 2000):
+        text = bytes(r.integers(0, 256, n, dtype=np.uint8))
+        data = text + b"\0" * max(0, q.WIDTH - n)
+        answer = [[sum(float(net.table[k][data[i + k]][f]) for k in range(q.WIDTH)) for f in range(q.FILTERS)] for i in range(len(data) - q.WIDTH + 1)]
+        halves = [answer[a : a + q.STEP] for a in range(0, len(answer), q.STEP)]
+        if len(halves) > 2 and len(answer) % q.STEP:
+            halves[-2:] = [halves[-2] + halves[-1]]
+        chunks = [a + b for a, b in zip(halves, halves[1:], strict=False)] or halves
+        rows = [[max(0.0, max(x[f] for x in chunk) + float(net.bias[f])) for f in range(q.FILTERS)] for chunk in chunks]
+        columns = list(zip(*rows, strict=True))
+        x = [*map(max, columns), *map(min, columns), *[sum(c) / len(c) for c in columns], math.log(1 + n) / 10]
+        x = [(a - float(m)) / float(s) for a, m, s in zip(x, net.mean, net.scale, strict=True)]
+        hidden = [max(0.0, sum(a * float(net.w1[i][h]) for i, a in enumerate(x)) + float(net.b1[h])) for h in range(q.HIDDEN)]
+        z = sum(a * float(w) for a, w in zip(hidden, net.w2, strict=True)) + float(net.b2[0])
+        assert abs(q.score(net, text) - 1 / (1 + math.exp(-z))) < 1e-4
