@@ -204,3 +204,8 @@ NUMBER = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
 DATE_OR_TIME = r"^[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?$|^[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?$"
 LABELED_VALUE = r"^[A-Za-z_][\w.\[\]]{0,20}[:=](.+)$"
 WRAPPERS = "\"'`()[]{}%"
+
+#: What an answer says about the channel that a question names.
+NOTE_CHANNEL_INFERRED = "#{} 채널로 이해했어."
+NOTE_CHANNEL_UNKNOWN = "말한 채널을 찾지 못해 Slack 전체에서 찾았어."
+NOTE_CHANNEL_EMPTY = "#{} 채널에서는 찾지 못해 Slack 전체에서 찾았어."

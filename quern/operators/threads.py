@@ -135,26 +135,53 @@ def high_water(messages: DataFrame) -> DataFrame:
     return messages.groupBy("channel_id").agg(F.coalesce(F.max("ts"), F.lit("0")).alias("oldest"))
 
 
-def thread_chunks(messages: DataFrame, size: int = fixed.CHUNK_SIZE) -> DataFrame:
-    """``channel_id, thread_ts, idx, text``: a thread's header (channel and first message) and body as one piece, or as
-    pieces of the body, each below the header, if they don't fit."""
+#: Characters of a thread that are cut as one text; a longer one is cut in parts of about this size.
+SEGMENT = 1_000_000
+#: Where a thread's text may be cut, best first; the empty one cuts anywhere.
+SEPARATORS = ("\n\n", "\n", ". ", "다. ", "요. ", " ", "")
+
+
+def thread_texts(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """``channel_id, channel_name, thread_ts, part, text``: a thread's header (channel and whole first message) and all its
+    messages by time, a line each. Messages without text are left out.
+
+    A thread of more than ``segment`` characters has several parts, so a row has about that many and one message at most;
+    a message that is longer than that alone has parts of its own. Sums run over lengths; only a part's lines are gathered.
+    """
+    said = messages.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    line = F.concat(F.coalesce("user_name", F.lit("")), F.lit(": "), "text")
+    header = F.concat(F.lit("채널: #"), F.coalesce("channel_name", F.lit("")), F.lit("\n스레드 시작: "), "text", F.lit("\n"))
+    thread = ("channel_id", "channel_name", "thread_ts")
+    order = Window.partitionBy(*thread).orderBy("ts", "idx", "text")
+    told = said.withColumn("line", F.when(F.row_number().over(order) == 1, F.concat(header, line)).otherwise(line))
+    # a line longer than a part is cut; its pieces are joined by nothing
+    cut = F.regexp_extract_all("line", F.lit(f"(?s).{{1,{segment}}}"), F.lit(0))
+    each = told.select(*thread, "ts", "idx", "text", F.posexplode(cut).alias("k", "line"))
+    before = Window.partitionBy(*thread).orderBy("ts", "idx", "text", "k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))).withColumn("part", F.floor(F.col("at") / segment).cast("long"))
+    item = F.struct("at", "k", F.concat(F.when(F.col("k") > 0, "").otherwise("\n"), "line").alias("line"))
+    parts = placed.groupBy(*thread, "part").agg(F.array_sort(F.collect_list(item)).alias("lines"))  # about a segment's characters
+    joined = F.array_join(F.transform("lines", lambda x: x["line"]), "")
+    return parts.select(*thread, "part", F.when(F.col("lines")[0]["k"] == 0, F.substring(joined, 2, 2**31 - 1)).otherwise(joined).alias("text"))
+
+
+def thread_chunks(messages: DataFrame, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP, segment: int = SEGMENT) -> DataFrame:
+    """``channel_id, channel_name, thread_ts, idx, text``: a thread with its header as one piece, or cut into pieces if it
+    doesn't fit. Every word of a thread is in a piece. ``idx`` grows with the place; it has gaps after blank pieces and
+    between the parts of a thread of more than ``segment`` characters."""
     from quern.operators.chunking import split
 
-    whole = assemble(messages)
-    first = messages.where(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy("channel_id", "thread_ts").agg(F.min_by(F.struct("text"), F.struct("ts", "idx")).alias("f"))
-    joined = whole.join(first, ["channel_id", "thread_ts"]).select(
-        "channel_id", "thread_ts", F.concat(F.lit("[#"), "channel_name", F.lit("] "), F.left(F.regexp_replace("f.text", r"\s+", " "), F.lit(120))).alias("header"), "body"
-    )
+    whole = thread_texts(messages, segment)
 
     def run(frames):
         import pandas as pd
 
         for frame in frames:
             rows = []
-            for c, t, header, body in frame.itertuples(index=False):
-                pieces = [body] if len(header) + 1 + len(body) <= size else split(body, size - len(header) - 1)
-                rows += [(c, t, i, f"{header}\n{p}") for i, p in enumerate(pieces)]
-            yield pd.DataFrame(rows, columns=["channel_id", "thread_ts", "idx", "text"])
+            for c, name, t, part, text in frame.itertuples(index=False):
+                pieces = [text] if len(text) <= size else split(text, size, overlap, SEPARATORS)
+                rows += [(c, name, t, int(part) * segment + i, p) for i, p in enumerate(pieces) if p.strip()]
+            yield pd.DataFrame(rows, columns=["channel_id", "channel_name", "thread_ts", "idx", "text"])
 
-    prepared(joined.sparkSession)
-    return joined.mapInPandas(run, "channel_id string, thread_ts string, idx long, text string")
+    prepared(whole.sparkSession)
+    return whole.mapInPandas(run, "channel_id string, channel_name string, thread_ts string, idx long, text string")

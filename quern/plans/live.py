@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions import text as X
 from quern.operators import live, threads
-from quern.plans.base import FILES, files, messages, query, rows
+from quern.plans.base import FILES, MESSAGES, files, messages, query, rows
 from quern.session import table
 
 
@@ -57,7 +58,16 @@ def result_channels(spark, d):
     return live.channels_of(m)
 
 
-@query("thread_chunks")
+WHOLE_THREADS = MESSAGES + """, o AS (SELECT *, row_number() OVER (PARTITION BY channel_id, channel_name, thread_ts ORDER BY ts, idx, text) AS nth FROM messages WHERE trim(text) <> ''),
+whole AS (SELECT channel_id, channel_name, thread_ts, '채널: #' || channel_name || chr(10) || '스레드 시작: ' || arg_min(text, nth) || chr(10) || string_agg(user_name || ': ' || text, chr(10) ORDER BY nth) AS text FROM o GROUP BY 1, 2, 3)"""
+
+
+@query("thread_chunks", WHOLE_THREADS + """ SELECT channel_id, thread_ts, CAST(len(list_distinct(regexp_extract_all(text, '[0-9A-Za-z가-힣]+'))) AS INTEGER) AS n_tokens, CASE WHEN length(text) <= 1200 THEN sha256(text) END AS whole_hash, CASE WHEN length(text) <= 1200 THEN 1 END AS n_pieces FROM whole""")
 def thread_chunks(spark, d):
-    """Pieces of all threads; tested for their size, headers and cover."""
-    return threads.thread_chunks(messages(spark, d))
+    """What the pieces of each thread cover: its distinct tokens, whatever its length, and the text of a thread that fits one
+    piece. Where cuts fall is tested against the splitter."""
+    p = threads.thread_chunks(messages(spark, d)).withColumn("tokens", X.tokens(F.col("text")))
+    per = p.groupBy("channel_id", "thread_ts").agg(F.count(F.lit(1)).alias("n"), F.max(F.sha2("text", 256)).alias("h"))
+    covered = p.select("channel_id", "thread_ts", F.explode("tokens").alias("t")).groupBy("channel_id", "thread_ts").agg(F.count_distinct("t").cast("int").alias("n_tokens"))
+    one = F.when(F.col("n") == 1, 1)
+    return per.join(covered, ["channel_id", "thread_ts"]).select("channel_id", "thread_ts", "n_tokens", F.when(F.col("n") == 1, F.col("h")).alias("whole_hash"), one.alias("n_pieces"))

@@ -81,16 +81,54 @@ def test_period_retrieval(spark, data):
         assert 58 <= int(r.file_id) % 240 <= 90
 
 
+def _whole_threads(rows):
+    """The text of each thread by plain Python. ``rows``: channel_id, channel_name, thread_ts, ts, user_name, text, idx."""
+    by = {}
+    for r in rows:
+        if (r.text or "").strip(" "):
+            by.setdefault((r.channel_id, r.thread_ts), []).append(r)
+    out = {}
+    for k, rs in by.items():
+        rs.sort(key=lambda r: (r.ts, r.idx, r.text))
+        out[k] = f"채널: #{rs[0].channel_name or ''}\n스레드 시작: {rs[0].text}\n" + "\n".join(f"{r.user_name or ''}: {r.text}" for r in rs)
+    return out
+
+
 def test_thread_pieces(spark, data):
     from quern.operators import threads
+    from quern.operators.chunking import split
     from quern.plans.base import messages
 
-    bodies = {(r.channel_id, r.thread_ts): r.body for r in threads.assemble(messages(spark, data)).collect()}
+    m = messages(spark, data)
+    want = _whole_threads(m.collect())
     pieces = {}
-    for r in threads.thread_chunks(messages(spark, data)).orderBy("channel_id", "thread_ts", "idx").collect():
-        header, _, body = r.text.partition("\n")
-        assert header.startswith("[#team-") and len(r.text) <= fixed.CHUNK_SIZE
-        pieces.setdefault((r.channel_id, r.thread_ts), []).append(body)
-    assert set(pieces) == set(bodies)
-    for k, body in bodies.items():
-        assert {w for p in pieces[k] for w in p.split()} == set(body.split())
+    for r in threads.thread_chunks(m).orderBy("channel_id", "thread_ts", "idx").collect():
+        pieces.setdefault((r.channel_id, r.thread_ts), []).append(r.text)
+    assert pieces == {k: [t] if len(t) <= fixed.CHUNK_SIZE else split(t, separators=threads.SEPARATORS) for k, t in want.items()}
+    assert any(len(p) > 1 for p in pieces.values())
+
+
+def test_pieces_of_long_threads(spark):
+    """All words of threads far over 7,000 characters, of one long message, and of threads cut into parts, are in the pieces."""
+    from quern.operators import threads
+
+    ddl = "channel_id string, channel_name string, thread_ts string, ts string, user_name string, text string, idx long"
+    rows = [("C1", "one", "t1", f"{i:06d}", "ann", " ".join(f"w{i}x{j}" for j in range(40)), i) for i in range(400)]
+    rows += [("C1", "one", "t2", "1", None, " ".join(f"long{j}" for j in range(20_000)), 0), ("C2", "two", "t3", "1", "ben", "  ", 0), ("C2", None, "t4", "1", "ben", "\nshort\n", 0), ("C2", "two", "t5", "1", "b", None, 0)]
+    df = spark.createDataFrame(rows, ddl)
+    want = _whole_threads(df.collect())
+    assert max(map(len, want.values())) > 100_000
+    for segment in (threads.SEGMENT, 5_000):
+        got = {}
+        for r in threads.thread_chunks(df, segment=segment).orderBy("channel_id", "thread_ts", "idx").collect():
+            assert len(r.text) <= fixed.CHUNK_SIZE
+            got.setdefault((r.channel_id, r.thread_ts), []).append(r.text)
+        assert set(got) == {("C1", "t1"), ("C1", "t2"), ("C2", "t4")}
+        if segment == threads.SEGMENT:
+            assert all({w for p in got[k] for w in p.split()} == set(want[k].split()) for k in got)
+        parts = {}
+        for r in threads.thread_texts(df, segment).collect():
+            parts.setdefault((r.channel_id, r.thread_ts), []).append((r.part, r.text))
+            assert len(r.text) <= 2 * segment + 400
+        for k, p in parts.items():  # parts are the whole text: line ends between them aside, nothing is lost or doubled
+            assert "".join(t for _, t in sorted(p)).replace("\n", "") == want[k].replace("\n", "")
