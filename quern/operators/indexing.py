@@ -2,8 +2,9 @@
 
 Listed files are compared with the manifest; those to do are parsed, chunked and embedded in Arrow batches, one file at a
 time; every one of them then loses its old chunks and has its new ones, and its row of the manifest says what became of it.
-Files that the listing no longer has go from all tables. Tables are keyed tables (:func:`manifest.save_keyed`), so a run
-rewrites the buckets of the files it touches, and running it again changes nothing.
+Files that the listing no longer has go from all tables. The manifest is a keyed table (:func:`manifest.save_keyed`), chunks lie
+in buckets of their root by file (:mod:`quern.operators.points`): a run rewrites the buckets of the files it touches, and
+running it again changes nothing.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.operators import chunking, manifest, providers
+from quern.operators import chunking, manifest, points, providers
 from quern.scratch import written
 from quern.session import prepared
 from quern.sources import parsers
@@ -57,13 +58,20 @@ def chunks_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(pieces, "pieces"), parsed.select("file_id", "error")
 
 
-def run(spark: SparkSession, listed: DataFrame, contents: DataFrame, path: str, retry_failed: bool = False, force: bool = False, roots: list[str] | None = None) -> Run:
+def run(
+    spark: SparkSession, listed: DataFrame, contents: DataFrame, path: str, retry_failed: bool = False, force: bool = False, roots: list[str] | None = None, verify: bool = False
+) -> Run:
     """One run. ``listed``: ``file_id, name, path, root, size, mod_time``; ``contents``: ``file_id, content``; the tables are
     ``manifest`` and ``points`` below ``path``. Only files of ``roots``, if given, are missed when the listing lacks them.
+    ``verify`` looks for files that lack chunks that the manifest counts, after a run that broke off, and indexes them again.
     """
     prepared(spark)
     known = stored(spark, f"{path}/manifest", MANIFEST)
-    todo = written(plan(listed, known, retry_failed, force), "run-plan")
+    todo = plan(listed, known, retry_failed, force)
+    if verify:
+        lost = points.incomplete(points.read(spark, f"{path}/points", POINTS), known).select(F.col("file_id").alias("lost"))
+        todo = todo.join(lost, F.col("file_id") == F.col("lost"), "left").withColumn("change", F.coalesce("change", F.when(F.col("lost").isNotNull(), "lost"))).drop("lost")
+    todo = written(todo, "run-plan")
     wanted = todo.where(F.col("change").isNotNull() & F.col("skip").isNull())
     found = wanted.select("file_id", "name").join(contents.select("file_id", "content"), "file_id", "left")
     bare = F.when(F.col("content").isNull(), "failed: no content").when(F.octet_length("content") == 0, "skipped: empty file")
@@ -71,12 +79,12 @@ def run(spark: SparkSession, listed: DataFrame, contents: DataFrame, path: str,
     pieces, errors = chunks_of(found.where(F.col("bare").isNull()).select("file_id", "name", "content"))
     facts = wanted.select("file_id", "name", "root")
     cited = X.citation(F.col("name"), F.col("page"), F.col("section"), F.col("label"))
-    points = pieces.join(facts, "file_id").select(
+    fresh = pieces.join(facts, "file_id").select(
         X.uuid5(F.concat_ws(":", "file_id", F.col("idx").cast("string"))).alias("point_id"), "file_id", "idx", "root", "text", "page", "section", "label", cited.alias("citation"),
         F.sha2("text", 256).alias("content_hash"), providers.embed(F.concat_ws("\n", cited, "text")).alias("vector"),
     )
-    points = written(points, "run-points")
-    n = points.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    fresh = written(fresh, "run-points")
+    n = fresh.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
     told = errors.unionByName(found.where(F.col("bare").isNotNull()).select("file_id", F.col("bare").alias("error")))
     result = todo.join(told.select(F.col("file_id").alias("of"), "error"), F.col("file_id") == F.col("of"), "left").drop("of").join(n, "file_id", "left")
     old = known.select(F.col("file_id").alias("of"), F.col("status").alias("was"), F.col("error").alias("said"), F.col("n_chunks").alias("had"))
@@ -94,28 +102,25 @@ def run(spark: SparkSession, listed: DataFrame, contents: DataFrame, path: str,
     here = known if roots is None else known.where(F.col("root").isin(roots))
     gone = written(manifest.deleted(here, listed).select("file_id"), "run-gone")
     changed = outcomes.where(F.col("change").isNotNull())
-    replace(spark, f"{path}/points", points, changed.select("file_id").unionByName(gone))
+    moved = known.join(changed.select("file_id").unionByName(gone).distinct(), "file_id", "left_semi").where(F.col("n_chunks") > 0)
+    _one_length(spark, f"{path}/points", fresh)
+    points.replace(spark, f"{path}/points", fresh, moved.select("file_id", "root"), POINTS)
     manifest.save_keyed(spark, f"{path}/manifest", changed.select(*[c.split()[0] for c in MANIFEST.split(", ")]), ["file_id"], deleted=gone)
     return Run(manifest.run_counts(outcomes), outcomes)
 
 
-def replace(spark: SparkSession, at: str, points: DataFrame, files: DataFrame) -> DataFrame:
-    """The chunk table after a run: the listed files lose what they had and have what is new. A point's id follows from
-    its file and number, so a file that has fewer chunks than before loses the rest."""
-    dim = points.select(F.size("vector").alias("n")).distinct().limit(2).collect()
-    table = stored(spark, at, POINTS)
-    had = table.select(F.size("vector").alias("n")).limit(1).collect()
+def _one_length(spark: SparkSession, at: str, fresh: DataFrame) -> None:
+    """All vectors of a table have one length."""
+    dim = fresh.select(F.size("vector").alias("n")).distinct().limit(2).collect()
+    had = points.read(spark, at, POINTS).select(F.size("vector").alias("n")).limit(1).collect()
     if len(dim) > 1 or (dim and had and dim[0]["n"] != had[0]["n"]):
         raise ValueError(f"vectors of {[r['n'] for r in dim]} numbers for a table of {[r['n'] for r in had]}")
-    old = table.join(files.distinct(), "file_id", "left_semi").select("point_id")
-    return manifest.save_keyed(spark, at, points, ["point_id"], deleted=old.join(points.select("point_id"), "point_id", "left_anti"))
 
 
 def remove_root(spark: SparkSession, path: str, root: str) -> int:
     """Takes a root out of the manifest and the chunk table; returns the number of its files."""
     known = stored(spark, f"{path}/manifest", MANIFEST)
     ids = written(known.where(F.col("root") == root).select("file_id"), "root-files")
-    points = stored(spark, f"{path}/points", POINTS)
-    manifest.save_keyed(spark, f"{path}/points", points.limit(0), ["point_id"], deleted=points.join(ids, "file_id", "left_semi").select("point_id"))
+    points.remove_root(spark, f"{path}/points", root)
     manifest.save_keyed(spark, f"{path}/manifest", known.limit(0), ["file_id"], deleted=ids)
     return ids.count()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.operators import cache, catalog, indexing, location, manifest, prompts, providers, threads
+from quern.operators import points as points_table
 from quern.sources import listing, parsers
 from quern.sources.listing import FolderListing
 
@@ -32,7 +33,7 @@ def test_indexing_run(spark, tmp_path):
     data = contents(spark, a=PROSE + "\n\n" + PROSE * 8, b=PROSE, c="x", d="", e="not a zip file")
     r = indexing.run(spark, first, data, at).counts.first()
     assert (r.indexed, r.skipped, r.failed, r.unchanged, r.still_failed) == (2, 3, 1, 0, 0)
-    points = lambda: {(x.file_id, x.idx): x for x in manifest.read_keyed(spark, f"{at}/points").collect()}
+    points = lambda: {(x.file_id, x.idx): x for x in points_table.read(spark, f"{at}/points", indexing.POINTS).collect()}
     files = lambda: {x.file_id: x for x in manifest.read_keyed(spark, f"{at}/manifest").collect()}
     before, status = points(), {k: (x.status, x.error) for k, x in files().items()}
     assert status == {"a": ("indexed", None), "b": ("indexed", None), "c": ("skipped", "needs_model"), "d": ("skipped", "skipped: empty file"), "e": ("failed", "failed: BadZipFile"), "f": ("skipped", "temporary")}
