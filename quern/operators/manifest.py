@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,8 +124,9 @@ def audit(lines: DataFrame) -> DataFrame:
     return lines.select("path", "line", F.explode(rules).alias("rule"))
 
 
-#: Buckets of a keyed table.
-BUCKETS = 64
+#: Buckets of a small keyed table, rows of a bucket that a larger one aims at, and how many times as many it may have before
+#: the table gets more buckets.
+BUCKETS, BUCKET_ROWS, GROWN = 64, 200_000, 4
 
 
 def _fs(spark, path: str):
@@ -140,11 +143,27 @@ def versions(spark, path: str) -> list[int]:
     return sorted(int(n.getName()[1:]) for n in names if n.getName().startswith("v") and fs.exists(P(n, "_SUCCESS")))
 
 
-def _version(spark, path: str, v: int) -> tuple[dict[int, str], str]:
-    """The folders of a version's buckets, and the table's schema."""
+def _version(spark, path: str, v: int) -> tuple[dict[int, str], str, int, int]:
+    """The folders of a version's buckets, the table's schema, its number of buckets and its rows."""
     lines = [r[0] for r in spark.read.text(f"{path}/versions/v{v}").collect()]  # a line for each bucket
-    parts = [x.split("\t", 1) for x in lines]
-    return {int(k): x for k, x in parts if k != "schema"}, next(x for k, x in parts if k == "schema")
+    parts = dict(x.split("\t", 1) for x in lines)
+    facts = {k: parts.pop(k, None) for k in ("schema", "buckets", "rows")}
+    return {int(k): x for k, x in parts.items()}, facts["schema"], int(facts["buckets"] or BUCKETS), int(facts["rows"] or 0)
+
+
+def _commit(spark, path: str, v: int, lines: list[str]) -> None:
+    """Makes a version visible. Two writers that began from the same version make the same number; the second fails."""
+    P, fs = _fs(spark, path)
+    made = f"{path}/versions/_new-{uuid.uuid4().hex}"
+    spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1).write.text(made)
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    at = P(f"{path}/versions/v{v}")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(at).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:  # this rename, unlike that of a file system, fails if there is a version of this number
+        context.rename(fs.makeQualified(P(made)), fs.makeQualified(at), gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception as e:
+        fs.delete(P(made), True)
+        raise RuntimeError(f"another writer has made version {v} of {path}") from e
 
 
 def _read(spark, folders: list[str], schema: str) -> DataFrame:
@@ -159,36 +178,40 @@ def read_keyed(spark, path: str) -> DataFrame:
     had = versions(spark, path)
     if not had:
         raise FileNotFoundError(path)
-    folders, schema = _version(spark, path, had[-1])
+    folders, schema, _, _ = _version(spark, path, had[-1])
     return _read(spark, sorted(folders.values()), schema)
 
 
 def save_keyed(spark, path: str, new: DataFrame, keys: list[str], newest: Column | None = None, deleted: DataFrame | None = None) -> DataFrame:
     """Upsert into a Parquet table at ``path``, and delete the keys of ``deleted``. Returns the new version.
 
-    Rows lie in ``BUCKETS`` folders by the hash of their key. Only buckets that new or deleted keys fall into are read and
-    written again; a version names the folder of each bucket and counts once its file is complete, so readers see the old or
-    the new version whole. The version before is kept; folders that neither names go.
+    Rows lie in folders by the hash of their key, their number by the table's size. Only buckets that new or deleted keys fall
+    into are read and written again, a large one by several tasks; when the table has outgrown its buckets all are, once. A
+    version names the folder of each bucket and counts once its file is complete, so readers see the old or the new version
+    whole; of two writers at once the second fails. The version before is kept; folders that neither names go.
     """
     P, fs = _fs(spark, path)
     had = versions(spark, path)
-    folders, schema = _version(spark, path, had[-1]) if had else ({}, new.schema.json())
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    folders, schema, n, n_rows = _version(spark, path, had[-1]) if had else ({}, new.schema.json(), 0, new.count())
+    wanted = max(BUCKETS, 2 ** math.ceil(math.log2(max(1, n_rows) / BUCKET_ROWS)) if n_rows > BUCKET_ROWS else 1)
+    whole = n_rows > GROWN * BUCKET_ROWS * n
+    n = wanted if whole or not n else n
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
     kinds = {f["name"]: f["type"] for f in json.loads(schema)["fields"]}
     new = new.select(*[F.col(c).cast(k) if isinstance(k := kinds.get(c), str) else F.col(c) for c in new.columns]).withColumn("__bucket", bucket)
     typed = [F.col(k).cast(new.schema[k].dataType).alias(k) for k in keys]  # equal keys of other types would fall into other buckets
     gone = deleted.select(*typed).distinct().withColumn("__bucket", bucket) if deleted is not None else new.select(*keys, "__bucket").limit(0)
-    touched = [r[0] for r in new.select("__bucket").unionByName(gone.select("__bucket")).distinct().collect()]  # BUCKETS at most
-    old = _read(spark, [folders[b] for b in touched if b in folders], schema).withColumn("__bucket", bucket).join(gone.select(*keys), keys, "left_anti")
+    touched = list(range(n)) if whole else [r[0] for r in new.select("__bucket").unionByName(gone.select("__bucket")).distinct().collect()]  # buckets
+    old = _read(spark, sorted(folders.values()) if whole else [folders[b] for b in touched if b in folders], schema).withColumn("__bucket", bucket).join(gone.select(*keys), keys, "left_anti")
     if deleted is not None:
         new = new.join(gone.select(*keys), keys, "left_anti")
     v = had[-1] + 1 if had else 0
-    at = f"{path}/data/v{v}"
-    upsert(old.select(*new.columns), new, keys, newest).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(at)
+    at = f"{path}/data/v{v}-{uuid.uuid4().hex}"
+    upsert(old.select(*new.columns), new, keys, newest).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(at)
     now = {b: x for b, x in folders.items() if b not in touched}
     now |= {b: f"{at}/__bucket={b}" for b in touched if fs.exists(P(f"{at}/__bucket={b}"))}
-    lines = [*[f"{b}\t{x}" for b, x in sorted(now.items())], f"schema\t{schema}"]
-    spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1).write.mode("overwrite").text(f"{path}/versions/v{v}")
+    count = _read(spark, sorted(now.values()), schema).count()  # from the files' footers
+    _commit(spark, path, v, [*[f"{b}\t{x}" for b, x in sorted(now.items())], f"schema\t{schema}", f"buckets\t{n}", f"rows\t{count}"])
     for before in had[:-1]:
         fs.delete(P(f"{path}/versions/v{before}"), True)
     keep = set(now.values()) | set(folders.values())

@@ -80,6 +80,24 @@ def test_only_touched_buckets_are_rewritten(spark, tmp_path):
     kept = {os.path.dirname(p) for p in map(str, (tmp_path / "t" / "data").glob("v*/__bucket=*/*.parquet"))}
     assert len(kept) <= manifest.BUCKETS + 1 and {r.v for r in manifest.read_keyed(spark, at).where("k = 7").collect()} == {"v2"}
     assert manifest.versions(spark, at) == [3, 4]
+    with pytest.raises(RuntimeError, match="another writer"):  # one that began from the version before
+        manifest._commit(spark, at, 4, ["schema\t{}"])
+    assert manifest.versions(spark, at) == [3, 4] and manifest.read_keyed(spark, at).count() == 1000
+
+
+def test_keyed_tables_get_more_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifest, "BUCKETS", 2)
+    monkeypatch.setattr(manifest, "BUCKET_ROWS", 10)
+    at = str(tmp_path / "t")
+    rows = lambda a, b: spark.range(a, b).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    sizes = []
+    for a, b in ((0, 10), (10, 400), (400, 401), (401, 402)):
+        manifest.save_keyed(spark, at, rows(a, b), ["k"])
+        sizes.append(manifest._version(spark, at, manifest.versions(spark, at)[-1])[2])
+    assert sizes == [2, 2, 64, 64] and sorted(r.k for r in manifest.read_keyed(spark, at).collect()) == list(range(402))
+    manifest.save_keyed(spark, at, rows(0, 1).withColumn("v", F.lit("b")), ["k"], deleted=spark.createDataFrame([(5,)], "k long"))
+    got = {r.k: r.v for r in manifest.read_keyed(spark, at).collect()}
+    assert got == {k: "b" if k == 0 else "a" for k in range(402) if k != 5}
 
 
 def test_adaptive_listing(spark, tmp_path, monkeypatch):
