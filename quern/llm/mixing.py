@@ -11,9 +11,11 @@ Targets come from histograms too: the rate at which sources fill up is found amo
 sums over 4,096 buckets of them and, again, of the boundary bucket alone. No task holds all sources.
 
 Defined cases: a null text has size 0, whatever its length a text is split whole; a null source is a source of its own,
-last; a source without words has target 0. Rows that are equal in id, source and size share a hash and are taken together
-or not at all; of subsets that come equally near, the one of the lower hashes is taken. An empty table gives an empty
-result. Columns of the input pass through ``mixed_documents`` whatever their names, and ``mix_table`` reads id, source and
+last; a source without words has target 0. A row's hash is of its id, source, size and text; rows that are equal in all four
+are numbered, and every one after the first hashes its number too, so each is an item of its own, also where they are a third
+of all rows. Which of equal rows has which number makes no difference to the result; rows that differ in other columns alone
+are numbered in the order of all their columns. Of subsets that come equally near, the one of the lower hashes is taken. An
+empty table gives an empty result. Columns of the input pass through ``mixed_documents`` whatever their names, and ``mix_table`` reads id, source and
 text alone.
 """
 
@@ -193,17 +195,54 @@ def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     return written(plan, "mix-plan"), (F.col("__whole") + once_more).cast("int"), small
 
 
-def _rows(docs: DataFrame, text: str, source: str, id_col: str) -> DataFrame:
-    size = n_words(F.col(f"`{text}`"))
-    base = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), source_key(F.col(f"`{source}`")).alias("__key"), F.col(f"`{source}`").alias("__source"), size.alias("size")
-    )
-    return base.withColumn("__h", F.xxhash64("doc_id", "__key", "size"))
+#: Numbers of equal rows that one task writes out.
+BLOCK = 20_000
+
+
+def _named(docs: DataFrame, text: str, source: str, id_col: str) -> list[Column]:
+    """What decides on a row: ``doc_id, __key, __source, size, __of``; the last is the hash that equal rows share."""
+    d, body = F.col(f"`{id_col}`"), F.col(f"`{text}`")
+    key, size = source_key(F.col(f"`{source}`")), n_words(body)
+    return [d.alias("doc_id"), key.alias("__key"), F.col(f"`{source}`").alias("__source"), size.alias("size"), F.xxhash64(d, key, size, body).alias("__of")]
+
+
+def _hash(of: Column, number: Column) -> Column:
+    return F.when(number == 0, of).otherwise(F.xxhash64(of, number))
+
+
+def _numbered(rows: DataFrame, start: str, count: str) -> DataFrame:
+    """A row for each number from ``start`` on, ``count`` of them, as ``__j``; many numbers of one row are dealt to several tasks."""
+    end = F.col(start) + F.col(count) - 1
+    blocks = rows.withColumn("__b", F.explode(F.sequence(F.col(start), end, F.lit(BLOCK).cast("long"))))
+    blocks = blocks.repartition("__of", "__b")
+    return blocks.withColumn("__j", F.explode(F.sequence(F.col("__b"), F.least(F.col("__b") + BLOCK - 1, end)))).drop("__b")
+
+
+def _equal_rows(rows: DataFrame) -> DataFrame | None:
+    """``__of`` of rows that others are equal to, or None if there are none."""
+    of = written(rows.groupBy("__of").count().where(F.col("count") > 1).select("__of"), "mix-equal")
+    return None if of.isEmpty() else of
+
+
+def _hint(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
+def _rows(docs: DataFrame, text: str, source: str, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """``doc_id, __key, __source, size, __h`` of every row as a table, and the hashes of equal rows. Texts aren't shuffled."""
+    rows = written(docs.select(*_named(docs, text, source, id_col)), "mix-rows")
+    equal = _equal_rows(rows)
+    if equal is None:
+        return rows.withColumn("__h", F.col("__of")), None
+    alone = rows.join(_hint(equal), "__of", "left_anti").withColumn("__h", F.col("__of"))
+    lumps = rows.join(_hint(equal), "__of", "left_semi").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__zero", F.lit(0).cast("long"))
+    each = _numbered(lumps, "__zero", "__n").withColumn("__h", _hash(F.col("__of"), F.col("__j")))
+    return written(alone.select(*rows.columns, "__h").unionByName(each.select(*rows.columns, "__h")), "mix-items"), equal
 
 
 def mix_table(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", **how) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row: the words the mix takes of it, repeats counted."""
-    rows = written(_rows(docs, text, source, id_col), "mix-rows")
+    rows, _ = _rows(docs, text, source, id_col)
     with scope() as keep:
         plan, times, small = mix_plan(rows, **how)
         keep(plan)
@@ -214,16 +253,24 @@ def mix_table(docs: DataFrame, text: str = "text", source: str = "source", id_co
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", **how) -> DataFrame:
     """``docs`` as the mix has them: each row as often as it is taken, with the columns of ``docs``.
 
-    A row's own columns and its source's thresholds decide, so texts aren't shuffled to find them.
+    A row's own columns and its source's thresholds decide, so texts aren't shuffled to find them, but for those of equal rows.
     """
     with scope() as keep:
-        plan, times, small = mix_plan(written(_rows(docs, text, source, id_col), "mix-rows"), **how)
+        rows, equal = _rows(docs, text, source, id_col)
+        plan, times, small = mix_plan(rows, **how)
         keep(plan)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.struct(
-        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")).alias("__own"))
-    size = n_words(F.col("__own.text"))
-    packed = packed.select("__row", F.col("__own.doc_id").alias("doc_id"), source_key(F.col("__own.source")).alias("__key"), size.alias("size"))
-    packed = packed.withColumn("__h", F.xxhash64("doc_id", "__key", "size"))
-    joined = packed.join(F.broadcast(plan) if small else plan, "__key").withColumn("__times", times).where(F.col("__times") > 0)
+        if equal is not None:
+            keep(equal)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *_named(docs, text, source, id_col)).drop("__source")
+    if equal is None:
+        items = packed.withColumn("__h", F.col("__of"))
+    else:
+        alone = packed.join(_hint(equal), "__of", "left_anti").withColumn("__h", F.col("__of"))
+        lumps = packed.join(_hint(equal), "__of", "left_semi").withColumn("__all", F.sha2(F.to_json("__row"), 256))
+        lumps = lumps.groupBy("__of", "__all", "doc_id", "__key", "size").agg(F.first("__row").alias("__row"), F.count(F.lit(1)).alias("__n"))
+        before = Window.partitionBy("__of").orderBy("__all").rowsBetween(Window.unboundedPreceding, -1)
+        each = _numbered(lumps.withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0))), "__from", "__n")
+        items = alone.unionByName(each.withColumn("__h", _hash(F.col("__of"), F.col("__j"))).select(*alone.columns))
+    joined = items.join(F.broadcast(plan) if small else plan, "__key").withColumn("__times", times).where(F.col("__times") > 0)
     each = joined.select("__row", F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy"))
     return each.select("__row.*")
