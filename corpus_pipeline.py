@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import bpe, mixing, quality_rules, simhash, substring_dedup
-from quern.scratch import written
+from quern.scratch import dropped, scope, written
 from quern.session import table
 
 
@@ -52,8 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as a table and read again."""
+    """All stages over ``documents``, each written as a table and read again; a stage's tables, and those of the stage before
+    it, go when it ends."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES):
+        before = docs
+        with scope() as keep:
+            docs = keep(written(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if i:
+            dropped(before)
     return docs
