@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from quern.functions import fixed
 from quern.operators import chat, retrieve, threads
 from quern.plans.base import MESSAGES, messages, query
 from quern.plans.retrieval import CREDENTIAL, EVENT, QUESTION, SHAPES, TOKENS, stores
 from quern.plans.vectors import query_vector
+from quern.scratch import shared_dir
 from quern.session import table
+from quern.sources.chat import SCHEMA, ChatPages
+from quern.streaming import incremental
 
 
 def _vectors(spark, d):
@@ -92,3 +96,21 @@ def chat_month(spark, d):
     s = store(spark, d)
     found = chat.in_period(chat.candidates(chat.Chat(s.pieces), query_vector(spark, d), 50, MONTH), MONTH)
     return found.select("file_id", "idx", F.col("pos").cast("long").alias("pos"))
+
+
+@query("chat_stream", MESSAGES + "SELECT channel_id, ts, count(*) AS n FROM messages GROUP BY 1, 2")
+def chat_stream(spark, d):
+    """Messages of a chat service by a stream that is stopped and started again when there are more: each is read once. The
+    service is stood in for by pages of the conversations, the earlier half first."""
+    spark.dataSource.register(ChatPages)
+    at = f"{shared_dir(spark)}/chat-stream-{uuid.uuid4().hex}"
+    m = messages(spark, d)
+    second = F.split("ts", r"\.")[0].cast("long")
+    middle = m.agg(F.percentile_approx(second, 0.5)).first()[0] or 0
+    for part in (second <= middle, second > middle):
+        said = F.collect_list(F.struct("ts", "thread_ts", "channel_name", F.col("user_name").alias("user"), "text")).alias("messages")
+        pages = m.where(part).groupBy("channel_id", "thread_ts").agg(said)  # a page for each thread
+        pages.select("channel_id", "messages").write.mode("append").partitionBy("channel_id").json(f"{at}/pages")
+        stream = spark.readStream.format("chat_pages").load(f"{at}/pages")
+        incremental.run_available(stream, f"{at}/checkpoint", lambda batch, _: batch.write.mode("append").parquet(f"{at}/table"))
+    return spark.read.schema(SCHEMA).parquet(f"{at}/table").groupBy("channel_id", "ts").agg(F.count(F.lit(1)).alias("n"))

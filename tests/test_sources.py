@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import manifest, threads
-from quern.sources.chat import ChatPages, collect, read_jsonl, write_jsonl
+from quern.sources import chat as chat_source
+from quern.sources.chat import SCHEMA, ChatPages, RateLimited, collect, read_jsonl, write_jsonl
 from quern.sources.listing import FolderListing
 from quern.streaming import incremental
 
@@ -103,3 +104,67 @@ def test_long_threads_are_cut(spark):
     m = spark.createDataFrame(rows, "channel_id string, channel_name string, thread_ts string, ts string, user_name string, text string, idx int")
     r = threads.assemble(m).first()
     assert len(r.body) == 7000 and r.n_messages == 20
+
+
+def _page(path, *messages):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(json.dumps({"messages": [{"ts": t, "text": x, "user": "u", "reply_count": n} for t, x, n in messages]}))
+
+
+def test_chat_stream_stops_and_starts(spark, tmp_path):
+    """Each message is read once over three runs, with new pages, a new channel and a run that finds nothing new."""
+    src, out, mark = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "mark")
+    _page(src / "C1" / "p1.json", ("10.1", "a", 0), ("11.1", "b", 1))
+    _page(src / "C1" / "replies" / "11.1.json", ("11.1", "b", 0), ("11.5", "reply", 0))
+    spark.dataSource.register(ChatPages)
+
+    def run():
+        stream = spark.readStream.format("chat_pages").load(str(src))
+        incremental.run_available(stream, mark, lambda batch, n: batch.write.mode("append").parquet(out))
+        return sorted((r.channel_id, r.text) for r in spark.read.schema(SCHEMA).parquet(out).collect())
+
+    assert run() == [("C1", "a"), ("C1", "b"), ("C1", "reply")]
+    assert run() == [("C1", "a"), ("C1", "b"), ("C1", "reply")]
+    _page(src / "C1" / "p2.json", ("12.1", "c", 0))
+    _page(src / "C2" / "p1.json", ("9.1", "other", 0))
+    assert run() == [("C1", "a"), ("C1", "b"), ("C1", "c"), ("C1", "reply"), ("C2", "other")]
+
+
+class Flaky:
+    """Three pages of one channel; the second is refused twice and the third fails once."""
+
+    calls: list = []
+
+    def __init__(self, options):
+        pass
+
+    def channels(self):
+        return ["C"]
+
+    def history(self, channel, oldest, latest, cursor):
+        Flaky.calls.append(cursor)
+        n = Flaky.calls.count(cursor)
+        if cursor == "2" and n < 3:
+            raise RateLimited(900 if n == 1 else None)
+        if cursor == "3" and n < 2:
+            raise ConnectionError
+        return [{"ts": f"1{cursor or 1}.0", "text": cursor}], {"": "2", "2": "3", "3": ""}[cursor]
+
+
+def test_chat_calls_are_patient(monkeypatch):
+    waits = []
+    monkeypatch.setattr(chat_source.patiently, "__kwdefaults__", {"sleep": waits.append})
+    Flaky.calls = []
+    reader = chat_source.PageStream({"client": f"{__name__}:Flaky"})
+    rows = list(reader.read(chat_source.ChannelPartition("C", "0", "99")))
+    assert [r[2] for r in rows] == ["11.0", "12.0", "13.0"] and waits == [120.0, 5.0, 2.0 ** 0]
+    assert reader.partitions({"C": "12.0"}, {"C": "12.0", "D": "3.0"}) == [chat_source.ChannelPartition("D", "0", "3.0")]
+
+    def never():
+        raise RateLimited(1)
+
+    waits.clear()
+    with pytest.raises(RateLimited):
+        chat_source.patiently(never)
+    assert waits == [1] * 5
+    assert sorted(["9.9", "10.1", "10.05", "x", None], key=chat_source.moment) == ["x", None, "9.9", "10.05", "10.1"]
