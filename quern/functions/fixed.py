@@ -209,3 +209,8 @@ WRAPPERS = "\"'`()[]{}%"
 NOTE_CHANNEL_INFERRED = "#{} 채널로 이해했어."
 NOTE_CHANNEL_UNKNOWN = "말한 채널을 찾지 못해 Slack 전체에서 찾았어."
 NOTE_CHANNEL_EMPTY = "#{} 채널에서는 찾지 못해 Slack 전체에서 찾았어."
+
+#: Tokens of one window of late chunking, chunks in front of it, and the mark that ends a chunk.
+LATE_TOKENS, LATE_CARRY, LATE_END = 7600, 2, "<|endoftext|>"
+#: Characters of a chunk's prompt from the beginning of its file, and of the chunk itself.
+HEAD_CHARS, TARGET_CHARS = 700, 2000

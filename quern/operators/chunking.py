@@ -146,19 +146,3 @@ def valid_context(c: Column, least: int = 8, most: int = 400) -> Column:
     """A generated context if it can be used: without its label, 8 to 400 characters, not the word SKIP."""
     bare = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)^\s*(?:context|맥락)\s*:\s*", ""))
     return F.when((F.length(bare) >= least) & ~F.upper(bare).startswith("SKIP"), F.left(bare, F.lit(most)))
-
-
-def windows(sizes: list[int], most: int = 7600, carry: int = 2) -> list[tuple[int, int, int]]:
-    """Greedy windows ``(first with context, first of its own, end)`` over the chunks' token counts: as many chunks as
-    fit, each window with up to ``carry`` chunks of the one before in front."""
-    out, at = [], 0
-    while at < len(sizes):
-        start = max(0, at - carry) if at else 0
-        while start < at and sum(sizes[start : at + 1]) > most:
-            start += 1
-        end = at + 1
-        while end < len(sizes) and sum(sizes[start : end + 1]) <= most:
-            end += 1
-        out.append((start, at, end))
-        at = end
-    return out

@@ -44,10 +44,25 @@ def no_text(prompts: list[str]) -> list[str | None]:
     return [None] * len(prompts)
 
 
+def running_tokens(texts: list[str]) -> list:
+    """A vector for each byte of a text: the signed counts, in 64 buckets, of all bytes up to it. So it depends on what stands
+    in front, as a model's would."""
+    import numpy as np
+
+    out = []
+    for text in texts:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        one = np.zeros((len(data), DIM), np.float32)
+        one[np.arange(len(data)), data % DIM] = np.where(data & 0x80, -1, 1)
+        out.append(one.cumsum(axis=0))
+    return out
+
+
 #: ``embed`` and ``synopsis``: texts; ``rerank``: a query and texts, to scores, or None for :func:`overlap`; ``generate``:
-#: prompts to texts or None; ``tokenize``: texts to token ids.
+#: prompts to texts or None; ``tokenize``: texts to token ids; ``token_embed``: texts to a vector for each token.
 PROVIDERS: dict[str, Callable | None] = {
     "embed": hashed_embedding, "synopsis": first_sentence, "rerank": None, "generate": no_text, "tokenize": lambda texts: [list((t or "").encode()) for t in texts],
+    "token_embed": running_tokens,
 }
 
 
@@ -59,7 +74,7 @@ def register_provider(kind: str, f: Callable | None) -> None:
 
 def health() -> dict[str, str]:
     """``ok`` for each provider that answers, else the name of what it raised."""
-    probes = {"embed": (["x"],), "synopsis": (["x"],), "rerank": ("x", ["x"]), "generate": (["x"],), "tokenize": (["x"],)}
+    probes = {"embed": (["x"],), "synopsis": (["x"],), "rerank": ("x", ["x"]), "generate": (["x"],), "tokenize": (["x"],), "token_embed": (["x"],)}
     out = {}
     for kind, f in PROVIDERS.items():
         try:
@@ -71,7 +86,7 @@ def health() -> dict[str, str]:
     return out
 
 
-def token_counts(texts: list[str], end: str = "<|endoftext|>") -> list[int]:
+def token_counts(texts: list[str], end: str = fixed.LATE_END) -> list[int]:
     """Tokens of each text with the end mark: the whole is tokenised at once and cut at the mark; if that gives another
     number of parts, each text is tokenised alone."""
     f = PROVIDERS["tokenize"]

@@ -2,7 +2,7 @@ import io
 import json
 import zipfile
 
-from quern.operators.chunking import Block, chunked, merged, split, windows, without_undersized
+from quern.operators.chunking import Block, chunked, merged, split, without_undersized
 from quern.operators.tabular import delimiter, json_records, key_paths
 from quern.sources import parsers
 
@@ -87,12 +87,6 @@ def test_chunked_drops_short():
     assert [c.text for c in chunked([Block("y" * 61)])] == ["y" * 61]
 
 
-def test_windows():
-    assert windows([3000, 3000, 3000, 3000]) == [(0, 0, 2), (1, 2, 3), (2, 3, 4)]
-    assert windows([]) == []
-    assert [w[1:] for w in windows([9000, 10])] == [(0, 1), (1, 2)]
-
-
 def test_tabular():
     assert delimiter("a;b;c\n1;2;3\n") == ";" and delimiter("plain\ntext here") is None
     assert key_paths({"a": {"b": 1, "c": [{"d": 2}]}, "e": 3}) == ["a.b", "a.c[].d", "e"]
