@@ -214,3 +214,6 @@ NOTE_CHANNEL_EMPTY = "#{} 채널에서는 찾지 못해 Slack 전체에서 찾
 LATE_TOKENS, LATE_CARRY, LATE_END = 7600, 2, "<|endoftext|>"
 #: Characters of a chunk's prompt from the beginning of its file, and of the chunk itself.
 HEAD_CHARS, TARGET_CHARS = 700, 2000
+
+#: Items of a live search that count, and seconds that it has.
+LIVE_MOST, LIVE_SECONDS = 20, 5.0

@@ -111,12 +111,18 @@ def synopsis_candidates(
 
 
 def load_records(spark, path: str) -> DataFrame:
-    """Canonical records of a JSON file ``{"records": {key: {...}}}`` as a table; an error if it has another form. Records
-    keep the order of the file."""
+    """Canonical records of a JSON file as a table, in the order of the file. ``records`` is an object ``{key: {...}}`` or a list
+    of objects with a ``key`` each; an error if the file has another form or a key twice."""
     text = spark.read.text(path, wholetext=True).first()
     value = json.loads(text[0]) if text else None
-    if not isinstance(value, dict) or not isinstance(value.get("records"), dict):
-        raise ValueError(f"{path} is not an object with an object of records")
+    records = value.get("records") if isinstance(value, dict) else None
+    if isinstance(records, list):
+        keys = [r.get("key") if isinstance(r, dict) else None for r in records]
+        if not all(keys) or len(set(keys)) < len(keys):
+            raise ValueError(f"records of {path} need a key of their own each")
+        records = dict(zip(keys, records, strict=True))
+    if not isinstance(records, dict):
+        raise ValueError(f"{path} is not an object with records")
     lists = ("intent_terms", "context_terms", "exclude_if_present", "preferred_roots", "filename_hints")
-    rows = [(i, k, *[list(r.get(x) or []) for x in lists], r.get("operation", "canonical_record")) for i, (k, r) in enumerate(value["records"].items())]
+    rows = [(i, k, *[list(r.get(x) or []) for x in lists], r.get("operation", "canonical_record")) for i, (k, r) in enumerate(records.items())]
     return spark.createDataFrame(rows, "ord int, key string, " + ", ".join(f"{x} array<string>" for x in lists) + ", operation string")

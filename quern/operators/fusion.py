@@ -63,13 +63,13 @@ def trim_weak(files: DataFrame, ratio: float = fixed.WEAK_RATIO, most: int = fix
     return kept.orderBy(F.col("rrf").desc(), "file_id").limit(most)
 
 
-def merge_live(indexed: DataFrame, live: DataFrame) -> DataFrame:
+def merge_live(indexed: DataFrame, live: DataFrame, most: int = fixed.LIVE_MOST) -> DataFrame:
     """Indexed files and live items by id: live names, paths and times win, ranks add up, and both are told apart.
 
-    A live item counts its rank before items in the trash or outside the root go.
+    The first ``most`` live items count, each with its rank before items in the trash or outside the root go.
     """
-    rank = F.row_number().over(Window.orderBy("pos"))
-    usable = live.withColumn("live_rank", rank).where(~F.col("trashed") & F.col("inside_root"))
+    rank = F.row_number().over(Window.orderBy("pos"))  # over most rows
+    usable = live.orderBy("pos").limit(most).withColumn("live_rank", rank).where(~F.col("trashed") & F.col("inside_root"))
     a, b = indexed.alias("a"), usable.alias("b")
     pick = lambda c: F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c)
     more = [pick(c) if c in indexed.columns and c in live.columns else F.col(c) for c in ("created", "mime_type") if c in indexed.columns or c in live.columns]

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from quern.functions import fixed
 from quern.functions import intent as I
 from quern.functions import text as X
-from quern.operators import catalog, fusion, vector
+from quern.operators import catalog, deadline, fusion, vector
+from quern.scratch import written
 
 
 @dataclass(frozen=True)
@@ -86,18 +87,23 @@ def locate(
     return Located(kind, found)
 
 
-def locate_hybrid(spark: SparkSession, question: str, files: DataFrame, live: Callable[[], DataFrame] | None = None, **how) -> Located | None:
+def locate_hybrid(spark: SparkSession, question: str, files: DataFrame, live: Callable[[], DataFrame] | None = None, seconds: float = fixed.LIVE_SECONDS, **how) -> Located | None:
     """:func:`locate`, with what a live listing finds. ``live`` gives ``file_id, name, path, modified, trashed, inside_root, pos``
-    (and ``created, mime_type``); if there is none or it fails, the indexed files stay, and ``live`` says so."""
-    found = locate(spark, question, files, **how)
-    if found is None or live is None:
+    (and ``created, mime_type``), of which the first ``fixed.LIVE_MOST`` count. Both searches run at once. If there is no live
+    one, it fails or isn't there after ``seconds``, its jobs are cancelled, the indexed files stay, and ``live`` says so."""
+    if live is None:
+        found = locate(spark, question, files, **how)
         return found if found is None else Located(found.intent, found.files, found.note, "unavailable")
+    first = lambda: written(live().orderBy("pos").limit(fixed.LIVE_MOST), "live")
+    both = deadline.together(spark, {"indexed": lambda: locate(spark, question, files, **how), "live": first}, seconds, awaited=("indexed",))
+    if both["indexed"].error is not None:
+        raise both["indexed"].error
+    found, listing = both["indexed"].value, both["live"].value
+    if found is None:
+        return None
+    if listing is None:
+        return Located(found.intent, found.files, found.note, both["live"].state)
     indexed = found.files.select("file_id", "name", F.col("location").alias("path"), F.col("mod_time").alias("modified"), "rrf")
-    try:
-        listing = live()
-        listing.limit(1).count()  # a source that can't be read fails here
-    except Exception as e:  # whatever a live source raises, the indexed files are an answer
-        return Located(found.intent, found.files, found.note, type(e).__name__)
     q = F.lit(question)
     said = evaluate(
         spark, quoted=F.regexp_extract(q, fixed.LOCATE_QUOTED, 1), bare=F.regexp_extract(q, fixed.LOCATE_FILE, 1), year=F.regexp_extract(q, fixed.LOCATE_YEAR, 1),

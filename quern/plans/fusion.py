@@ -51,7 +51,7 @@ def weak_tail_trim(spark, d):
 
 
 LIVE_SQL = LISTS_SQL + """, ind AS (SELECT f.file_id, name, path, mod_time AS modified, rrf FROM fused JOIN files f USING (file_id)),
-live AS (SELECT file_id, 'live-' || name AS name, 'live/' || path AS path, mod_time AS modified, seq % 5 = 0 AS trashed, seq % 4 <> 0 AS inside_root, CASE WHEN seq % 3 = 0 THEN 'application/vnd.google-apps.folder' ELSE 'text/plain' END AS mime_type, row_number() OVER (ORDER BY seq) AS live_rank FROM files WHERE root IN ('lab/src6', 'lab/src8')),
+live AS (SELECT file_id, 'live-' || name AS name, 'live/' || path AS path, mod_time AS modified, seq % 5 = 0 AS trashed, seq % 4 <> 0 AS inside_root, CASE WHEN seq % 3 = 0 THEN 'application/vnd.google-apps.folder' ELSE 'text/plain' END AS mime_type, row_number() OVER (ORDER BY seq) AS live_rank FROM files WHERE root IN ('lab/src6', 'lab/src8') QUALIFY live_rank <= 20),
 m AS (SELECT coalesce(i.file_id, l.file_id) AS file_id, coalesce(l.name, i.name) AS name, coalesce(l.path, i.path) AS path, coalesce(l.modified, i.modified) AS modified, mime_type,
  coalesce(i.rrf, 0) + coalesce(1.0::DOUBLE / (60 + l.live_rank), 0) AS rrf, CASE WHEN i.file_id IS NULL THEN 'live' WHEN l.file_id IS NULL THEN 'indexed' ELSE 'both' END AS provenance
  FROM ind i FULL OUTER JOIN (SELECT * FROM live WHERE NOT trashed AND inside_root) l ON i.file_id = l.file_id) """

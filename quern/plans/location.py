@@ -34,7 +34,7 @@ def _live(spark, d):
     )
 
 
-HYBRID_SQL = SEARCH_SQL + """, live AS (SELECT file_id, 'live-' || name AS name, 'live/' || path AS path, mod_time AS modified, seq % 5 = 0 OR seq % 4 = 0 AS unusable, row_number() OVER (ORDER BY seq) AS live_rank FROM f WHERE root IN ('lab/src4', 'lab/src8')),
+HYBRID_SQL = SEARCH_SQL + """, live AS (SELECT file_id, 'live-' || name AS name, 'live/' || path AS path, mod_time AS modified, seq % 5 = 0 OR seq % 4 = 0 AS unusable, row_number() OVER (ORDER BY seq) AS live_rank FROM f WHERE root IN ('lab/src4', 'lab/src8') QUALIFY live_rank <= 20),
 i AS (SELECT file_id, name, root || '/' || path AS path, mod_time AS modified, rrf FROM best JOIN f USING (file_id)),
 m AS (SELECT file_id, coalesce(l.name, i.name) AS name, coalesce(l.path, i.path) AS path, coalesce(l.modified, i.modified) AS modified, coalesce(i.rrf, 0) + coalesce(1.0::DOUBLE / (60 + l.live_rank), 0) AS rrf,
  CASE WHEN i.name IS NULL THEN 'live' WHEN l.name IS NULL THEN 'indexed' ELSE 'both' END AS provenance FROM i FULL OUTER JOIN (SELECT * FROM live WHERE NOT unusable) l USING (file_id)) """
@@ -52,7 +52,7 @@ def locate_hybrid(spark, d):
 
     out = []
     for asked, question, live in (("plain", QUESTION, lambda: _live(spark, d)), ("latest", "최신 src4 파일 어디에 있어?", lambda: _live(spark, d)), ("broken", QUESTION, broken)):
-        found = location.locate_hybrid(spark, question, files(spark, d), live, synopses=synopses(spark, d), query=query_vector(spark, d))
+        found = location.locate_hybrid(spark, question, files(spark, d), live, seconds=300, synopses=synopses(spark, d), query=query_vector(spark, d))
         f = found.files if asked != "broken" else found.files.select("file_id", F.col("location").alias("path"), "rrf", F.lit("indexed").alias("provenance"))
         out.append(f.select("file_id", "path", F.round("rrf", 6).alias("rrf"), "provenance", F.lit(found.live).alias("live"), F.lit(asked).alias("asked")))
     return out[0].unionByName(out[1]).unionByName(out[2])

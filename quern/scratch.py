@@ -10,14 +10,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.session import prepared
 
 _OWN: dict[str, str] = {}
-#: Tables written inside each open :func:`scope`, innermost last.
-_SCOPES: list[dict[str, DataFrame]] = []
+#: Tables written inside each open :func:`scope` of this thread or task, innermost last.
+_SCOPES: ContextVar[tuple[dict[str, DataFrame], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,8 +44,8 @@ def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
-    if _SCOPES:
-        _SCOPES[-1][path] = out
+    if scopes := _SCOPES.get():
+        scopes[-1][path] = out
     return out
 
 
@@ -52,7 +53,9 @@ def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
 def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """A block whose tables go when it ends, but for those that the function it gives was called with. Whatever a block
     returns must be built on those alone."""
-    _SCOPES.append({})
+    made: dict[str, DataFrame] = {}
+    before = _SCOPES.get()
+    _SCOPES.set((*before, made))
     kept: list[DataFrame] = []
 
     def keep(df: DataFrame) -> DataFrame:
@@ -62,12 +65,12 @@ def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        made = _SCOPES.pop()
+        _SCOPES.set(before)
         for path, df in made.items():
             if not any(df is k for k in kept):
                 _delete(df.sparkSession, path)
-            elif _SCOPES:
-                _SCOPES[-1][path] = df
+            elif before:
+                before[-1][path] = df
 
 
 def _delete(spark: SparkSession, path: str) -> None:

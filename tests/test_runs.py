@@ -235,9 +235,13 @@ def test_records(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"records": {"b": {"intent_terms": ["x"]}, "a": {"operation": "list"}}}))
     got = catalog.load_records(spark, str(tmp_path / "r.json")).orderBy("ord").collect()
     assert [(r.key, r.intent_terms, r.operation) for r in got] == [("b", ["x"], "canonical_record"), ("a", [], "list")]
-    (tmp_path / "bad.json").write_text("[]")
-    with pytest.raises(ValueError, match="records"):
-        catalog.load_records(spark, str(tmp_path / "bad.json"))
+    (tmp_path / "list.json").write_text(json.dumps({"records": [{"key": "z", "intent_terms": ["소개"], "preferred_roots": ["[W]/ops"]}, {"key": "a"}]}))
+    got = catalog.load_records(spark, str(tmp_path / "list.json")).orderBy("ord").collect()
+    assert [(r.key, r.intent_terms, r.preferred_roots) for r in got] == [("z", ["소개"], ["[W]/ops"]), ("a", [], [])]
+    for bad in ("[]", '{"records": 3}', '{"records": [{"intent_terms": []}]}', '{"records": [{"key": "a"}, {"key": "a"}]}', '{"records": ["a"]}'):
+        (tmp_path / "bad.json").write_text(bad)
+        with pytest.raises(ValueError, match="records"):
+            catalog.load_records(spark, str(tmp_path / "bad.json"))
 
 
 def test_summaries_and_pdf():
