@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobs import chat_sync, common, corpus_chunks
+from quern.operators import chat as retrieval
+from quern.operators import providers
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 RAW = "channel string, name string, thread string, ts string, who string, body string"
@@ -67,18 +69,27 @@ def test_sync_of_growing_input(spark, tmp_path, chat):
     assert late.n_chars == len("first") + len("edited") + len("nobody") + len("a late reply")
     assert rows["C0CHANNEL1", str(1785000000 + 9 * DAY) + ".000100"].n_messages == 1
 
+    cut = {(r.channel_id, r.thread_ts, r.idx): r for r in chat_sync.table(spark, out, "pieces").collect()}
+    assert len(cut) == 4 and cut["C0CHANNEL1", late.thread_ts, 0].text == "채널: #team-1\n스레드 시작: first\nann: first\n: nobody\nben: edited\ncat: a late reply"
+    assert cut["C0CHANNEL1", late.thread_ts, 0].day == late.day and cut["C0CHANNEL1", late.thread_ts, 0].link == late.link
+
     # all at once gives the same threads
     whole = str(tmp_path / "whole")
     for n, part in enumerate((FIRST, SECOND), 1):
         put(spark, part, str(tmp_path / "src2"), n)
         chat_sync.sync(spark, str(tmp_path / "src2" / "*"), whole, whole + "-mark", chat | {"files_per_batch": 1})
-    assert state(spark, whole) == state(spark, out)
+    assert state(spark, whole) == state(spark, out) and state(spark, whole, "pieces") == state(spark, out, "pieces")
+    # the pieces, embedded, are what chat retrieval searches
+    store = str(tmp_path / "store")
+    chat_sync.sync(spark, f"{src}/*", store, store + "-mark", chat | {"embed": True})
+    query = providers.hashed_embedding(["late reply"])[0]
+    assert retrieval.dense(retrieval.Chat(chat_sync.table(spark, store, "pieces")), query, 1).first().thread_ts == late.thread_ts
 
 
 def test_sync_batch_again(spark, tmp_path, chat):
     """A batch that failed half-way runs again with its number: nothing doubles, other batches stay."""
     out = str(tmp_path / "out")
-    for name, schema in (("messages", chat_sync.MESSAGES), ("threads", chat_sync.THREADS)):
+    for name, schema in chat_sync.TABLES.items():
         spark.createDataFrame([], schema).write.parquet(f"{out}/{name}")
     raw = [common.mapped(spark.createDataFrame(rows, RAW), COLUMNS) for rows in (FIRST, SECOND)]
     chat_sync.load(raw[0], 0, out, 30)
