@@ -12,7 +12,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 def load() -> None:
     """Import every module that registers queries."""
-    from quern.plans import catalog, chat, context, dates, folders, fusion, incremental, ingest, jobs, live, location, prompts, retrieval, routing, texts, threads, vectors  # noqa: F401
+    from quern.plans import asked, catalog, chat, context, dates, folders, fusion, incremental, ingest, jobs, live, location, prompts, retrieval, routing, texts, threads, vectors  # noqa: F401
 
 
 def entry(spark: SparkSession) -> DataFrame:
