@@ -3,18 +3,23 @@
 ``spark.dataSource.register(FolderListing)`` and ``spark.read.format("folder_listing").option("roots", "a,b")``. Options:
 ``depth`` (levels below a root), ``split`` (a root becomes itself at depth 1 and each child, by name), ``exclude`` (names
 to leave out), ``timeout_s`` (a folder tree that takes longer is listed again in parts: its own files, then each child, down
-to ``fixed.SPLIT_DEPTH`` levels, where only the files directly there are listed). A root that can't be read gives no rows if
+to ``fixed.SPLIT_DEPTH`` levels, where only the files directly there are listed), ``large`` (folders that a listing before had
+many files below, as :func:`large_folders` gives them: each becomes a partition of its own files and one for each child, so what
+was slow is dealt to several tasks from the start). A root that can't be read gives no rows if
 ``skip_errors`` is true, else an error. The folders must be visible to all executors; on one machine any folder is.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quern.functions import fixed
@@ -38,6 +43,7 @@ class FolderReader(DataSourceReader):
         self.exclude = {x for x in options.get("exclude", "").split(",") if x}
         self.skip_errors = options.get("skip_errors", "false").lower() == "true"
         self.timeout = float(options.get("timeout_s", "inf"))
+        self.large = set(json.loads(options.get("large", "[]")))
 
     def partitions(self):
         out = []
@@ -49,11 +55,23 @@ class FolderReader(DataSourceReader):
                 except OSError:
                     children = []
             if children:
-                out += [RootPartition(root, root, 1), *[RootPartition(root, os.path.join(root, c), self.depth - 1) for c in children]]
+                out += [RootPartition(root, root, 1), *[p for c in children for p in self._planned(root, os.path.join(root, c), self.depth - 1)]]
             else:
-                out.append(RootPartition(root, root, self.depth))
+                out += self._planned(root, root, self.depth)
         return out
 
+    def _planned(self, root: str, start: str, depth: int) -> list[RootPartition]:
+        """A partition for a tree, or, where it was large before, for its own files and for each of its parts."""
+        children: list[str] = []
+        if start in self.large and depth > 1:
+            try:
+                children = sorted(e.path for e in os.scandir(start) if e.is_dir() and e.name not in self.exclude)
+            except OSError:  # the partition's own reading tells of it
+                children = []
+        if not children:
+            return [RootPartition(root, start, depth)]
+        return [RootPartition(root, start, 1), *[p for c in children for p in self._planned(root, c, depth - 1)]]
+
     def read(self, partition: RootPartition) -> Iterator[tuple]:
         yield from self._resolve(partition.root, partition.start, partition.depth, 0)
 
@@ -96,6 +114,17 @@ class FolderReader(DataSourceReader):
         return out
 
 
+def large_folders(listing: DataFrame, most: int, levels: int = fixed.SPLIT_DEPTH) -> str:
+    """The folders of a listing (``root, path``), down to ``levels`` below their root, with more than ``most`` files below them, as
+    the option ``large``. There are ``levels + 1`` times as many as the listing has files by ``most``, at most; only these come to
+    the driver."""
+    parts = F.split("path", "/")
+    depth = F.least(F.size(parts) - 1, F.lit(levels))
+    above = F.transform(F.sequence(F.lit(0), depth), lambda k: F.concat_ws("/", F.col("root"), F.when(k > 0, F.array_join(F.slice(parts, F.lit(1), k), "/"))))
+    n = listing.select(F.explode(above).alias("folder")).groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+    return json.dumps(sorted(r[0] for r in n.where(F.col("n") > most).select("folder").collect()))
+
+
 def default_roots(own: str, shared: str, drives: Callable[[], list[str]]) -> list[str]:
     """One's own folder, what is shared with one, and the shared drives; without the last if they can't be listed."""
     try:

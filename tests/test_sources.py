@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.operators import manifest, threads
 from quern.sources import chat as chat_source
 from quern.sources.chat import SCHEMA, ChatPages, RateLimited, collect, read_jsonl, write_jsonl
-from quern.sources.listing import FolderListing
+from quern.sources.listing import FolderListing, large_folders
 from quern.streaming import incremental
 
 
@@ -168,3 +168,26 @@ def test_chat_calls_are_patient(monkeypatch):
         chat_source.patiently(never)
     assert waits == [1] * 5
     assert sorted(["9.9", "10.1", "10.05", "x", None], key=chat_source.moment) == ["x", None, "9.9", "10.05", "10.1"]
+
+
+def test_listing_planned_from_the_one_before(spark, tmp_path):
+    """What had many files is dealt to several tasks the next time; each file is listed once, new folders as well."""
+    for path in [f"big/a/{i}.txt" for i in range(30)] + [f"big/b/c/{i}.txt" for i in range(30)] + ["big/own.txt", "small/x.txt", "top.txt", "skip/y.txt"]:
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    spark.dataSource.register(FolderListing)
+    read = lambda **how: spark.read.format("folder_listing").options(roots=str(tmp_path), exclude="skip", **how).load()
+    first = read()
+    want = sorted(r.path for r in first.collect())
+    assert first.rdd.getNumPartitions() == 1 and len(want) == 63
+    large = large_folders(first, 20)
+    assert json.loads(large) == [str(tmp_path), f"{tmp_path}/big", f"{tmp_path}/big/a", f"{tmp_path}/big/b", f"{tmp_path}/big/b/c"]
+    (tmp_path / "new").mkdir()
+    (tmp_path / "new" / "n.txt").write_text("x")
+    second = read(large=large)
+    sizes = second.groupBy(F.spark_partition_id()).count().collect()
+    assert second.rdd.getNumPartitions() > 4 and max(r["count"] for r in sizes) <= 30
+    assert sorted(r.path for r in second.collect()) == sorted([*want, "new/n.txt"])
+    assert sorted(r.path for r in read(large=large, split="true").collect()) == sorted([*want, "new/n.txt"])
+    assert sorted(r.path for r in read(large=large, depth="2").collect()) == ["big/own.txt", "new/n.txt", "small/x.txt", "top.txt"]
+    assert large_folders(first.limit(0), 1) == "[]"
