@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import fixed
 from quern.functions import text as X
+from quern.scratch import written
 
 
 def numeric_profile(files: DataFrame, text: str = "text") -> DataFrame:
@@ -57,6 +58,55 @@ def key_paths(value: object, depth: int = 4, most: int = 60) -> list[str]:
     return list(out)
 
 
+def _kind(v: Column) -> Column:
+    """``object``, ``array`` or another word for the kind of a variant; null for null."""
+    return F.lower(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0))
+
+
+def _children(nodes: DataFrame) -> DataFrame:
+    """The values of all objects among ``nodes`` (``file_id, path, v``), with their key behind the path."""
+    objects = nodes.where(_kind(F.col("v")) == "object")
+    each = objects.lateralJoin(nodes.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    return each.select("file_id", F.concat_ws(".", F.nullif("path", F.lit("")), "key").alias("path"), F.col("value").alias("v"))
+
+
+def records_profile(files: DataFrame, least: int = 30, depth: int = 3, key_depth: int = 4) -> DataFrame:
+    """``file_id, n_records, keys`` of texts that hold records: ``least`` JSON lines at least, all of them objects, or an array of
+    as many objects below ``depth`` keys at most, of which the longest counts, ties by path. ``keys``: those of the first record, sorted,
+    nested ones with dots, arrays with ``[]``. ``files``: ``file_id, text``.
+
+    The JVM-side counterpart of :func:`json_records` for whole tables: texts are parsed once to variants, objects are opened
+    level by level, and arrays are only measured. Texts that are no JSON give no row.
+    """
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    rows = files.select("file_id", "text", lines.alias("lines"))
+    many = rows.where(F.size("lines") >= least).select("file_id", F.size("lines").alias("n"), F.transform("lines", F.try_parse_json).alias("vs"))
+    objects = F.forall("vs", lambda v: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)))
+    by_line = many.where(objects).select("file_id", F.col("n").alias("n_records"), F.col("vs")[0].alias("v"))
+    level = rows.select("file_id", F.lit("").alias("path"), F.try_parse_json("text").alias("v")).where(F.col("v").isNotNull())
+    found = None
+    for k in range(depth + 1):
+        first = F.try_variant_get("v", "$[0]", "variant")
+        here = level.where(_kind(F.col("v")) == "array").withColumn("first", first).where(_kind(F.col("first")) == "object")
+        here = here.select("file_id", "path", F.size(F.col("v").cast("array<variant>")).alias("n"), "first").where(F.col("n") >= least)
+        found = here if found is None else found.unionByName(here)
+        if k < depth:
+            level = _children(level)
+    order = F.struct((-F.col("n")).alias("n"), "path")
+    longest = Window.partitionBy("file_id").orderBy(order)  # some arrays of one file
+    best = found.withColumn("k", F.row_number().over(longest)).where(F.col("k") == 1).select("file_id", F.col("n").alias("n_records"), F.col("first").alias("v"))
+    records = written(by_line.unionByName(best.join(by_line.select("file_id"), "file_id", "left_anti")), "first-records")  # a record of each file
+    nodes, leaves = records.select("file_id", F.lit("").alias("path"), "v"), None
+    for k in range(key_depth):
+        nodes = _children(nodes)
+        array = _kind(F.col("v")) == "array"
+        ends = nodes if k == key_depth - 1 else nodes.where(F.coalesce(_kind(F.col("v")) != "object", F.lit(True)))
+        ends = ends.select("file_id", F.when(array, F.concat("path", F.lit("[]"))).otherwise(F.col("path")).alias("path"))
+        leaves = ends if leaves is None else leaves.unionByName(ends)
+    keys = leaves.groupBy("file_id").agg(F.array_sort(F.collect_set("path")).alias("keys"))  # of one record
+    return records.select("file_id", "n_records").join(keys, "file_id", "left").select("file_id", F.col("n_records").cast("long").alias("n_records"), F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
+
+
 def json_records(source: str, least: int = 30, depth: int = 3) -> tuple[int, list[str]] | None:
     """The number of records and their keys: of JSON lines, or of the longest array of objects found to a depth."""
     lines = [x for x in source.split("\n") if x.strip()]

@@ -99,3 +99,19 @@ def numeric_profile_cases(spark, d):
 def numeric_tokens(spark, d):
     cases = ((1, "15.29"), (2, '"-3e5"'), (3, "2026-01-02T03:04:05"), (4, "abc"), (5, "x:-0.002"), (6, "x:abc"))
     return rows(spark, "id int, t string", *cases).select("id", X.numeric_token(F.col("t")).alias("numeric"))
+
+
+@query("json_profile", """WITH g AS (SELECT CAST(event_id // 50 AS VARCHAR) AS file_id, event_id // 50 AS g, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT file_id, n AS n_records, CASE WHEN g % 3 = 0 THEN ['event_id', 'event_type'] ELSE ['event_id', 'p.k', 'tags[]'] END AS keys FROM g WHERE g % 3 < 2 AND n >= 30""")
+def json_profile(spark, d):
+    """Records that texts hold, each text of fifty events: a third as JSON lines, a third as an object with the records inside and
+    a shorter list beside them, and a third as no JSON at all."""
+    e = table(spark, d, "events").withColumn("g", F.floor(F.col("event_id") / 50))
+    line = F.to_json(F.struct("event_id", "event_type"))
+    record = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "p": '), "props", F.lit(', "tags": [1, 2]}'))
+    item = F.struct("event_id", F.when(F.col("g") % 3 == 1, record).otherwise(line).alias("t"))
+    listed = F.transform(F.array_sort("items"), lambda x: x["t"])
+    whole = F.concat(F.lit('{"meta": {"few": [{"x": 1}]}, "data": {"rows": ['), F.array_join(listed, ", "), F.lit("]}}"))
+    text = F.when(F.col("g") % 3 == 0, F.array_join(listed, "\n")).when(F.col("g") % 3 == 1, whole).otherwise("no json {")
+    files = e.groupBy("g").agg(F.collect_list(item).alias("items"))  # fifty events
+    return tabular.records_profile(files.select(F.col("g").cast("string").alias("file_id"), text.alias("text")))

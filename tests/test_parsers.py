@@ -2,6 +2,7 @@ import io
 import json
 import zipfile
 
+from quern.operators import tabular
 from quern.operators.chunking import Block, chunked, merged, split, without_undersized
 from quern.operators.tabular import delimiter, json_records, key_paths
 from quern.sources import parsers
@@ -93,3 +94,18 @@ def test_tabular():
     assert json_records("\n".join('{"x": 1}' for _ in range(30))) == (30, ["x"])
     assert json_records(json.dumps({"k": {"rows": [{"y": i} for i in range(40)]}})) == (40, ["y"])
     assert json_records('{"a": 1}') is None and json_records("no json") is None
+
+
+def test_records_of_tables(spark):
+    """Records of whole tables as the parser's helper tells them, for objects, lines, nested and broken texts."""
+    record = {"b": 1, "a": {"c": 2, "d": {"e": {"f": 1}}}, "l": [1, 2], "n": None, "o": {}}
+    cases = {
+        "lines": "\n".join(json.dumps(record) for _ in range(40)) + "\n\n", "array": json.dumps([record] * 31), "few": json.dumps([record] * 29), "deep": json.dumps({"x": {"y": {"z": [record] * 50}}}),
+        "deeper": json.dumps({"x": {"y": {"z": {"w": [record] * 50}}}}), "two": json.dumps({"s": [{"k": 1}] * 35, "t": {"u": [{"m": 1}] * 36}}), "numbers": json.dumps({"x": [1] * 99}), "mixed": "\n".join(["3"] * 40),
+        "broken": "{" * 40, "empty": "", "null": None, "scalar": "3", "odd": json.dumps({"a.b": [{"k": [1]}] * 30}),
+    }
+    df = spark.createDataFrame(list(cases.items()), "file_id string, text string").repartition(3)
+    got = {r.file_id: (r.n_records, r["keys"]) for r in tabular.records_profile(df).collect()}
+    want = {k: tabular.json_records(t) for k, t in cases.items() if t is not None}
+    assert {k: n for k, (n, _) in got.items()} == {k: x[0] for k, x in want.items() if x}
+    assert got["lines"][1] == got["deep"][1] == ["a.c", "a.d.e.f", "b", "l[]", "n"] and got["two"] == (36, ["m"]) and got["odd"] == (30, ["k[]"])
