@@ -215,3 +215,24 @@ def event_numbers(spark, d):
     e, n = table(spark, d, "events"), X.numeric_token
     value = F.format_string("%.2f", "value")
     return e.select("event_id", n(F.concat(F.lit('"'), value, F.lit('"'))).alias("value"), n(F.concat(F.lit("x:"), value)).alias("labelled"), n(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("at"), n(F.col("event_type")).alias("kind"), n(F.col("props")).alias("props"))
+
+
+PROBED = ("~ 사과는 왜 빨간가", "~ 현재 상태는", "연구실 ~ 회의록")
+
+
+@query("probe_asked", asked_sql(PROBED) + """, s AS (SELECT *, (turn * 37 + conv_id * 11) % 100 / 100.0 AS score, conv_id % 5 = 0 AS failed FROM asked)
+SELECT conv_id, turn, CASE WHEN k = 2 THEN 'rag' WHEN failed THEN CASE k WHEN 1 THEN 'web' ELSE 'general' END WHEN score >= 0.5 THEN 'rag' WHEN k = 1 THEN 'web' ELSE 'general' END AS mode,
+ CASE WHEN k = 2 THEN 'internal_hint' WHEN failed THEN CASE k WHEN 1 THEN 'probe_web' ELSE 'probe_error' END WHEN score >= 0.5 THEN 'probe_relevant' WHEN k = 1 THEN 'probe_web' ELSE 'probe_low' END AS reason FROM s""")
+def probe_asked(spark, d):
+    """Routes after a probe of the stores with any score, and after one that failed."""
+    score, failed = F.pmod(F.col("turn") * 37 + F.col("conv_id") * 11, F.lit(100)) / 100.0, F.col("conv_id") % 5 == 0
+    return asked(spark, d, PROBED).select("conv_id", "turn", I.resolve_probe(I.route(F.col("q")), score, failed).alias("r")).select("conv_id", "turn", "r.*")
+
+
+@query("roles_of_files", FILES + "SELECT file_id, CASE seq % 3 WHEN 0 THEN '양식' WHEN 1 THEN '과거·제출본' ELSE '작업본' END AS role FROM files")
+def roles_of_files(spark, d):
+    """What files are for, by their name or folder: forms, old versions, and working copies."""
+    f, k = files(spark, d), F.col("seq") % 3
+    name = F.when(k == 0, F.concat(F.lit("출장 양식 "), "name")).otherwise(F.col("name"))
+    path = F.when(k == 1, F.concat(F.lit("backup/2025/"), "path")).otherwise(F.col("path"))
+    return f.select("file_id", I.write_role(name, path).alias("role"))
