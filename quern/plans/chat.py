@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quern.operators import chat, retrieve, threads
 from quern.plans.base import MESSAGES, messages, query
 from quern.plans.retrieval import CREDENTIAL, EVENT, QUESTION, SHAPES, TOKENS, stores
 from quern.plans.vectors import query_vector
-from quern.scratch import shared_dir
+from quern.scratch import folder
 from quern.session import table
 from quern.sources.chat import SCHEMA, ChatPages
 from quern.streaming import incremental
@@ -103,7 +101,7 @@ def chat_stream(spark, d):
     """Messages of a chat service by a stream that is stopped and started again when there are more: each is read once. The
     service is stood in for by pages of the conversations, the earlier half first."""
     spark.dataSource.register(ChatPages)
-    at = f"{shared_dir(spark)}/chat-stream-{uuid.uuid4().hex}"
+    at = folder(spark, "chat-stream")
     m = messages(spark, d)
     second = F.split("ts", r"\.")[0].cast("long")
     middle = m.agg(F.percentile_approx(second, 0.5)).first()[0] or 0

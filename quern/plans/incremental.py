@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quern.operators import manifest
 from quern.plans.base import CHUNKS, FILES, chunks, files, query, rows
-from quern.scratch import shared_dir
+from quern.scratch import folder
 from quern.session import table
 from quern.streaming import incremental
 
@@ -123,7 +121,7 @@ def event_sessions(spark, d):
 @query("event_stream", "SELECT user_id, arg_max(event_id, ts || '|' || lpad(CAST(event_id AS VARCHAR), 12, '0')) AS event_id FROM events GROUP BY 1")
 def event_stream(spark, d):
     """A stream over all events into a keyed table: the last event of each user. Runs until everything is read."""
-    at = f"{shared_dir(spark)}/event-stream-{uuid.uuid4().hex}"
+    at = folder(spark, "event-stream")
     # a stream wants a folder or a pattern; the table may be one file
     e = incremental.read_stream(spark, f"{d}/events.parque[t]", incremental.EVENTS)
     e = e.select("user_id", "event_id", F.concat(F.col("ts").cast("string"), F.lit("|"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("newest"))

@@ -34,6 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for whatever is written there; it goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)  # a path that isn't there can't be marked
+    files.deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """``df`` as a table of the shared folder, in folders by the columns ``by``. The files go when the driver's JVM ends."""
     spark = df.sparkSession
