@@ -6,7 +6,8 @@ were when it was queued; otherwise the entry is stale and skipped. A merge queue
 concatenates the vocabulary strings of the ids, byte by byte.
 
 Defined cases: a null text counts as empty and has no ids; special tokens of the file that occur in a text are single ids;
-a text of any length is encoded whole; repeated rows get equal results; an empty table gives an empty result.
+a text of any length is encoded whole; repeated rows get equal results; an empty table gives an empty result. Other columns take
+no part, whatever they are called.
 """
 
 from __future__ import annotations

@@ -26,13 +26,11 @@ none; no files give an empty result. Header fields must not end with the version
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.text import arrow_schema
-from quern.scratch import shared_dir, written
+from quern.scratch import folder, written
 from quern.session import prepared
 
 #: Fixed values of the format.
@@ -273,7 +271,7 @@ def archived_pages(pages: DataFrame, least: int = 0, id_col: str = "page_id", ur
     that its record refers to."""
     spark = pages.sparkSession
     prepared(spark)
-    path = path or f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
+    path = path or f"{folder(spark, 'warc')}/archives"
     write_archives(pages, path, least=least, id_col=id_col, url=url, text=text)
     kind = pages.schema[id_col].dataType
     read = read_archives(spark, path).select(
