@@ -32,9 +32,9 @@ def explicit_dates(spark, d):
 @query("period_filter", FILES + """SELECT file_id FROM files WHERE CAST(CAST(replace(replace(mod_time, 'T', ' '), 'Z', '') AS TIMESTAMP) + INTERVAL 9 HOUR AS DATE) >= DATE '2026-06-01'
 AND CAST(CAST(replace(replace(mod_time, 'T', ' '), 'Z', '') AS TIMESTAMP) + INTERVAL 9 HOUR AS DATE) < DATE '2026-07-01'""")
 def period_filter(spark, d):
-    """Files of June 2026 by the local day of their time stamp; their names hold no dates."""
+    """Files of June 2026 by the local day of their time stamp alone: numbers of six digits in names here are ids, not dates."""
     f = files(spark, d)
-    hit = {"source": F.lit("drive"), "thread_ts": F.lit(None).cast("string"), **{k: F.col(k) for k in ("name", "path", "root", "mod_time")}}
+    hit = {"source": F.lit("drive"), "thread_ts": F.lit(None).cast("string"), "mod_time": F.col("mod_time")}
     return f.where(dates.in_period(hit, F.expr("date'2026-06-01'"), F.expr("date'2026-07-01'"))).select("file_id")
 
 
