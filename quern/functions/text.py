@@ -180,18 +180,22 @@ def friendly_reason(error: Column) -> Column:
     return out
 
 
-def section(line: Column) -> Column:
-    """The heading that a line is, or null: a bare heading, or a number and a title that can be one."""
+def section(line: Column, kinds: Column | None = None) -> Column:
+    """The heading that a line is, or null: a bare heading, or a number and a title that can be one. ``kinds``: an array of those
+    that count (``chapter``, ``roman``, ``numbered``, ``dotted``, and bare headings in lower case), if not all do."""
+    counts = lambda kind: F.lit(True) if kinds is None else F.array_contains(kinds, kind)
     s = F.trim(line)
     bare = F.regexp_replace(s, "[.:]+$", "")
     number, title = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for p in (fixed.SECTION_CHAPTER, fixed.SECTION_ROMAN, fixed.SECTION_NUMBERED):
-        number = F.when(s.rlike(p), F.regexp_extract(s, p, 1)).otherwise(number)
-        title = F.when(s.rlike(p), F.trim(F.regexp_extract(s, p, 2))).otherwise(title)
-    parts_fine = F.forall(F.filter(F.split(number, r"\."), lambda x: x != ""), lambda x: x.try_cast("int") <= 99)
+    for kind, p in (("chapter", fixed.SECTION_CHAPTER), ("roman", fixed.SECTION_ROMAN), ("numbered", fixed.SECTION_NUMBERED)):
+        fits = s.rlike(p) & counts(kind)
+        number = F.when(fits, F.regexp_extract(s, p, 1)).otherwise(number)
+        title = F.when(fits, F.trim(F.regexp_extract(s, p, 2))).otherwise(title)
+    parts_fine = F.forall(F.filter(F.split(number, r"\."), lambda x: x != ""), lambda x: x.try_cast("int") <= 99) & counts("dotted")
     plausible = F.when(number.contains("."), parts_fine).when(number.rlike("^[0-9]+$"), number.try_cast("long") <= 30).otherwise(True)
     fine = plausible & ~title.rlike("[.,;]$") & (F.size(F.split(title, r"\s+")) <= 12)
-    found = F.when(F.lower(bare).isin(*fixed.BARE_HEADINGS), bare).when(number.isNotNull() & fine, F.concat_ws(" ", number, title))
+    named = F.lower(bare).isin(*fixed.BARE_HEADINGS) & counts(F.lower(bare))
+    found = F.when(named, bare).when(number.isNotNull() & fine, F.concat_ws(" ", number, title))
     return F.when((s != "") & (F.length(s) <= 100), found)
 
 

@@ -123,11 +123,15 @@ def chunk_files(files: DataFrame) -> DataFrame:
 
 
 def line_blocks(files: DataFrame, text: str = "text") -> DataFrame:
-    """``file_id, line_no, line, section`` of plain texts: the section is the last heading above, a running value per file."""
-    lines = files.select("file_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    heading = F.when(F.col("line").rlike("^#{1,6} "), F.trim(F.regexp_replace("line", "^#+ ", ""))).otherwise(X.section(F.col("line")))
+    """``file_id, line_no, line, section`` of plain texts: the section is the last heading above, a running value per file.
+    ``files`` may have ``kinds``, the kinds of headings that count in a file (see :func:`text.section`); marked ones always do."""
+    kinds = ["kinds"] if "kinds" in files.columns else []
+    lines = files.select("file_id", *kinds, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    marked = F.when(F.col("line").rlike("^#{1,6} "), F.trim(F.regexp_replace("line", "^#+ ", "")))
+    heading = marked.otherwise(X.section(F.col("line"), *[F.col(k) for k in kinds]))
+    lines = lines.withColumn("heading", heading).drop(*kinds)
     above = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("heading", heading).withColumn("section", F.last("heading", ignorenulls=True).over(above)).drop("heading")
+    return lines.withColumn("section", F.last("heading", ignorenulls=True).over(above)).drop("heading")
 
 
 def with_scope(chunks: DataFrame) -> DataFrame:

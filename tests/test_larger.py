@@ -30,3 +30,9 @@ def compared(spark, tmp_path):
 def test_ids_that_look_like_dates(compared):
     got = compared("period_filter", [(i, "x", "src1") for i in [*range(260590, 260640), *range(250100, 250140), *range(0, 240, 7)]])
     assert {"260620", "260630"} - {r[0] for r in got} and got
+
+
+def test_lines_that_look_like_headings(compared):
+    odd = ("Vi. La", "Vi. Lesèle oivile", "12.7.31.75 Keit in lich", "Conclusion", "제 3 장 Les", "12 Keit in", "31 Keit in", "results:", "# Ung", "II) An")
+    got = compared("running_section", [(i, f"one\n{line}\ntwo", "src1") for i, line in enumerate(odd)] + [(50, "\n".join(odd), "src2")])
+    assert {r[2] for r in got if r[0] in ("0", "2", "3")} == {3} and {r[2] for r in got if r[0] in ("5", "7")} == {4}
