@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import fixed
 from quern.functions import text as X
+from quern.scratch import written
 
 
 def keep_or_all(df: DataFrame, condition: Column) -> DataFrame:
@@ -37,6 +38,16 @@ def with_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """:func:`with_rank` by columns for tables of any size: rows are dealt into ranges and numbered in each, from where the
+    ranges before it end."""
+    placed = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    at = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return placed.withColumn("__at", at).join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + F.col("__at")).drop("__range", "__at", "__start")
+
+
 def rrf(ranks: list[Column], k: int = fixed.RRF_K) -> Column:
     """Reciprocal rank fusion: the sum of ``1 / (k + rank)`` over the lists that have the row."""
     return reduce(lambda a, b: a + b, [F.coalesce(1.0 / (F.lit(float(k)) + r), F.lit(0.0)) for r in ranks])
@@ -63,13 +74,14 @@ def trim_weak(files: DataFrame, ratio: float = fixed.WEAK_RATIO, most: int = fix
     return kept.orderBy(F.col("rrf").desc(), "file_id").limit(most)
 
 
-def merge_live(indexed: DataFrame, live: DataFrame, most: int = fixed.LIVE_MOST) -> DataFrame:
+def merge_live(indexed: DataFrame, live: DataFrame) -> DataFrame:
     """Indexed files and live items by id: live names, paths and times win, ranks add up, and both are told apart.
 
-    The first ``most`` live items count, each with its rank before items in the trash or outside the root go.
+    Every live item counts, with its rank by ``pos`` before items in the trash or outside the root go. Live items may be any
+    number; those that have a ``live_rank`` keep it.
     """
-    rank = F.row_number().over(Window.orderBy("pos"))  # over most rows
-    usable = live.orderBy("pos").limit(most).withColumn("live_rank", rank).where(~F.col("trashed") & F.col("inside_root"))
+    ranked = live if "live_rank" in live.columns else numbered(live, "live_rank", "pos", "file_id")
+    usable = ranked.where(~F.col("trashed") & F.col("inside_root"))
     a, b = indexed.alias("a"), usable.alias("b")
     pick = lambda c: F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c)
     more = [pick(c) if c in indexed.columns and c in live.columns else F.col(c) for c in ("created", "mime_type") if c in indexed.columns or c in live.columns]
@@ -103,9 +115,10 @@ def order_locations(files: DataFrame, wanted_name: str = "", year: str = "", mos
     return (ordered.limit(most) if most is not None else ordered).drop(*keys)
 
 
-def order_locations_by_time(files: DataFrame, mode: str = "modified", year: str = "", month: str = "", most: int = fixed.TOP_FILES) -> DataFrame:
+def order_locations_by_time(files: DataFrame, mode: str = "modified", year: str = "", month: str = "", most: int = fixed.TOP_FILES, named: bool = True) -> DataFrame:
     """Only files of the year (and month), by their time or their name, or all if there are none; then by the year in the
-    name and the fused rank if a year was asked for, by the asked time, the other one, and the name: all descending."""
+    name and the fused rank if a year was asked for, by the asked time, the other one, and the name: all descending. Unless
+    ``named``, digits in names are no years."""
     from quern.functions import dates
 
     first, second = ("created", "modified") if mode == "created" else ("modified", "created")
@@ -114,8 +127,9 @@ def order_locations_by_time(files: DataFrame, mode: str = "modified", year: str
     if year:
         at = stamp(first)
         there = at.startswith(year) & ((F.substring(at, 6, 2) == month) if month else F.lit(True))
-        files = keep_or_all(files, there | dates.name_has_year(name, year, month))
-    keys = [F.coalesce(dates.name_has_year(name, year), F.lit(False)).desc(), F.col("rrf").desc()] if year else []
+        files = keep_or_all(files, (there | dates.name_has_year(name, year, month)) if named else there)
+    keys = [F.coalesce(dates.name_has_year(name, year), F.lit(False)).desc()] if year and named else []
+    keys += [F.col("rrf").desc()] if year else []
     return files.orderBy(*keys, stamp(first).desc(), stamp(second).desc(), name.desc(), "file_id").limit(most)
 
 

@@ -110,7 +110,7 @@ def locate_hybrid(spark: SparkSession, question: str, files: DataFrame, live: Ca
         month=F.lpad(F.nullif(F.regexp_extract(q, fixed.LOCATE_MONTH, 1), F.lit("")), 2, "0"), folder=q.rlike(fixed.LOCATE_FOLDER),
         timed=q.rlike(f"{fixed.LOCATE_RECENT}|{fixed.CREATED_WORD}|{fixed.MODIFIED_WORD}"), mode=I.timestamp_mode(q),
     )
-    merged = fusion.merge_live(indexed, listing)
+    merged = fusion.merge_live(indexed, fusion.with_rank(listing, "live_rank", F.col("pos")))  # over fixed.LIVE_MOST rows
     if said["timed"]:
         out = fusion.order_locations_by_time(merged, said["mode"], said["year"], said["month"] or "")
     else:

@@ -51,7 +51,7 @@ def weak_tail_trim(spark, d):
 
 
 LIVE_SQL = LISTS_SQL + """, ind AS (SELECT f.file_id, name, path, mod_time AS modified, rrf FROM fused JOIN files f USING (file_id)),
-live AS (SELECT file_id, 'live-' || name AS name, 'live/' || path AS path, mod_time AS modified, seq % 5 = 0 AS trashed, seq % 4 <> 0 AS inside_root, CASE WHEN seq % 3 = 0 THEN 'application/vnd.google-apps.folder' ELSE 'text/plain' END AS mime_type, row_number() OVER (ORDER BY seq) AS live_rank FROM files WHERE root IN ('lab/src6', 'lab/src8') QUALIFY live_rank <= 20),
+live AS (SELECT file_id, 'live-' || name AS name, 'live/' || path AS path, mod_time AS modified, seq % 5 = 0 AS trashed, seq % 4 <> 0 AS inside_root, CASE WHEN seq % 3 = 0 THEN 'application/vnd.google-apps.folder' ELSE 'text/plain' END AS mime_type, row_number() OVER (ORDER BY seq) AS live_rank FROM files WHERE root IN ('lab/src6', 'lab/src8')),
 m AS (SELECT coalesce(i.file_id, l.file_id) AS file_id, coalesce(l.name, i.name) AS name, coalesce(l.path, i.path) AS path, coalesce(l.modified, i.modified) AS modified, mime_type,
  coalesce(i.rrf, 0) + coalesce(1.0::DOUBLE / (60 + l.live_rank), 0) AS rrf, CASE WHEN i.file_id IS NULL THEN 'live' WHEN l.file_id IS NULL THEN 'indexed' ELSE 'both' END AS provenance
  FROM ind i FULL OUTER JOIN (SELECT * FROM live WHERE NOT trashed AND inside_root) l ON i.file_id = l.file_id) """
@@ -84,10 +84,10 @@ def location_order(spark, d):
 @query("location_recency", LIVE_SQL + f""", p AS (SELECT *, modified LIKE '2026-05%' AS hit FROM m), r AS (SELECT *, row_number() OVER (ORDER BY modified DESC, {NORMAL_NAME} DESC, file_id) AS a, row_number() OVER (ORDER BY m2.rrf DESC, modified DESC, {NORMAL_NAME} DESC, file_id) AS b FROM (SELECT *, rrf AS keep FROM p) m2)
 SELECT file_id, 'all' AS asked FROM r WHERE a <= 5 UNION ALL (SELECT file_id, 'month' FROM r WHERE hit OR NOT (SELECT bool_or(hit) FROM p) ORDER BY b LIMIT 5)""")
 def location_recency(spark, d):
-    """The latest files, and those of a month by fused rank (names here don't have a year)."""
+    """The latest files, and those of a month by fused rank (digits in names here are ids, so they are no years)."""
     m = _merged(spark, d)
     every = fusion.order_locations_by_time(m).select("file_id", F.lit("all").alias("asked"))
-    return every.unionByName(fusion.order_locations_by_time(m, year="2026", month="05").select("file_id", F.lit("month").alias("asked")))
+    return every.unionByName(fusion.order_locations_by_time(m, year="2026", month="05", named=False).select("file_id", F.lit("month").alias("asked")))
 
 
 @query("live_union", FILES + "SELECT file_id, arg_min(b, b) AS first_batch FROM (SELECT file_id, 0 AS b FROM files WHERE root = 'lab/src1' UNION ALL SELECT file_id, 1 FROM files WHERE root IN ('lab/src1', 'lab/src2') AND seq % 5 <> 0) GROUP BY 1")

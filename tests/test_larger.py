@@ -36,3 +36,21 @@ def test_lines_that_look_like_headings(compared):
     odd = ("Vi. La", "Vi. Lesèle oivile", "12.7.31.75 Keit in lich", "Conclusion", "제 3 장 Les", "12 Keit in", "31 Keit in", "results:", "# Ung", "II) An")
     got = compared("running_section", [(i, f"one\n{line}\ntwo", "src1") for i, line in enumerate(odd)] + [(50, "\n".join(odd), "src2")])
     assert {r[2] for r in got if r[0] in ("0", "2", "3")} == {3} and {r[2] for r in got if r[0] in ("5", "7")} == {4}
+
+
+def many():
+    return [(i, "x" * (i * 37 % 211), f"src{(3, 6, 8)[i % 3]}") for i in range(900)]
+
+
+def test_all_live_items_count(compared):
+    got = compared("location_full_outer", many())
+    live = {str(i) for i, _, source in many() if source in ("src6", "src8") and i % 5 and i % 4}
+    assert len(live) > 300 and live == {r[0] for r in got if r[5] != "indexed"}
+
+
+@pytest.mark.parametrize("name", ["location_order", "location_recency"])
+def test_order_of_all_live_items(compared, name):
+    """The best items aren't among the first; ids such as 2026 are no years."""
+    rows = [(i, "x", "src1") for i in range(1, 60)] + [(i, "x" * (i % 50), ("src6", "src8")[i % 2]) for i in range(1501, 2100)]
+    got = {r[0] for r in compared(name, rows)}
+    assert {"1679", "1919"} <= got if name == "location_recency" else any(int(i) > 1560 for i in got)
