@@ -20,8 +20,11 @@ from quern.functions import fixed
 from quern.operators import chunking, providers
 from quern.session import prepared
 
+#: Rows of one frame of vectors.
+OUT_ROWS = 1_000
 
-def late_window(texts: list[str], counts: list[int], own: int) -> list[list[float]]:
+
+def late_window(texts: list[str], counts: list[int], own: int) -> list:
     """The vectors of the chunks from ``own`` on; those before are context. ``counts``: tokens of each with its end mark."""
     import numpy as np
 
@@ -33,7 +36,7 @@ def late_window(texts: list[str], counts: list[int], own: int) -> list[list[floa
     for at in ends[own:]:
         v = np.asarray(tokens[at], np.float64)
         length = float(np.sqrt((v * v).sum()))
-        out.append((v / length if length else v).tolist())
+        out.append(v / length if length else v)
     return out
 
 
@@ -76,18 +79,23 @@ def late_chunks(chunks: DataFrame, most: int = fixed.LATE_TOKENS, carry: int = f
                 counts = providers.token_counts(list(frame["text"]))
                 yield from zip(frame["file_id"], frame["idx"], frame["text"], counts, strict=True)
 
-        for file_id, own in itertools.groupby(rows(), key=lambda r: r[0]):
-            waiting: list[int] = []  # places of the chunks that no window has yet: a window's at most
+        def windows():
+            for file_id, own in itertools.groupby(rows(), key=lambda r: r[0]):
+                waiting: list[int] = []  # places of the chunks that no window has yet: a window's at most
+
+                def told(own=own, waiting=waiting):
+                    for _, idx, text, n in own:
+                        waiting.append(idx)
+                        yield text, n
 
-            def told(own=own, waiting=waiting):
-                for _, idx, text, n in own:
-                    waiting.append(idx)
-                    yield text, n
+                for texts, counts, front in late_windows(told(), most, carry):
+                    vectors = late_window(texts, counts, front)
+                    here, waiting[:] = waiting[: len(vectors)], waiting[len(vectors) :]
+                    yield from zip([file_id] * len(here), here, counts[front:], vectors, strict=True)
 
-            for texts, counts, front in late_windows(told(), most, carry):
-                vectors = late_window(texts, counts, front)
-                here, waiting[:] = waiting[: len(vectors)], waiting[len(vectors) :]
-                yield pd.DataFrame({"file_id": [file_id] * len(here), "idx": here, "n_tokens": counts[front:], "vector": vectors})
+        each = windows()
+        while some := list(itertools.islice(each, OUT_ROWS)):  # most files have few chunks, so a frame has those of many
+            yield pd.DataFrame(some, columns=["file_id", "idx", "n_tokens", "vector"])
 
     prepared(chunks.sparkSession)
     return ordered.mapInPandas(run, f"file_id {kind}, idx long, n_tokens long, vector array<float>")

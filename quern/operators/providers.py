@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,24 +44,40 @@ def no_text(prompts: list[str]) -> list[str | None]:
     return [None] * len(prompts)
 
 
-def running_tokens(texts: list[str]) -> list:
-    """A vector for each byte of a text: the signed counts, in 64 buckets, of all bytes up to it. So it depends on what stands
-    in front, as a model's would."""
-    import numpy as np
+class RunningCounts(Sequence):
+    """A vector for each byte of a text: the signed counts, in 64 buckets, of all bytes up to it. A vector is made when it is
+    asked for, from the one asked for before if that stands in front."""
 
-    out = []
-    for text in texts:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        one = np.zeros((len(data), DIM), np.float32)
-        one[np.arange(len(data)), data % DIM] = np.where(data & 0x80, -1, 1)
-        out.append(one.cumsum(axis=0))
-    return out
+    def __init__(self, text: str | None):
+        import numpy as np
+
+        self.data = np.frombuffer((text or "").encode(), np.uint8)
+        self.upto, self.counts = 0, np.zeros(256, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.data)
+
+    def __getitem__(self, i: int):
+        import numpy as np
+
+        end = range(len(self.data))[i] + 1
+        if end < self.upto:
+            self.upto, self.counts = 0, np.zeros(256, np.int64)
+        self.counts = self.counts + np.bincount(self.data[self.upto : end], minlength=256)
+        self.upto = end
+        of = self.counts.reshape(4, DIM)  # bytes from 0x80 on, the last two rows, count against the others
+        return (of[0] + of[1] - of[2] - of[3]).astype(np.float32)
+
+
+def running_tokens(texts: list[str]) -> list:
+    """:class:`RunningCounts` of each text. A vector depends on what stands in front, as a model's would."""
+    return [RunningCounts(t) for t in texts]
 
 
 #: ``embed`` and ``synopsis``: texts; ``rerank``: a query and texts, to scores, or None for :func:`overlap`; ``generate``:
-#: prompts to texts or None; ``tokenize``: texts to token ids; ``token_embed``: texts to a vector for each token.
+#: prompts to texts or None; ``tokenize``: texts to token ids (numbers below 2**63); ``token_embed``: texts to a vector for each token.
 PROVIDERS: dict[str, Callable | None] = {
-    "embed": hashed_embedding, "synopsis": first_sentence, "rerank": None, "generate": no_text, "tokenize": lambda texts: [list((t or "").encode()) for t in texts],
+    "embed": hashed_embedding, "synopsis": first_sentence, "rerank": None, "generate": no_text, "tokenize": lambda texts: [(t or "").encode() for t in texts],
     "token_embed": running_tokens,
 }
 
@@ -89,11 +105,17 @@ def health() -> dict[str, str]:
 def token_counts(texts: list[str], end: str = fixed.LATE_END) -> list[int]:
     """Tokens of each text with the end mark: the whole is tokenised at once and cut at the mark; if that gives another
     number of parts, each text is tokenised alone."""
+    import numpy as np
+
+    ids = lambda x: np.frombuffer(x, np.uint8) if isinstance(x, bytes) else np.asarray(x, np.int64)
     f = PROVIDERS["tokenize"]
-    mark, (whole,) = f([end])[0], f(["".join(t + end for t in texts)])
-    ends = [i + len(mark) for i in range(len(whole) - len(mark) + 1) if whole[i : i + len(mark)] == mark] if mark else []
-    if len(ends) == len(texts):
-        return [b - a for a, b in zip([0, *ends], ends, strict=False)]
+    mark, whole = ids(f([end])[0]), ids(f(["".join(t + end for t in texts)])[0])
+    if 0 < len(mark) <= len(whole):
+        at = np.flatnonzero(whole[: len(whole) - len(mark) + 1] == mark[0])
+        for k in range(1, len(mark)):
+            at = at[whole[at + k] == mark[k]]
+        if len(at) == len(texts):
+            return np.diff(at + len(mark), prepend=0).tolist()
     return [len(x) for x in f([t + end for t in texts])]
 
 

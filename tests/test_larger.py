@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from quern.operators import providers
 
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -54,3 +55,33 @@ def test_order_of_all_live_items(compared, name):
     rows = [(i, "x", "src1") for i in range(1, 60)] + [(i, "x" * (i % 50), ("src6", "src8")[i % 2]) for i in range(1501, 2100)]
     got = {r[0] for r in compared(name, rows)}
     assert {"1679", "1919"} <= got if name == "location_recency" else any(int(i) > 1560 for i in got)
+
+
+def test_token_vectors_on_demand():
+    """Vectors of all bytes of a text aren't made for the few that are asked for, and equal running sums."""
+    import tracemalloc
+
+    import numpy as np
+
+    data = np.random.default_rng(1).integers(0, 0x500, 3000)
+    text = "".join(map(chr, data))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    one = np.zeros((len(raw), providers.DIM), np.float32)
+    one[np.arange(len(raw)), raw % providers.DIM] = np.where(raw & 0x80, -1, 1)
+    (got,) = providers.running_tokens([text])
+    assert len(got) == len(raw)
+    for i in (0, 7, 7, 2000, 5, len(raw) - 1, -1):
+        assert (got[i] == one.cumsum(axis=0)[i]).all()
+    with pytest.raises(IndexError):
+        got[len(raw)]
+    tracemalloc.start()
+    (long,) = providers.running_tokens(["x" * 2_000_000])
+    assert long[1_999_999].sum() == 2_000_000 and tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+
+
+def test_marks_that_overlap(monkeypatch):
+    """A mark found more often than there are texts leaves each text to be tokenised alone; ids are any numbers."""
+    monkeypatch.setitem(providers.PROVIDERS, "tokenize", lambda texts: [[100_000 + ord(c) for c in t] for t in texts])
+    assert providers.token_counts(["b", "", "cc"], "aa") == [3, 2, 4] and providers.token_counts(["ba", "a"], "aa") == [4, 3]
+    assert providers.token_counts([], "aa") == [] and providers.token_counts(["ab"], "") == [2]
