@@ -24,6 +24,18 @@ from quern.session import prepared
 OUT_ROWS = 1_000
 
 
+#: Bytes of text of one task that goes through files.
+TASK_BYTES = 16 << 20
+
+
+def by_file(chunks: DataFrame) -> DataFrame:
+    """``chunks`` dealt by file, into as many tasks as their texts need, which are counted first: a task's share doesn't grow with
+    the table. A file stays whole."""
+    size = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chunks.repartition(max(parts, -(-size // TASK_BYTES)), "file_id")
+
+
 def late_window(texts: list[str], counts: list[int], own: int) -> list:
     """The vectors of the chunks from ``own`` on; those before are context. ``counts``: tokens of each with its end mark."""
     import numpy as np
@@ -66,7 +78,7 @@ def late_chunks(chunks: DataFrame, most: int = fixed.LATE_TOKENS, carry: int = f
     """``file_id, idx, n_tokens, vector`` of every chunk, with its end mark counted. ``chunks``: ``file_id, idx, text``; a null
     text counts as empty."""
     ordered = chunks.select("file_id", F.col("idx").cast("long").alias("idx"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartition("file_id").sortWithinPartitions("file_id", "idx")
+    ordered = by_file(ordered).sortWithinPartitions("file_id", "idx")
     kind = chunks.schema["file_id"].dataType.simpleString()
 
     def run(frames):
@@ -123,17 +135,19 @@ def context_material(chunks: DataFrame) -> DataFrame:
     file, section = Window.partitionBy("file_id"), Window.partitionBy("file_id", "section")
     order = file.orderBy("idx")
     beside = order.rowsBetween(-fixed.NEIGHBOURS, fixed.NEIGHBOURS)
-    sized = chunking.with_scope(chunks.withColumn("text", F.coalesce("text", F.lit(""))))
+    # two sorts in all: both windows of the first need it alone, and texts are gathered as late as can be
+    dealt = by_file(chunks.withColumn("text", F.coalesce("text", F.lit("")))).sortWithinPartitions("file_id", "section")
     item = F.struct("idx", "text")
     joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["text"]), "\n")
     scope = F.col("scope")
-    gathered = sized.withColumns({
-        # null items aren't gathered, so an array has a bounded number of characters
-        "__full": F.collect_list(F.when(scope == "full", item)).over(file), "__section": F.collect_list(F.when(scope == "section", item)).over(section),
+    # null items aren't gathered, so an array has a bounded number of characters
+    sized = chunking.with_scope(dealt).withColumn("__section", joined(F.collect_list(F.when(scope == "section", item)).over(section)))
+    gathered = sized.sortWithinPartitions("file_id", "idx").withColumns({
+        "__full": F.collect_list(F.when(scope == "full", item)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         "__beside": F.collect_list(item).over(beside), "__first": F.first(F.left("text", F.lit(fixed.HEAD_CHARS + 1))).over(order),
-        "__n": F.row_number().over(order), "__last": F.count(F.lit(1)).over(file),
+        "__n": F.row_number().over(order), "__last": F.count(F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     })
-    body = F.when(scope == "full", joined(F.col("__full"))).when(scope == "section", joined(F.col("__section"))).otherwise(joined(F.col("__beside")))
+    body = F.when(scope == "full", joined(F.col("__full"))).when(scope == "section", F.col("__section")).otherwise(joined(F.col("__beside")))
     low, high = F.greatest(F.lit(1), F.col("__n") - fixed.NEIGHBOURS), F.least(F.col("__last"), F.col("__n") + fixed.NEIGHBOURS)
     note = F.when(scope == "full", " 전체").when(scope == "section", F.concat(F.lit(" 중 '"), "section", F.lit("' 절"))).otherwise(F.concat(F.lit(" 중 "), low.cast("string"), F.lit("~"), high.cast("string"), F.lit("번째 조각")))
     out = gathered.withColumns({"body": clipped(body, fixed.FULL_DOC), "__head": clipped(F.col("__first"), fixed.HEAD_CHARS), "target": clipped(F.col("text"), fixed.TARGET_CHARS), "note": note})

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from quern.operators import providers
+from quern.operators import context, providers
 
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -85,3 +85,17 @@ def test_marks_that_overlap(monkeypatch):
     monkeypatch.setitem(providers.PROVIDERS, "tokenize", lambda texts: [[100_000 + ord(c) for c in t] for t in texts])
     assert providers.token_counts(["b", "", "cc"], "aa") == [3, 2, 4] and providers.token_counts(["ba", "a"], "aa") == [4, 3]
     assert providers.token_counts([], "aa") == [] and providers.token_counts(["ab"], "") == [2]
+
+
+def test_tasks_by_size(spark, monkeypatch):
+    """Tasks that go through files become more with the texts, and files stay whole."""
+    chunks = spark.range(4000).selectExpr("cast(id % 400 as string) file_id", "id idx", "repeat('가', 100) text", "if(id % 3 = 0, null, 's') section")
+    few = context.by_file(chunks).rdd.getNumPartitions()
+    monkeypatch.setattr(context, "TASK_BYTES", 20_000)
+    dealt = context.by_file(chunks)
+    assert few == 4 and dealt.rdd.getNumPartitions() == 60
+    held = dealt.selectExpr("file_id", "spark_partition_id() p").distinct().collect()
+    assert len(held) == 400 and max(sum(r.p == p for r in held) for p in range(60)) < 25
+    assert context.by_file(chunks.limit(0)).rdd.getNumPartitions() == 4
+    plan = context.context_material(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2 and "hashpartitioning(file_id#" in plan and ", 60)" in plan
