@@ -99,7 +99,8 @@ def within(root: Column, folder: str) -> Column:
 
 def redact(text: Column) -> Column:
     """Values behind credential words, and tokens by their shape, as ``[REDACTED]``."""
-    return F.regexp_replace(F.regexp_replace(text, fixed.CREDENTIAL, "$1$2[REDACTED]"), fixed.TOKEN_SHAPES, "[REDACTED]")
+    masked = F.regexp_replace(F.regexp_replace(text, fixed.CREDENTIAL, "$1$2[REDACTED]"), fixed.TOKEN_SHAPES, "[REDACTED]")
+    return F.when(text.rlike(fixed.REDACT_HINT), masked).otherwise(text)
 
 
 def permalink(channel_id: Column, thread_ts: Column) -> Column:

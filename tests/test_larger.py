@@ -99,3 +99,27 @@ def test_tasks_by_size(spark, monkeypatch):
     assert context.by_file(chunks.limit(0)).rdd.getNumPartitions() == 4
     plan = context.context_material(chunks)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 2 and "hashpartitioning(file_id#" in plan and ", 60)" in plan
+
+
+def test_hints_miss_nothing(spark):
+    """Texts without a hint are left alone, and those have nothing that the whole patterns match."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from jobs import corpus_chunks
+    from quern.functions import fixed
+    from quern.functions import text as X
+    from quern.operators import manifest
+
+    r = random.Random(5)
+    words = "비밀번호 비번 password PassWd pwd pass PW paß xoxb- XAPP- ghp_ GHR_ github_pat_ sk- client_secret ACCESS_TOKEN refresh_token api_key 10. 172.16 192.168. 192.168.1.1 10.1.2.3 172.31.0.9 is 은 는 : = a1b2c3d4e5f6a7b8c9 hunter2hunter2 , ; # \" . - _".split()
+    texts = ["".join(r.choice(words) + r.choice(("", "", " ", "\n", "\t")) for _ in range(r.randint(1, 6))) for _ in range(6000)]
+    t = spark.createDataFrame([(str(i), "r", x) for i, x in enumerate([*texts, "plain words", "compass was", None])], "file_id string, root string, text string")
+    plain = F.regexp_replace(F.regexp_replace("text", fixed.CREDENTIAL, "$1$2[REDACTED]"), fixed.TOKEN_SHAPES, "[REDACTED]")
+    both = t.select("text", X.redact(F.col("text")).alias("a"), plain.alias("b"), F.col("text").rlike(fixed.REDACT_HINT).alias("hint")).collect()
+    assert all(x.a == x.b for x in both) and sum(x.a != x.text for x in both) > 1000
+    assert [x.hint for x in both[-3:]] == [False, True, None]
+    lines = t.select(F.struct("file_id", "root").alias("path"), F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    want = sorted((x.path.file_id, x.line, x.rule) for x in manifest.audit(lines).collect())
+    assert want == sorted((x.file_id, x.line, x.rule) for x in corpus_chunks.findings(t).collect()) and len({x[2] for x in want}) == 2
